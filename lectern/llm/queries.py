@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, packing
+from lectern.llm import chat_format, packing, simhash
 from lectern.llm.common import cut, tokenizer_path
 
 
@@ -54,9 +54,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut(pieces))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op7_packing": op7_packing,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES: dict[str, str] = {}
