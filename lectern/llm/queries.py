@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, packing, simhash, toxicity
+from lectern.llm import chat_format, packing, piece_bpe, simhash, toxicity
 from lectern.llm.common import cut, tokenizer_path
 
 
@@ -47,6 +49,24 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _piece_digests(ids: list[list[int]], decoded: list[str]) -> list[pa.Array]:
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return [
+        pa.array([len(x) for x in ids], pa.int64()),
+        pa.array([digest(" ".join(map(str, x))) for x in ids], pa.string()),
+        pa.array([digest(t) for t in decoded], pa.string()),
+    ]
+
+
+def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_documents(
+        _read(spark, sf_dir, "documents"),
+        tokenizer_path("piece_bpe_32k.model"),
+        _piece_digests,
+        "n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"))
@@ -71,6 +91,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
+    "op5_piece_bpe": op5_piece_bpe,
     "op7_packing": op7_packing,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
