@@ -104,7 +104,7 @@ def ball_variants(fingerprint: Column) -> Column:
         flips = [tag] + [tag ^ (1 << i) for i in range(64) if not aside >> i & 1]
         kept = fingerprint.bitwiseAND(F.lit(_signed(FULL ^ aside)))
         changes = F.array(*(F.lit(_signed(x)).cast("bigint") for x in flips))
-        arrays.append(F.transform(changes, lambda c, kept=kept: kept.bitwiseXOR(c)))
+        arrays.append(F.transform(changes, kept.bitwiseXOR))
     return F.concat(*arrays)
 
 
