@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, packing, piece_bpe, simhash, toxicity
+from lectern.llm import chat_format, decision_list, packing, piece_bpe, simhash, toxicity
 from lectern.llm.common import cut, tokenizer_path
 
 
@@ -17,6 +17,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rules = decision_list.train(docs, _read(spark, sf_dir, "labels"))
+    stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return decision_list.judge(docs, rules).select(
+        "doc_id", *(F.col("_stats")[c].alias(c) for c in stats), "base_failed", "kept"
+    )
+
+
 #: The conversation that op4 adds: control strings of chat templates inside the texts.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -90,6 +99,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decision_list": op3_decision_list,
     "op4_chat_format": op4_chat_format,
     "op5_piece_bpe": op5_piece_bpe,
     "op7_packing": op7_packing,
