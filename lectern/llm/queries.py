@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, decision_list, packing, piece_bpe, simhash, toxicity
+from lectern.llm import chat_format, decision_list, license_scan, packing, piece_bpe, simhash, toxicity
 from lectern.llm.common import cut, tokenizer_path
 
 
@@ -17,6 +17,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_read(spark, sf_dir, "documents"))
+    exact = F.filter("spans", lambda s: s["exact"])
+    begins = F.transform(exact, lambda s: s["begin"].cast("bigint"))
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(exact).cast("bigint").alias("n_base"),
+        F.array_min(begins).alias("first_word"),
+        F.array_max(begins).alias("last_word"),
+        names(exact).alias("base_labels"),
+        names(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rules = decision_list.train(docs, _read(spark, sf_dir, "labels"))
@@ -99,6 +116,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op3_decision_list": op3_decision_list,
     "op4_chat_format": op4_chat_format,
     "op5_piece_bpe": op5_piece_bpe,
