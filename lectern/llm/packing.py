@@ -14,6 +14,7 @@ no piece; null ids are kept.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,10 @@ from lectern.llm.common import quiet_threads, slices
 CAPACITY = 4096
 SALTS = 256
 #: Cached words of one Python worker; a full cache starts anew, results don't depend on it.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
+#: Marks that may follow a plain word, and plain words that are encoded at once.
+MARKS = ".,;:!?"
+LINE = 256
 
 
 class WordIds:
@@ -42,6 +46,9 @@ class WordIds:
         quiet_threads()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -51,21 +58,43 @@ class WordIds:
         self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    @staticmethod
+    def _pre_tokens(word: str) -> int:
+        """1 for letters, 2 for letters and one ASCII mark after them, 0 for what only the library knows."""
+        core = word[:-1] if word[-1:] in MARKS else word
+        plain = core.isascii() or (unicodedata.is_normalized("NFC", word) and core.lower().isalpha())
+        return (1 + (core is not word)) * (core.isalpha() and plain)
+
     def _learn(self, words: list[str]) -> None:
-        encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
+        """Encode new words: plain ones in long lines, whose ids are told apart by the pre-tokens' ends."""
+        pre = [self._pre_tokens(w) for w in words]
+        plain = [(w, n) for w, n in zip(words, pre, strict=True) if n]
+        lines = [plain[at : at + LINE] for at in range(0, len(plain), LINE)]
+        encoded = self.library.encode_batch_fast([" ".join(w for w, _ in x) for x in lines], add_special_tokens=False)
+        odd = [w for w, n in zip(words, pre, strict=True) if not n]
+        for line, e in zip(lines, encoded, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            after = np.cumsum([n for _, n in line])
+            if len(ends) == after[-1] and ends[-1] == len(ids):
+                self._store([w for w, _ in line], ids, np.diff(ends[after - 1], prepend=0))
+            else:
+                odd += [w for w, _ in line]
+        if odd:
+            ids = [e.ids for e in self.library.encode_batch_fast(odd, add_special_tokens=False)]
+            self._store(odd, np.array([x for e in ids for x in e], np.uint32), np.array([len(e) for e in ids]))
+
+    def _store(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         at = len(self.slot)
         while at + len(words) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for e in ids for x in e), np.uint32, total)
+        self.flat[self.used : self.used + len(ids)] = ids
         self.start[at : at + len(words)] = self.used + np.cumsum(n) - n
         self.length[at : at + len(words)] = n
-        self.used += total
+        self.used += len(ids)
         self.slot.update(zip(words, range(at, at + len(words)), strict=True))
 
     def _slots(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +104,12 @@ class WordIds:
         texts = pc.fill_null(texts, "")
         for blank in "\n\t\r":
             texts = pc.replace_substring(texts, blank, " ")
+        # fewer distinct words, the same ids: the library lowers case after composing marks, and a mark after letters
+        # is a pre-token of its own
+        lower = pc.ascii_lower(texts)
+        marked = pc.match_substring_regex(texts, "[\u0300-\u036f]")
+        texts = pc.if_else(marked, texts, lower) if pc.any(marked).as_py() else lower
+        texts = pc.replace_substring_regex(texts, "([a-z])([.,]) ", "\\1 \\2 ")
         words = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = pc.list_flatten(words).dictionary_encode()
