@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, decision_list, license_scan, packing, piece_bpe, simhash, toxicity
+from lectern.llm import chat_format, decision_list, imatch, license_scan, packing, piece_bpe, simhash, toxicity
 from lectern.llm.common import cut, tokenizer_path
 
 
@@ -34,6 +34,27 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    table = imatch.prepare(docs)
+    own = docs.withColumn("hashes", imatch.subset_hashes(F.col("text"), table))
+    pairs = imatch.with_next(own, {"next_text": F.col("text"), "next_hashes": F.col("hashes")})
+    n = F.char_length("text")
+    cut_at = n - F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), cut_at), F.substring("next_text", F.lit(1), n - cut_at))
+    both = pairs.select("doc_id", n.cast("bigint").alias("n_chars"), "hashes", "next_hashes", edited.alias("edited"))
+    both = both.select("*", F.explode(F.array(imatch.subset_hashes(F.col("edited"), table))).alias("edited_hashes"))
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        imatch.fingerprint(F.col("hashes")).alias("fingerprint"),
+        imatch.fingerprint(F.col("edited_hashes")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        imatch.likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+    )
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rules = decision_list.train(docs, _read(spark, sf_dir, "labels"))
@@ -117,6 +138,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_imatch": op2_imatch,
     "op3_decision_list": op3_decision_list,
     "op4_chat_format": op4_chat_format,
     "op5_piece_bpe": op5_piece_bpe,
