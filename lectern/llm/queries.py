@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, decision_list, imatch, license_scan, packing, piece_bpe, simhash, toxicity
-from lectern.llm.common import cut, tokenizer_path
+from lectern.llm import (
+    chat_format,
+    decision_list,
+    imatch,
+    license_scan,
+    packing,
+    piece_bpe,
+    secret_forest,
+    simhash,
+    token_rollup,
+    toxicity,
+)
+from lectern.llm.common import cut, shared_dir, tokenizer_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -114,6 +126,20 @@ def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_forest.scan(_read(spark, sf_dir, "documents"), secret_forest.train())
+    secrets = F.filter("spans", lambda s: s["score"] >= secret_forest.THRESHOLD)
+    told = lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"), s["kind"])
+    return found.select(
+        "doc_id",
+        F.size("spans").cast("bigint").alias("n_candidates"),
+        F.size(secrets).cast("bigint").alias("n_secrets"),
+        F.array_join(F.transform(secrets, told), ",").alias("secrets"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+        F.sha2("redacted", 256).alias("redacted_sha256"),
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"))
@@ -121,6 +147,42 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut(pieces))
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches: all documents; those of low quality go; toxic ones are recounted with their end id, as version 2; and the second
+    batch comes again, which changes nothing."""
+    counts = cut(
+        token_rollup.token_counts(
+            _read(spark, sf_dir, "documents"),
+            tokenizer_path("word_bpe_49k.json"),
+            tokenizer_path("piece_bpe_32k.model"),
+        )
+    )
+    kinds = [("word_bpe_49k", "word_tokens"), ("piece_bpe_32k", "piece_tokens")]
+    each = counts.select(
+        "doc_id",
+        "source",
+        "lang",
+        F.inline(F.array(*(F.struct(F.lit(k).alias("tokenizer"), F.col(c).alias("tokens")) for k, c in kinds))),
+    )
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    none = F.lit(None).cast("bigint").alias("old_tokens")
+
+    def changes(rows: DataFrame, op: str, version: str, more: int = 0) -> DataFrame:
+        tokens = (F.col("tokens") + more).alias("tokens")
+        return rows.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", F.lit(version).alias("version"), tokens, none)
+
+    low = each.join(labels.filter("quality = 0"), "doc_id", "left_semi")
+    toxic = each.join(labels.filter("quality = 1 AND toxic = 1"), "doc_id", "left_semi")
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.apply("1", changes(each, "insert", "1"))
+    rollup.apply("2", changes(low, "delete", "1"))
+    rollup.apply("3", changes(toxic, "delete", "1").unionByName(changes(toxic, "insert", "2", 1)))
+    rollup.apply("2", changes(low, "delete", "1"))
+    totals = cut(rollup.totals())
+    rollup.drop()
+    return totals
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -142,7 +204,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decision_list": op3_decision_list,
     "op4_chat_format": op4_chat_format,
     "op5_piece_bpe": op5_piece_bpe,
+    "op6_secret_forest": op6_secret_forest,
     "op7_packing": op7_packing,
+    "op8_token_rollup": op8_token_rollup,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
