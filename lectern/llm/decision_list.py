@@ -92,7 +92,6 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "n_capitals": _removed(text, "[A-Z]+"),
         "n_marks": _removed(text, "[!?]+"),
         "n_digits": _removed(text, "[0-9]+"),
-        "n_kinds": F.size(F.array_distinct(hashes)).cast("bigint"),
     }
     return _once(b, "_stats", F.struct(*(x.alias(k) for k, x in counts.items()))).drop("_parts", "_grams")
 
@@ -105,7 +104,6 @@ _SHARES = {
     "capitals": ("n_capitals", "word_chars"),
     "marks": ("n_marks", "n_words"),
     "digits": ("n_digits", "word_chars"),
-    "kinds": ("n_kinds", "n_words"),
     "word_length": ("word_chars", "n_words"),
 }
 
