@@ -34,6 +34,8 @@ WINDOW = 8
 FIT_ROWS = 2000
 FIT_CHARS = 200_000
 EPOCHS_BAG, EPOCHS_WINDOW = 1, 8
+#: Small samples are gone through more often, to make at least so many steps.
+STEPS = 300
 BATCH = 64
 THRESHOLD = 0.7
 
@@ -134,13 +136,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     seen_w = np.full((DIMENSIONS, 2), 1e-8)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     order = rng.permutation(len(y))
-    for epoch in range(EPOCHS_BAG + EPOCHS_WINDOW):
-        rate = 0.5 * (1 - epoch / (EPOCHS_BAG + EPOCHS_WINDOW))
+    often = max(1, -(-STEPS // ((EPOCHS_BAG + EPOCHS_WINDOW) * -(-len(y) // BATCH))))
+    epochs = often * (EPOCHS_BAG + EPOCHS_WINDOW)
+    for epoch in range(epochs):
+        rate = 0.5 * (1 - epoch / epochs)
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
             found = bags([texts[i] for i in rows])
             scores, empty = model.gram_scores()
-            if epoch < EPOCHS_BAG:
+            if epoch < EPOCHS_BAG * often:
                 a, b = found.first[:-1], found.first[1:]
                 text = np.repeat(np.arange(len(rows)), np.diff(found.first))[found.words]
                 use, grams = text, found.grams
