@@ -110,7 +110,7 @@ def seeded_order(seed: str, *parts: Column) -> Column:
 def roman_to_int(c: Column) -> Column:
     """Value of a Roman numeral (subtractive); null for anything else."""
     values = F.create_map(*(F.lit(x) for kv in {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.items() for x in kv))
-    digits = F.transform(F.split(F.upper(c), "(?!^)"), lambda d: values[d])
+    digits = F.transform(F.regexp_extract_all(F.upper(c), F.lit("(.)"), F.lit(1)), lambda d: values[d])
     step = lambda acc, v: F.struct(
         F.when(v < acc["last"], acc["sum"] - v).otherwise(acc["sum"] + v).alias("sum"), v.alias("last")
     )
