@@ -88,7 +88,7 @@ def section_key(c: Column) -> Column:
 
 def tag_list(c: Column) -> Column:
     """Tags of a |-separated text: trimmed, without empty ones, each once, in order."""
-    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda t: F.trim(t))
     return F.array_distinct(F.filter(parts, lambda t: t != ""))
 
 

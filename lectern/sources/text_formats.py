@@ -158,7 +158,7 @@ def read_table_text(spark: SparkSession, path: str, schema: str, separator: str
 
 def read_markdown_table(lines: DataFrame, names: list[str]) -> DataFrame:
     """Rows of a pipe table from ``value`` lines; the head and its rule are left out."""
-    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda t: F.trim(t))
     rows = lines.filter(F.trim("value").startswith("|") & ~F.col("value").rlike(r"^\s*\|[\s:|-]+\|?\s*$")).select(cells.alias("c"))
     body = rows.filter(F.lower(F.get("c", 0)) != names[0].lower())
     return body.select(*(F.get("c", i).alias(n) for i, n in enumerate(names)))
