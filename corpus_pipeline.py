@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decision_list, packing, secret_forest, simhash, toxicity
-from lectern.llm.common import cut, shared_dir, tokenizer_path
+from lectern.llm.common import tokenizer_path
+from lectern.storage import cut, shared_dir
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
 #: Python operators work on slices of an Arrow batch of at most so many text bytes and rows, which bounds
 #: their temporary arrays; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SLICE_ROWS = 4096
 
 
@@ -22,28 +21,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Only where none is set (tests, a laptop) a local temporary folder is set instead.
-    """
-    context = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="lectern-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(known)
-    return known
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of the batches that hold at most SLICE_ROWS rows and about SLICE_BYTES of ``text``."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches that hold at most SLICE_ROWS rows and about ``size`` bytes of ``text``."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -56,7 +35,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
         at = 0
         while at < n:
             base = ends[at - 1] if at else 0
-            to = int(np.searchsorted(ends, base + SLICE_BYTES, side="right"))
+            to = int(np.searchsorted(ends, base + size, side="right"))
             to = min(max(to, at + 1), at + SLICE_ROWS, n)
             yield batch.slice(at, to - at)
             at = to
@@ -65,3 +44,22 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
 def quiet_threads() -> None:
     """One thread for each Python worker: Spark already runs one task on each core."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def release_caches(*keep: str) -> None:
+    """Give back what other operators' tasks have cached in this Python worker, which goes on from stage to stage."""
+    for name in [n for n in _HELD if n not in keep]:
+        _HELD.pop(name)()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def hold_cache(name: str, clear: Callable[[], None], *beside: str) -> None:
+    """Keep a cache for this worker's next tasks; of the others only those named stay."""
+    _HELD[name] = clear
+    release_caches(name, *beside)

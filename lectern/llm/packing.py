@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import quiet_threads, slices
+from lectern.llm.common import hold_cache, quiet_threads, slices
 
 CAPACITY = 4096
 SALTS = 256
@@ -143,10 +143,11 @@ class WordIds:
 _KNOWN: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, *beside: str) -> WordIds:
     """This Python worker's encoder for a file; later tasks of the worker go on with its words."""
     if path not in _KNOWN:
         _KNOWN[path] = WordIds(path)
+    hold_cache("words", _KNOWN.clear, *beside)
     return _KNOWN[path]
 
 

@@ -24,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.common import slices
+from lectern.llm.common import hold_cache, slices
 
 BLANK = "▁"
 #: Longest segment of the common agenda; cached segments of a worker.
 SHORT = 40
 CACHE_SEGMENTS = 600_000
-#: Texts with runs of blanks, where a segment starts with several, and with the mark that cuts the others.
+#: Texts with runs of blanks, where a segment starts with several, or with blank signs or the mark that cuts other texts.
 ODD = "^ |  |\\x01"
 _NORMAL, _CONTROL, _BYTE = 1, 3, 6
 _NONE = 1 << 30
@@ -332,10 +332,11 @@ class PieceEncoder:
 _KNOWN: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, *beside: str) -> PieceEncoder:
     """This Python worker's encoder for a file."""
     if path not in _KNOWN:
         _KNOWN[path] = PieceEncoder(path)
+    hold_cache("pieces", _KNOWN.clear, *beside)
     return _KNOWN[path]
 
 

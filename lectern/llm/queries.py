@@ -22,11 +22,9 @@ from lectern.llm import (
     token_rollup,
     toxicity,
 )
-from lectern.llm.common import cut, shared_dir, tokenizer_path
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+from lectern.llm.common import tokenizer_path
+from lectern.storage import cut, shared_dir
+from lectern.storage import read_table as _read
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

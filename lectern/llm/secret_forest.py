@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices
+from lectern.llm.common import release_caches, slices
 
 N_FINDINGS = 4000
 TREES, DEPTH, LEAF = 40, 9, 4
@@ -331,6 +331,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> DataF
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             found = _scanned(texts, shared.value)
@@ -350,6 +351,7 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD) -> Dat
     names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for part in slices(batches):
             texts = part.column("text").to_pylist()
             found = _scanned(texts, shared.value)

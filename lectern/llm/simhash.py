@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, slices
-from lectern.llm.graph import components
+from lectern.llm.common import release_caches, slices
+from lectern.operators.graph import components
+from lectern.storage import cut
 
 RADIUS = 3
 BLOCKS, WIDTH = 4, 16
@@ -83,6 +84,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id, text_hash, fingerprint`` (both hashes as signed 64-bit)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for part in slices(batches):
             values = fingerprints_of(part.column("text").to_pylist(), words).view(np.int64)
             yield pa.RecordBatch.from_arrays(

@@ -34,7 +34,7 @@ def token_counts(docs: DataFrame, words_path: str, pieces_path: str) -> DataFram
     """``doc_id, source, lang`` and a row's number of ids with either tokenizer: ``word_tokens, piece_tokens``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pieces = word_ids(words_path), encoder(pieces_path)
+        words, pieces = word_ids(words_path, "pieces"), encoder(pieces_path, "words")
         for part in slices(batches):
             texts = part.column("text")
             sizes = np.array([len(x) for x in pieces.encode(texts)], np.int64)

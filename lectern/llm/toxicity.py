@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices
+from lectern.llm.common import release_caches, slices
 
 BUCKETS_LOG2 = 18
 DIMENSIONS = 8
@@ -39,6 +39,9 @@ STEPS = 300
 BATCH = 64
 THRESHOLD = 0.7
 
+#: Text bytes that are scored at once: their subwords' arrays take some fifty times that.
+SLICE = 1 << 20
+
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -210,7 +213,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scores_of = _scorer(docs, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        release_caches()
+        for part in slices(batches, size=SLICE):
             values = pa.array(scores_of(part.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), values], names=["doc_id", "score"])
 
@@ -222,7 +226,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     scores_of = _scorer(docs, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        release_caches()
+        for part in slices(batches, size=SLICE):
             yield part.filter(pa.array(scores_of(part.column("text").to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
