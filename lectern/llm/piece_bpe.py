@@ -31,7 +31,7 @@ BLANK = "▁"
 SHORT = 40
 CACHE_SEGMENTS = 600_000
 #: Texts with runs of blanks, where a segment starts with several, or with blank signs or the mark that cuts other texts.
-ODD = "^ |  |\\x01"
+ODD = "^ |  |▁|\\x01"
 _NORMAL, _CONTROL, _BYTE = 1, 3, 6
 _NONE = 1 << 30
 #: Symbols of characters that no piece holds: this plus the code point.
