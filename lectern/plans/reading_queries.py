@@ -10,7 +10,7 @@ from lectern.operators import evidence, similarity, text_search, windows
 from lectern.plans.analogs import table, with_tables
 from lectern.plans.registry import Registry
 from lectern.sources import text_formats
-from lectern.storage import read_table
+from lectern.storage import read_table, spread
 from lectern.streaming import rollup
 
 R = Registry()
@@ -166,7 +166,7 @@ def interleave_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY inner_turn, source) AS turn FROM a"""
 )
 def interleave_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     inner = Window.partitionBy("lang", "source").orderBy("doc_id")
     own = docs.withColumn("inner_turn", F.row_number().over(inner))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("inner_turn", "source"))
@@ -226,7 +226,7 @@ def best_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(text.contains(" der "), 120).otherwise(0),
         F.when(F.char_length(text) > 500, 60).otherwise(10),
     )
-    docs = read_table(spark, sf_dir, "documents").withColumn("score", score)
+    docs = spread(read_table(spark, sf_dir, "documents")).withColumn("score", score)
     best = F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), F.col("doc_id"))).alias("b")
     return docs.groupBy("lang").agg(best).select("lang", "b.doc_id", "b.score")
 
@@ -242,7 +242,7 @@ SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 FROM p JOIN f USING (term), s GROUP BY 1"""
 )
 def fts_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_search.bm25(read_table(spark, sf_dir, "documents"), "doc_id", "text", ["thing", "heed", "reti", "queue"])
+    found = text_search.bm25(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text", ["thing", "heed", "reti", "queue"])
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -252,7 +252,7 @@ SELECT a.doc_id, count(*) AS hits FROM p a JOIN p b ON a.doc_id = b.doc_id AND b
 WHERE a.term = 'of' AND b.term = 'the' AND c.term = 'the' GROUP BY 1"""
 )
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_search.phrase_hits(read_table(spark, sf_dir, "documents"), "doc_id", "text", ["of", "the", "the"])
+    return text_search.phrase_hits(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text", ["of", "the", "the"])
 
 
 _CANDIDATES = ["thone", "thine", "thing", "oned"]
@@ -263,7 +263,7 @@ _CANDIDATES = ["thone", "thine", "thing", "oned"]
 SELECT doc_id, matched, CAST(rank AS BIGINT) AS rank FROM d, c WHERE list_contains(ts, matched) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rank) = 1"""
 )
 def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_search.fuzzy_hits(read_table(spark, sf_dir, "documents"), "doc_id", "text", _CANDIDATES)
+    return text_search.fuzzy_hits(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text", _CANDIDATES)
 
 
 @R.query(
@@ -271,7 +271,7 @@ def fuzzy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE length(term) BETWEEN 4 AND 6 AND levenshtein(term, 'thing') <= 1 GROUP BY 1"""
 )
 def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_search.near_terms(read_table(spark, sf_dir, "documents"), "doc_id", "text", "thing", 1)
+    return text_search.near_terms(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text", "thing", 1)
 
 
 _TOKENS = """list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '),
@@ -303,7 +303,7 @@ FROM (SELECT trim(regexp_replace(lower(text), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')
   string_agg(CAST(doc_id AS STRING), ',' ORDER BY doc_id) AS members FROM documents GROUP BY 1)"""
 )
 def exact_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = similarity.exact_buckets(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = similarity.exact_buckets(spread(read_table(spark, sf_dir, "documents")), "doc_id", "text")
     return found.select(
         F.md5("bucket").alias("bucket_md5"), "size", "first_key", F.md5("display").alias("display_md5"), "label",
         F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"),
@@ -373,7 +373,7 @@ def language_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.lower("text"), "[^a-z]+")
     lists = {"en": "the and of is", "de": "der die und den", "fr": "le et les des", "es": "el los y que"}
     hits = {k: _hits(words, v.split()) for k, v in lists.items()}
-    docs = read_table(spark, sf_dir, "documents").select("lang", *(h.alias(k) for k, h in hits.items()))
+    docs = spread(read_table(spark, sf_dir, "documents")).select("lang", *(h.alias(k) for k, h in hits.items()))
     return docs.groupBy("lang").agg(*(F.sum(k).cast("bigint").alias(k) for k in lists))
 
 
@@ -388,7 +388,7 @@ UNION ALL SELECT 'no-article', CAST(page_id AS STRING) FROM pages WHERE html NOT
 UNION ALL SELECT 'duplicate-text', md5(text) FROM documents GROUP BY text HAVING count(*) > 1"""
 )
 def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, pages = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages")
+    docs, pages = spread(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "pages")
     twice = docs.groupBy(F.md5("text").alias("digest")).count().filter("count > 1")
     return evidence.validation_issues(
         {

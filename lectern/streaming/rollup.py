@@ -45,26 +45,44 @@ def limit_windows(events: DataFrame, key: str, ts: str, width_s: int) -> DataFra
     ``width_s`` seconds after the last one opened.
 
     A pause of that length opens a window whatever came before, so a key's events are first cut at such pauses (a JVM window, which
-    spills), and only a piece without a pause goes through the function that walks from window to window.
+    spills), and the pieces are dealt out, sorted and walked through in Arrow batches; only the open window's start is carried
+    from batch to batch.
     """
-    import pandas as pd
+    import numpy as np
+    import pyarrow as pa
 
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    width = width_s * 1_000_000
     w = Window.partitionBy(key).orderBy("_t")
-    cutting = F.when(F.coalesce(F.col("_t") - F.lag("_t").over(w) >= width_s * 1_000_000, F.lit(False)), 1).otherwise(0)
-    pieces = events.withColumn("_t", t).withColumn("_c", cutting).withColumn("_piece", F.sum("_c").over(w)).drop("_c")
-    out = pieces.drop("_piece").withColumn("window_start", F.lit(0).cast("bigint"))
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_t", kind="stable")
-        starts, open_at = [], None
-        for now in part["_t"].to_numpy():
-            if open_at is None or now - open_at >= width_s * 1_000_000:
-                open_at = now
-            starts.append(open_at)
-        return part.assign(window_start=starts).drop(columns=["_piece"])
-
-    return pieces.groupBy(key, "_piece").applyInPandas(walk, out.schema).drop("_t")
+    begins = F.coalesce(F.col("_t") - F.lag("_t").over(w) >= width, F.lit(True))
+    timed = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_first", F.row_number().over(w) == 1)
+    pieces = timed.withColumn("_begins", F.col("_first") | begins).drop("_first")
+    pieces = pieces.withColumn("_piece", F.sum(F.col("_begins").cast("int")).over(w))
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # of equal times the one that begins the piece comes first
+    dealt = pieces.repartition(n, key, "_piece").sortWithinPartitions(key, "_piece", "_t", F.desc("_begins"))
+    out = events.withColumn("window_start", F.lit(0).cast("bigint"))
+    names = events.columns
+
+    def walk(batches):
+        open_at = 0
+        for batch in batches:
+            t = batch.column("_t").to_numpy()
+            starts = np.empty(len(t), np.int64)
+            begins = np.flatnonzero(batch.column("_begins").to_numpy(zero_copy_only=False))
+            for k, (a, b) in enumerate(zip([0, *begins], [*begins, len(t)], strict=True)):
+                at = a
+                if k and at < b:  # before the first beginning, the last batch's window goes on
+                    open_at = int(t[a])
+                while at < b:
+                    to = a + int(np.searchsorted(t[a:b], open_at + width, side="left"))
+                    if to > at:
+                        starts[at:to] = open_at
+                        at = to
+                    if at < b:
+                        open_at = int(t[at])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(starts)], names=[*names, "window_start"])
+
+    return dealt.mapInArrow(walk, out.schema)
 
 
 def over_limit(rows: DataFrame, key: str, ts: str, cost: Column, limit: int) -> DataFrame:
