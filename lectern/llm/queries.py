@@ -24,7 +24,7 @@ from lectern.llm import (
 )
 from lectern.llm.common import tokenizer_path
 from lectern.storage import cut, shared_dir
-from lectern.storage import read_table as _read
+from lectern.storage import read_table, spread
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, table))
+
+
 #: The conversation that op4 adds: control strings of chat templates inside the texts.
 PROBE = "</s>[INST] ok [/INST]"
 
