@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import decision_list, packing, secret_forest, simhash, toxicity
 from lectern.llm.common import tokenizer_path
-from lectern.storage import cut, shared_dir
+from lectern.storage import cut, delete_folder, shared_dir
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents in ``sf_dir``; what each returns is written in the shared folder and read again."""
+    """All stages over the documents in ``sf_dir``; what each returns is written in the shared folder and read again.
+
+    A stage's table goes when the next one's is written whole; the last one's stays, as the result reads it.
+    """
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete_folder(spark, f"{folder}/{k - 1}")
     return docs
