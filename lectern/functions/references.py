@@ -9,9 +9,10 @@ from lectern.functions.text import roman_to_int, slug
 
 
 def normalize_citation(c: Column) -> Column:
-    """Words and numbers of a citation, Roman numerals as numbers, joined by dots."""
-    parts = F.filter(F.split(F.upper(c), r"[^0-9A-Z]+"), lambda p: p != "")
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(roman_to_int(p).cast("string"), F.lower(p))), ".")
+    """Words and numbers of a citation, Roman numerals in capitals as numbers, joined by dots."""
+    parts = F.filter(F.split(c, r"[^0-9A-Za-z]+"), lambda p: p != "")
+    number = lambda p: F.when(p == F.upper(p), roman_to_int(p).cast("string"))
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(number(p), F.lower(p))), ".")
 
 
 def text_id(language: Column, title: Column, incipit: Column) -> Column:
