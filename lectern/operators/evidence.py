@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import normalize_gloss, stable_id
+from lectern.functions.references import split_glosses
+from lectern.functions.text import anchor, normalize_gloss, stable_id
 
 TRIPLES = "array<struct<subject:string,predicate:string,object:string,metadata:struct<evidence:map<string,string>>>>"
 
@@ -68,3 +69,35 @@ def validation_issues(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         part = rows.select(F.lit(name).alias("issue"), F.col(item).cast("string").alias("item"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def entry_claims(entries: DataFrame, tool: str) -> DataFrame:
+    """Claims of dictionary entries (``entry_id, lemma, gloss``): the lemma's lexeme has a sense for each gloss, as JSON triples."""
+    lex = anchor("lex", F.col("lemma"))
+
+    def sense(i):
+        return F.concat(F.lit("sense:"), F.col("_lex"), F.lit("#"), F.col("entry_id").cast("string"), F.lit("."), (i + 1).cast("string"))
+
+    def triple(s, p, o):
+        return F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
+
+    glosses = entries.withColumn("_lex", lex).withColumn("_gs", split_glosses(F.col("gloss")))
+    links = F.transform("_gs", lambda g, i: triple(F.col("_lex"), "has_sense", sense(i)))
+    told = F.transform("_gs", lambda g, i: triple(sense(i), "gloss", g))
+    claim = stable_id("claim-", F.lit(tool), F.col("entry_id"))
+    return glosses.filter(F.size("_gs") > 0).select(
+        claim.alias("claim_id"), F.lit(tool).alias("tool"), F.to_json(F.struct(F.concat(links, told).alias("triples"))).alias("value")
+    )
+
+
+def word_context(asked: DataFrame, entries: DataFrame, hits: DataFrame, indexed: DataFrame) -> DataFrame:
+    """What is known of words (``language, word``): numbers of dictionary entries and of passages, and a status that tells a word
+    without passages from a language that the index doesn't have."""
+    lexical = entries.groupBy("language", "word").agg(F.count("*").alias("entries"))
+    found = hits.groupBy("language", "word").agg(F.count("*").alias("passages"))
+    known = indexed.select("language").distinct().withColumn("_indexed", F.lit(True))
+    joined = asked.join(lexical, ["language", "word"], "left").join(found, ["language", "word"], "left").join(F.broadcast(known), "language", "left")
+    status = F.when(F.col("_indexed").isNull(), "index_unavailable").when(F.col("passages").isNull(), "no_hits").otherwise("hits")
+    return joined.select(
+        "language", "word", F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("passages", F.lit(0)).alias("passages"), status.alias("status")
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import references, scripts
 from lectern.functions import text as X
-from lectern.operators import passages, ranking, translation
+from lectern.operators import evidence, passages, ranking, text_search, translation
 from lectern.plans.registry import Registry
 from lectern.sources import dictionaries
 from lectern.storage import read_table, spread
@@ -209,3 +209,36 @@ def witness_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("s_suppkey").agg(
         F.count("*").alias("parts"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.min("l_linenumber").alias("first_line")
     )
+
+
+@R.query(
+    """WITH g AS (SELECT p_partkey, p_name, unnest([p_name, lower(p_brand)]) AS gloss, generate_subscripts([1, 2], 1) AS i FROM part)
+SELECT gloss AS normalized, count(*) AS size, count(DISTINCT p_partkey) AS claims FROM g GROUP BY 1"""
+)
+def entry_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary entries to claims, claims to witnesses, witnesses to sense buckets."""
+    entries = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("lemma"), F.concat_ws("; ", "p_name", "p_brand").alias("gloss")
+    )
+    claims = evidence.entry_claims(entries, "dictionary")
+    found = evidence.reduce_exact(evidence.witness_senses(evidence.claim_triples(claims)))
+    return found.select("normalized", "size", "claims")
+
+
+@R.query(
+    """WITH q AS (SELECT DISTINCT lang AS language, word FROM documents, (VALUES ('thing'), ('blue'), ('zzz')) v(word) UNION ALL SELECT 'grc', 'thing'),
+h AS (SELECT lang AS language, word, count(*) AS passages FROM (SELECT lang, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS word FROM documents) GROUP BY 1, 2),
+e AS (SELECT word, count(*) AS entries FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1)
+SELECT q.language, q.word, coalesce(CASE WHEN q.language = 'en' THEN e.entries END, 0) AS entries, coalesce(h.passages, 0) AS passages,
+  CASE WHEN q.language NOT IN (SELECT lang FROM documents) THEN 'index_unavailable' WHEN h.passages IS NULL THEN 'no_hits' ELSE 'hits' END AS status
+FROM q LEFT JOIN h ON h.language = q.language AND h.word = q.word LEFT JOIN e ON e.word = q.word"""
+)
+def word_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(read_table(spark, sf_dir, "documents"))
+    words = ["thing", "blue", "zzz"]
+    asked = docs.select(F.col("lang").alias("language")).distinct().withColumn("word", F.explode(F.array(*(F.lit(w) for w in words))))
+    asked = asked.unionByName(spark.createDataFrame([("grc", "thing")], "language string, word string"))
+    entries = read_table(spark, sf_dir, "part").select(F.lit("en").alias("language"), F.explode(F.split("p_name", " ")).alias("word"))
+    hits = text_search.postings(docs.withColumnRenamed("lang", "language").withColumn("k", F.struct("language", "doc_id")), "k", "text", words)
+    hits = hits.select(F.col("k.language").alias("language"), F.col("term").alias("word"))
+    return evidence.word_context(asked, entries, hits, docs.select(F.col("lang").alias("language")))

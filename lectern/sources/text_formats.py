@@ -217,3 +217,23 @@ def parse_html(pages: DataFrame, key: str, source: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "title", "lang", "n_links", "body_text"])
 
     return pages.select(key, source).mapInPandas(run, f"{key} {kind}, title string, lang string, n_links bigint, body_text string")
+
+
+def read_curated(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of curated JSON or YAML files, one list or mapping in each; YAML needs the optional ``yaml`` library.
+
+    Curated lists are small; nested lists stay arrays, to be unrolled with ``explode``.
+    """
+
+    def load(content: str) -> list:
+        try:
+            data = json.loads(content)
+        except ValueError:
+            import yaml
+
+            data = yaml.safe_load(content)
+        return data if isinstance(data, list) else [data] if data else []
+
+    lines = F.udf(lambda c: [json.dumps(r, ensure_ascii=False, default=str) for r in load(c)], "array<string>")
+    rows = whole_files(spark, path).select("path", F.explode(lines("content")).alias("line"))
+    return rows.select("path", F.from_json("line", schema).alias("r")).select("path", "r.*")

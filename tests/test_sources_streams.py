@@ -79,3 +79,10 @@ def test_rollup_streams_like_a_batch(spark, sf_dir, tmp_path):
     told = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
     assert told(state["now"]) == told(roll(events)) and state["id"] > 0
     assert told(merge_counts(roll(events), roll(events).limit(0), keys, sums, ["second_bits"])) == told(roll(events))
+
+
+def test_curated_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"alias": "x", "evidence": [{"label": "l"}]}, {"alias": "y"}]))
+    (tmp_path / "b.json").write_text(json.dumps({"alias": "z"}))
+    got = text_formats.read_curated(spark, str(tmp_path), "alias string, evidence array<struct<label:string>>")
+    assert sorted((r["alias"], len(r["evidence"] or [])) for r in got.collect()) == [("x", 1), ("y", 0), ("z", 0)]
