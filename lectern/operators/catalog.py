@@ -13,6 +13,10 @@ def _last(c: str) -> list[Column]:
     return [F.col(c).isNull(), F.col(c).desc()]
 
 
+#: Fixed value: how words of artifacts were counted.
+WORD_COUNT_METHOD = "whitespace_tokens"
+
+
 def work_metrics(artifacts: DataFrame) -> DataFrame:
     return artifacts.groupBy("work_id").agg(
         F.count("*").alias("artifact_count"),
@@ -34,6 +38,7 @@ def list_collections(works: DataFrame, artifacts: DataFrame) -> DataFrame:
         F.count("*").alias("work_count"),
         F.coalesce(F.sum("segment_count"), F.lit(0)).alias("segment_count"),
         F.coalesce(F.sum("word_count"), F.lit(0)).alias("word_count"),
+        F.lit(WORD_COUNT_METHOD).alias("word_count_method"),
     )
 
 
@@ -154,26 +159,43 @@ def author_sections(works: DataFrame) -> DataFrame:
     return named.groupBy(section_key(F.col("author")).alias("section")).agg(F.count("*").alias("author_count"))
 
 
-def duplicate_titles(works: DataFrame) -> DataFrame:
-    """Titles that several works share, with what to do about them."""
-    found = works.groupBy(F.lower(F.trim("title")).alias("key")).agg(
+def _in_order(value: str) -> Column:
+    """A group's values as an array, in the order of author, title and work."""
+    listed = F.sort_array(F.collect_list(F.struct("author", "title", "work_id", F.col(value).alias("value"))))
+    return F.transform(listed, lambda x: x["value"])
+
+
+def duplicate_titles(works: DataFrame, language: str | None = None) -> DataFrame:
+    """Titles that several works of a language share, in any case, with what to do about them."""
+    own = works if language is None else works.filter(F.col("language") == language)
+    found = own.filter(F.length(F.trim("title")) > 0).groupBy("language", F.lower(F.trim("title")).alias("duplicate_key")).agg(
+        F.min(F.trim("title")).alias("display"),
         F.count("*").alias("work_count"),
-        F.countDistinct(F.coalesce("author_id", F.lit(""))).alias("author_count"),
-        F.array_join(F.array_sort(F.collect_list("work_id")), ",").alias("work_ids"),
-        F.array_join(F.array_sort(F.collect_set("collection_id")), ", ").alias("collections"),
+        F.countDistinct(F.trim("author")).alias("author_count"),
+        F.array_sort(F.collect_set(F.trim("title"))).alias("display_values"),
+        _in_order("work_id").alias("work_ids"),
+        _in_order("author").alias("authors"),
     )
-    policy = F.when(F.col("author_count") > 1, "different-authors").otherwise("same-author-review")
-    return found.filter(F.col("work_count") > 1).withColumn("policy", policy)
+    policy = F.when(F.col("author_count") > 1, "preserve_title_disambiguate_by_author").otherwise("review_possible_edition_or_import_duplicate")
+    return found.filter(F.col("work_count") > 1).select(F.lit("title").alias("kind"), "*", policy.alias("suggested_policy"))
 
 
-def duplicate_authors(works: DataFrame) -> DataFrame:
-    """Author names with more than one author id; null counts as an id of its own."""
-    found = works.groupBy(F.lower(F.trim("author")).alias("key")).agg(
+def duplicate_authors(works: DataFrame, language: str | None = None) -> DataFrame:
+    """Author names of a language with more than one author id; null counts as an empty id."""
+    own = works if language is None else works.filter(F.col("language") == language)
+    ids = F.coalesce("author_id", F.lit(""))
+    found = own.filter(F.length(F.trim("author")) > 0).groupBy("language", F.lower(F.trim("author")).alias("duplicate_key")).agg(
+        F.min(F.trim("author")).alias("display"),
         F.count("*").alias("work_count"),
-        F.countDistinct(F.coalesce("author_id", F.lit(""))).alias("id_count"),
-        F.array_join(F.array_sort(F.collect_set(F.coalesce("author_id", F.lit("")))), ",").alias("author_ids"),
+        F.countDistinct(ids).alias("authority_count"),
+        F.array_sort(F.collect_set(F.trim("author"))).alias("display_values"),
+        F.array_sort(F.collect_set(ids)).alias("author_ids"),
+        _in_order("work_id").alias("work_ids"),
+        _in_order("title").alias("titles"),
+    )
+    return found.filter(F.col("authority_count") > 1).select(
+        F.lit("author").alias("kind"), "*", F.lit("review_authority_collision").alias("suggested_policy")
     )
-    return found.filter(F.col("id_count") > 1)
 
 
 def duplicate_canonical_ids(works: DataFrame) -> DataFrame:
@@ -262,20 +284,24 @@ def source_index(works: DataFrame, editions: DataFrame, artifacts: DataFrame, so
     )
 
 
-def summary(works: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """One row of counts; either side is one aggregate."""
-    a = works.agg(
-        F.countDistinct("collection_id").alias("collections"),
-        F.countDistinct("language").alias("languages"),
-        F.count("*").alias("works"),
-        F.countDistinct(author_identity()).alias("authors"),
-    )
-    b = artifacts.agg(
-        F.count("*").alias("artifacts"),
-        F.coalesce(F.sum("segment_count"), F.lit(0)).cast("bigint").alias("segments"),
-        F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint").alias("words"),
-    )
-    return a.withColumn("_k", F.lit(0)).join(b.withColumn("_k", F.lit(0)), "_k").drop("_k")
+def summary(works: DataFrame, artifacts: DataFrame, aliases: DataFrame, source_files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """One row of counts; each table is one aggregate, and the one-row results meet on a constant."""
+    parts = [
+        works.agg(F.countDistinct("collection_id").alias("collection_count"), F.count("*").alias("work_count")),
+        artifacts.agg(
+            F.count("*").alias("artifact_count"),
+            F.coalesce(F.sum("segment_count"), F.lit(0)).cast("bigint").alias("segment_count"),
+            F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint").alias("word_count"),
+        ),
+        aliases.agg(F.count("*").alias("alias_count")),
+        source_files.agg(F.count("*").alias("source_file_count")),
+        metadata.agg(F.count("*").alias("metadata_count")),
+    ]
+    out = None
+    for part in parts:
+        keyed = part.withColumn("_k", F.lit(0))
+        out = keyed if out is None else out.join(keyed, "_k")
+    return out.drop("_k").withColumn("word_count_method", F.lit(WORD_COUNT_METHOD))
 
 
 def resolve_refs(refs: DataFrame, works: DataFrame, aliases: DataFrame) -> DataFrame:

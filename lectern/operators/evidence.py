@@ -27,19 +27,24 @@ def witness_senses(triples: DataFrame) -> DataFrame:
     glosses = triples.filter("predicate = 'gloss'").select("claim_id", "tool", F.col("subject").alias("sense"), F.col("object").alias("gloss"), "ord")
     joined = glosses.join(senses, ["claim_id", "sense"]).withColumn("normalized", normalize_gloss(F.col("gloss")))
     found = joined.groupBy("claim_id", "tool", "sense", "lexeme", "normalized").agg(F.min_by("gloss", "ord").alias("gloss"))
-    return found.withColumn("witness_id", stable_id("wsu-", F.col("lexeme"), F.col("sense"), F.col("normalized"), F.col("claim_id")))
+    return found.withColumn("witness_id", stable_id("wsu:", F.col("lexeme"), F.col("sense"), F.col("normalized"), F.col("claim_id")))
 
 
-def reduce_exact(witnesses: DataFrame) -> DataFrame:
-    """Sense buckets by normalized gloss, with their witnesses, claims and label."""
+def reduce_exact(witnesses: DataFrame, language: str) -> DataFrame:
+    """Sense buckets by normalized gloss: witnesses, claims, the first witness's gloss, and how well they are attested."""
     found = witnesses.groupBy("normalized").agg(
         F.count("*").alias("size"),
         F.countDistinct("claim_id").alias("claims"),
         F.min_by("gloss", F.struct("claim_id", "sense")).alias("display"),
         F.array_sort(F.collect_set("witness_id")).alias("witnesses"),
     )
-    label = F.when(F.col("claims") > 1, "supported").otherwise("provisional")
-    return found.withColumn("label", label).withColumn("bucket_id", stable_id("bucket-", F.col("normalized")))
+    many = F.col("size") > 1
+    return found.select(
+        "*",
+        F.when(many, "multi-witness").otherwise("single-witness").alias("label"),
+        F.when(many, F.array().cast("array<string>")).otherwise(F.array(F.lit("provisional"))).alias("notes"),
+        stable_id("bucket:", F.lit(language), F.col("normalized")).alias("bucket_id"),
+    )
 
 
 def interpretations(triples: DataFrame) -> DataFrame:

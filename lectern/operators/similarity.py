@@ -10,6 +10,21 @@ from lectern.operators.graph import components
 from lectern.storage import cut
 
 
+#: Thresholds of the two modes, and which source speaks first for a cluster.
+MODES = {"open": 0.25, "skeptic": 0.5}
+SOURCE_PRIORITY = {
+    "dico": 1, "gaffiot": 1, "georges_1913": 1, "cdsl": 2, "mw": 2, "ap90": 3, "whitaker": 4, "whitakers": 4,
+    "diogenes": 5, "lsj": 5, "lewis_short": 5, "heritage": 6, "cltk": 7,
+}
+
+
+def representatives(members: DataFrame, cluster: str, tool: str, sense: str, key: str) -> DataFrame:
+    """``cluster, representative``: of each cluster the member with the first source, then tool, sense and key."""
+    known = F.create_map(*(F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv))
+    order = F.struct(F.coalesce(known[F.col(tool)], F.lit(99)), tool, sense, key)
+    return members.groupBy(cluster).agg(F.min_by(key, order).alias("representative"))
+
+
 def similar_pairs(items: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """``a, b, score``: pairs (a < b) whose token sets have a Jaccard similarity of at least ``threshold``.
 
@@ -51,4 +66,4 @@ def exact_buckets(items: DataFrame, key: str, text: str) -> DataFrame:
         F.count("*").alias("size"), F.min(key).alias("first_key"), F.min_by(text, key).alias("display"),
         F.array_sort(F.collect_list(key)).alias("members"),
     )
-    return found.withColumn("label", F.when(F.col("size") > 1, "supported").otherwise("provisional"))
+    return found.withColumn("label", F.when(F.col("size") > 1, "multi-witness").otherwise("single-witness"))

@@ -20,7 +20,7 @@ IDENTITY = """CASE WHEN trim(coalesce(author_id, '')) <> '' THEN author_id
         "works",
         "artifacts",
         sql="""SELECT collection_id, count(*) AS work_count, CAST(coalesce(sum(s), 0) AS BIGINT) AS segment_count,
-  CAST(coalesce(sum(t), 0) AS BIGINT) AS word_count
+  CAST(coalesce(sum(t), 0) AS BIGINT) AS word_count, 'whitespace_tokens' AS word_count_method
 FROM works LEFT JOIN (SELECT work_id, sum(segment_count) s, sum(token_count) t FROM artifacts GROUP BY 1) m USING (work_id)
 GROUP BY 1""",
     )
@@ -33,13 +33,15 @@ def collections_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_tables(
         "works",
         "artifacts",
-        sql=f"""SELECT * FROM (SELECT count(DISTINCT collection_id) AS collections, count(DISTINCT language) AS languages,
-  count(*) AS works, count(DISTINCT {IDENTITY}) AS authors FROM works),
-(SELECT count(*) AS artifacts, CAST(sum(segment_count) AS BIGINT) AS segments, CAST(sum(token_count) AS BIGINT) AS words FROM artifacts)""",
+        "aliases",
+        sql="""SELECT *, 'whitespace_tokens' AS word_count_method FROM (SELECT count(DISTINCT collection_id) AS collection_count, count(*) AS work_count FROM works),
+(SELECT count(*) AS artifact_count, CAST(sum(segment_count) AS BIGINT) AS segment_count, CAST(sum(token_count) AS BIGINT) AS word_count FROM artifacts),
+(SELECT count(*) AS alias_count FROM aliases), (SELECT count(*) AS source_file_count FROM supplier), (SELECT count(*) AS metadata_count FROM orders)""",
     )
 )
 def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.summary(table(spark, sf_dir, "works"), table(spark, sf_dir, "artifacts"))
+    own = (table(spark, sf_dir, t) for t in ("works", "artifacts", "aliases"))
+    return catalog.summary(*own, read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "orders"))
 
 
 _SHOW = ["work_id", "collection_id", "language", "title", "author"]
@@ -164,29 +166,39 @@ def author_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.author_sections(names)
 
 
+_LISTS = {"display_values", "work_ids", "authors", "author_ids", "titles"}
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    return df.select(*(F.array_join(c, ",").alias(c) if c in _LISTS else c for c in df.columns))
+
+
 @R.query(
     with_tables(
         "works",
-        sql="""SELECT lower(trim(title)) AS key, count(*) AS work_count, count(DISTINCT coalesce(author_id, '')) AS author_count,
-  string_agg(work_id, ',' ORDER BY work_id) AS work_ids, string_agg(DISTINCT collection_id, ', ' ORDER BY collection_id) AS collections,
-  CASE WHEN count(DISTINCT coalesce(author_id, '')) > 1 THEN 'different-authors' ELSE 'same-author-review' END AS policy
-FROM works GROUP BY 1 HAVING count(*) > 1""",
+        sql="""SELECT 'title' AS kind, language, lower(trim(title)) AS duplicate_key, min(trim(title)) AS display, count(*) AS work_count,
+  count(DISTINCT trim(author)) AS author_count, string_agg(DISTINCT trim(title), ',' ORDER BY trim(title)) AS display_values,
+  string_agg(work_id, ',' ORDER BY author, title, work_id) AS work_ids, string_agg(author, ',' ORDER BY author, title, work_id) AS authors,
+  CASE WHEN count(DISTINCT trim(author)) > 1 THEN 'preserve_title_disambiguate_by_author' ELSE 'review_possible_edition_or_import_duplicate' END AS suggested_policy
+FROM works WHERE length(trim(title)) > 0 GROUP BY language, lower(trim(title)) HAVING count(*) > 1""",
     )
 )
 def duplicate_titles_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.duplicate_titles(table(spark, sf_dir, "works"))
+    return _joined(catalog.duplicate_titles(table(spark, sf_dir, "works")))
 
 
 @R.query(
     with_tables(
         "works",
-        sql="""SELECT lower(trim(author)) AS key, count(*) AS work_count, count(DISTINCT coalesce(author_id, '')) AS id_count,
-  string_agg(DISTINCT coalesce(author_id, ''), ',' ORDER BY coalesce(author_id, '')) AS author_ids
-FROM works GROUP BY 1 HAVING count(DISTINCT coalesce(author_id, '')) > 1""",
+        sql="""SELECT 'author' AS kind, language, lower(trim(author)) AS duplicate_key, min(trim(author)) AS display, count(*) AS work_count,
+  count(DISTINCT coalesce(author_id, '')) AS authority_count, string_agg(DISTINCT trim(author), ',' ORDER BY trim(author)) AS display_values,
+  string_agg(DISTINCT coalesce(author_id, ''), ',' ORDER BY coalesce(author_id, '')) AS author_ids, string_agg(work_id, ',' ORDER BY author, title, work_id) AS work_ids,
+  string_agg(title, ',' ORDER BY author, title, work_id) AS titles, 'review_authority_collision' AS suggested_policy
+FROM works WHERE length(trim(author)) > 0 GROUP BY language, lower(trim(author)) HAVING count(DISTINCT coalesce(author_id, '')) > 1""",
     )
 )
 def duplicate_authors_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.duplicate_authors(table(spark, sf_dir, "works"))
+    return _joined(catalog.duplicate_authors(table(spark, sf_dir, "works")))
 
 
 @R.query(

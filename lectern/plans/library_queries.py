@@ -221,7 +221,7 @@ def entry_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("lemma"), F.concat_ws("; ", "p_name", "p_brand").alias("gloss")
     )
     claims = evidence.entry_claims(entries, "dictionary")
-    found = evidence.reduce_exact(evidence.witness_senses(evidence.claim_triples(claims)))
+    found = evidence.reduce_exact(evidence.witness_senses(evidence.claim_triples(claims)), "lat")
     return found.select("normalized", "size", "claims")
 
 

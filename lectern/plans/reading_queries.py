@@ -298,7 +298,7 @@ def similarity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    """SELECT md5(bucket) AS bucket_md5, size, first_key, md5(display) AS display_md5, CASE WHEN size > 1 THEN 'supported' ELSE 'provisional' END AS label, members
+    """SELECT md5(bucket) AS bucket_md5, size, first_key, md5(display) AS display_md5, CASE WHEN size > 1 THEN 'multi-witness' ELSE 'single-witness' END AS label, members
 FROM (SELECT trim(regexp_replace(lower(text), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS bucket, count(*) AS size, min(doc_id) AS first_key, arg_min(text, doc_id) AS display,
   string_agg(CAST(doc_id AS STRING), ',' ORDER BY doc_id) AS members FROM documents GROUP BY 1)"""
 )
@@ -337,7 +337,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query(
     """SELECT concat('c', CAST(s_suppkey AS STRING)) AS claim_id, concat('sense:', CAST(s_nationkey AS STRING)) AS sense, 'lex:last' AS lexeme,
   concat('gloss of ', CAST(s_nationkey AS STRING)) AS normalized, concat('  Gloss   OF ', CAST(s_nationkey AS STRING)) AS gloss,
-  concat('wsu-', substr(sha256(concat_ws(chr(31), 'lex:last', concat('sense:', CAST(s_nationkey AS STRING)), concat('gloss of ', CAST(s_nationkey AS STRING)), concat('c', CAST(s_suppkey AS STRING)))), 1, 16)) AS witness_id
+  concat('wsu:', substr(sha256(concat_ws(chr(31), 'lex:last', concat('sense:', CAST(s_nationkey AS STRING)), concat('gloss of ', CAST(s_nationkey AS STRING)), concat('c', CAST(s_suppkey AS STRING)))), 1, 16)) AS witness_id
 FROM supplier"""
 )
 def witness_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,11 +347,11 @@ def witness_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     """SELECT concat('gloss of ', CAST(s_nationkey AS STRING)) AS normalized, count(*) AS size, count(*) AS claims, concat('  Gloss   OF ', CAST(s_nationkey AS STRING)) AS display,
-  CASE WHEN count(*) > 1 THEN 'supported' ELSE 'provisional' END AS label,
-  concat('bucket-', substr(sha256(concat('gloss of ', CAST(s_nationkey AS STRING))), 1, 16)) AS bucket_id FROM supplier GROUP BY s_nationkey"""
+  CASE WHEN count(*) > 1 THEN 'multi-witness' ELSE 'single-witness' END AS label,
+  concat('bucket:', substr(sha256(concat_ws(chr(31), 'lat', concat('gloss of ', CAST(s_nationkey AS STRING)))), 1, 16)) AS bucket_id FROM supplier GROUP BY s_nationkey"""
 )
 def reduce_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.reduce_exact(evidence.witness_senses(evidence.claim_triples(_claims(spark, sf_dir))))
+    found = evidence.reduce_exact(evidence.witness_senses(evidence.claim_triples(_claims(spark, sf_dir))), "lat")
     return found.select("normalized", "size", "claims", "display", "label", "bucket_id")
 
 

@@ -21,10 +21,11 @@ def test_conform_adds_casts_and_drops(spark):
 
 
 def test_catalog_on_empty_tables(spark):
-    t = {n: schemas.empty(spark, n) for n in ("works", "artifacts", "work_classifications", "aliases")}
+    t = {n: schemas.empty(spark, n) for n in ("works", "artifacts", "work_classifications", "aliases", "source_files", "source_metadata")}
     assert catalog.list_collections(t["works"], t["artifacts"]).count() == 0
     assert catalog.list_works(t["works"], t["work_classifications"], t["aliases"], query="x", group="g").count() == 0
-    assert catalog.summary(t["works"], t["artifacts"]).first()["works"] == 0
+    assert catalog.summary(*(t[n] for n in ("works", "artifacts", "aliases", "source_files", "source_metadata"))).first()["work_count"] == 0
+    assert catalog.duplicate_titles(t["works"]).count() == 0
 
 
 def test_pseudo_authors_only_when_asked_for(spark):
@@ -133,3 +134,8 @@ def test_cosine_dice_jaccard(spark):
 
 def test_cursor_offset():
     assert [windows.cursor_offset(c) for c in ("12", "x", None, "-3", "")] == [12, 0, 0, 0, 0]
+
+
+def test_representatives_follow_source_priority(spark):
+    df = spark.createDataFrame([("c", "lsj", "s1", 1), ("c", "mw", "s2", 2), ("c", "mw", "s1", 3), ("d", "other", "s", 4)], "cluster string, tool string, sense string, id int")
+    assert rows(similarity.representatives(df, "cluster", "tool", "sense", "id")) == [("c", 3), ("d", 4)]
