@@ -52,13 +52,26 @@ def author_name(c: Column) -> Column:
     return F.when(F.size(two) == 2, F.concat_ws(" ", F.get(two, 1), F.get(two, 0))).otherwise(bare)
 
 
-def lemma_keys(c: Column) -> Column:
-    """Keys under which forms of one lemma meet: as it is, without digits, hyphens, a tag, or a last h."""
-    low = F.lower(F.trim(c))
-    bare = F.regexp_replace(low, r"[\d\s]+$", "")
-    joined = F.regexp_replace(bare, r"[-‐·]", "")
-    keys = F.array(low, bare, joined, F.regexp_replace(joined, "#.*$", ""), F.translate(joined, "jv", "iu"), F.regexp_replace(joined, "h$", ""))
-    return F.array_distinct(F.filter(keys, lambda k: k != ""))
+def lemma_keys(lemma: Column, folded: Column | None = None) -> Column:
+    """Keys under which spellings of one lemma meet, each once.
+
+    They are the lemma and what stands before its tag, and for either the letters and digits of its accent-free form (``folded``;
+    the lemma itself where none is given) as they are, with long vowels and z reduced, and with f for r; a last h may go.
+    """
+    raw = F.regexp_replace(F.lower(lemma), "^lex:", "")
+    plain = raw if folded is None else F.regexp_replace(F.lower(folded), "^lex:", "")
+
+    def spellings(x: Column) -> list[Column]:
+        compact = F.regexp_replace(x, "[^a-z0-9]+", "")
+        short = compact
+        for long, vowel in (("aa", "a"), ("ii", "i"), ("uu", "u"), ("z", "s")):
+            short = F.replace(short, F.lit(long), F.lit(vowel))
+        return [compact, short, F.translate(compact, "f", "r")]
+
+    head = lambda x: F.substring_index(x, "#", 1)
+    keys = F.array(raw, head(raw), *spellings(plain), *spellings(head(plain)))
+    trimmed = F.transform(F.filter(keys, lambda k: k.rlike(".[hḥ]$")), lambda k: F.substring(k, F.lit(1), F.char_length(k) - 1))
+    return F.array_distinct(F.filter(F.concat(keys, trimmed), lambda k: k != ""))
 
 
 def morph_features(c: Column, codes: dict[str, tuple[str, str]]) -> Column:

@@ -3,6 +3,7 @@ plain ASCII column should take ``lectern.functions.text`` instead."""
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 
@@ -93,6 +94,26 @@ def plain_key(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", "", strip_marks((text or "").lower()))
 
 
+def expand_variants(text: str, choices: dict[str, list[str]], most: int = 64) -> list[str]:
+    """Spellings of a text in which each part of ``choices`` may stand for any of its values; at most ``most``, in order of generation.
+
+    The bound is the feature: a search asks for a limited number of spellings.
+    """
+    parts = re.split("(" + "|".join(re.escape(k) for k in sorted(choices, key=len, reverse=True)) + ")", text) if choices else [text]
+    slots = [choices.get(p, [p]) for p in parts if p]
+    return list(dict.fromkeys("".join(p) for p in itertools.islice(itertools.product(*slots), most)))
+
+
+def variants_column(choices: dict[str, list[str]], c: Column, most: int = 64) -> Column:
+    """The spellings of a column as arrays."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: expand_variants(t, choices, most), na_action="ignore")
+
+    return run(c)
+
+
 def _column(f):
     """The function as an Arrow UDF from text to text; null stays null."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import references, scripts
 from lectern.functions import text as X
-from lectern.operators import evidence, passages, ranking, text_search, translation
+from lectern.operators import evidence, passages, ranking, text_search, tokens, translation
 from lectern.plans.registry import Registry
 from lectern.sources import dictionaries
 from lectern.storage import read_table, spread
@@ -242,3 +242,31 @@ def word_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = text_search.postings(docs.withColumnRenamed("lang", "language").withColumn("k", F.struct("language", "doc_id")), "k", "text", words)
     hits = hits.select(F.col("k.language").alias("language"), F.col("term").alias("word"))
     return evidence.word_context(asked, entries, hits, docs.select(F.col("lang").alias("language")))
+
+
+@R.query(
+    """WITH w AS (SELECT conv_id, turn, list_filter(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda x: x <> '') AS ws FROM conversations)
+SELECT conv_id, turn, len(ws) AS tokens, ws[1] AS first_token, ws[len(ws)] AS last_token FROM w WHERE len(ws) > 0"""
+)
+def passage_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.tokenize(read_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    return found.groupBy("conv_id", "turn").agg(
+        F.count("*").alias("tokens"), F.min_by("surface", "token_no").alias("first_token"), F.max_by("surface", "token_no").alias("last_token")
+    )
+
+
+@R.query(
+    """SELECT n_nationkey AS source_id, n_regionkey + 1000 AS target_id, 'contained_in' AS relation_type FROM nation
+UNION ALL SELECT n_regionkey + 1000, n_nationkey, 'contains' FROM nation"""
+)
+def contained_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("contained_work_id"), (F.col("n_regionkey") + 1000).alias("parent_work_id"))
+    return tokens.contained_relations(pairs)
+
+
+@R.query(
+    """SELECT p_partkey, quality AS answer_quality, quality IS NOT NULL AS answered FROM part LEFT JOIN labels ON p_partkey = doc_id"""
+)
+def merged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("p_partkey"), "quality")
+    return tokens.merge_answers(read_table(spark, sf_dir, "part").select("p_partkey"), answers, "p_partkey", F.col("quality"))

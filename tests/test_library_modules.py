@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import references, scripts
-from lectern.operators import passages, ranking, translation
+from lectern.operators import passages, ranking, tokens, translation
+from lectern.plans.cache import ExpiringCache
 from lectern.sources import dictionaries
 from lectern.sources.store import TableStore
 
@@ -42,7 +43,7 @@ def test_morphology_and_glosses(spark):
         references.compact_gloss(F.col("g"), 6, 3).alias("s"), references.lemma_keys(F.lit("Ag-nih 2")).alias("k"),
     ).collect()
     assert got[0]["mm"] == {"gender": "masculine", "case": "nominative", "number": "singular"} and got[1]["mm"] == {}
-    assert got[0]["gg"] == ["wolf", "a tap"] and got[0]["s"] == "wolf" and got[1]["gg"] == [] and "agni" in got[0]["k"]
+    assert got[0]["gg"] == ["wolf", "a tap"] and got[0]["s"] == "wolf" and got[1]["gg"] == [] and "agnih2" in got[0]["k"]
 
 
 def test_ranking(spark):
@@ -123,3 +124,35 @@ def test_table_store(spark, tmp_path):
         stale.version = lambda table: 0
         (tmp_path / "s" / "works" / "v=1").exists()
         stale.replace("works", works(("9", "x", "y", 1)))
+
+
+def test_tokens_compounds_and_concepts(spark):
+    df = spark.createDataFrame([(1, "«Rāja-putra», eva!  ... x"), (2, None)], "id int, text string")
+    found = tokens.tokenize(df, ["id"], "text")
+    assert [(r["surface"], r["n_parts"]) for r in found.orderBy("token_no").collect()] == [("Rāja-putra", 2), ("eva", 1), ("x", 1)]
+    assert [(r["part_no"], r["part"]) for r in tokens.compound_parts(found, ["id"]).orderBy("part_no").collect()] == [(0, "Rāja"), (1, "putra")]
+    features = spark.createDataFrame([(1, {"case": "genitive", "number": "plural"})], "id int, features map<string,string>")
+    concepts = spark.createDataFrame([("case", "genitive", "c1"), ("number", "plural", "c0"), ("case", "dative", "c9")], "feature string, value string, concept_id string")
+    assert tokens.concepts_of(features, ["id"], concepts).first()["concept_ids"] == ["c0", "c1"]
+
+
+def test_variants_and_lemma_keys(spark):
+    assert scripts.expand_variants("sita", {"s": ["s", "ś"], "i": ["i", "ī"]}) == ["sita", "sīta", "śita", "śīta"]
+    assert len(scripts.expand_variants("a" * 20, {"a": ["a", "ā"]}, 64)) == 64
+    df = spark.createDataFrame([("lex:Kfzna#noun",), ("raamah",)], "x string")
+    got = [r[0] for r in df.select(references.lemma_keys(F.col("x"))).collect()]
+    assert {"kfzna#noun", "kfzna", "kfsna", "krzna"} <= set(got[0]) and {"raamah", "ramah", "raama", "rama"} <= set(got[1])
+    told = df.select(scripts.variants_column({"a": ["a", "ā"]}, F.col("x"), 2).alias("v")).collect()
+    assert told[1]["v"] == ["raamah", "raamāh"]
+
+
+def test_expiring_cache():
+    now, made = [0.0], []
+    cache = ExpiringCache(2, 10, lambda: now[0])
+    get = lambda k: cache.get(k, lambda: made.append(k) or k)
+    get("a"), get("b"), get("a"), get("c")
+    assert made == ["a", "b", "c"] and len(cache) == 2
+    get("b")
+    now[0] = 11
+    get("b")
+    assert made == ["a", "b", "c", "b", "b"]
