@@ -7,8 +7,8 @@ a few words in a long text aren't diluted.  Embeddings and softmax are trained j
 whole texts, then on each text's worst window.  As a misspelled or newly built word shares most n-grams with the known one,
 it shares its vectors.
 
-The fit takes a bounded sample, ``FIT_ROWS`` labelled texts of each class by hash order, of at most ``FIT_CHARS`` characters
-each; scoring reads whole texts.  As softmax and mean are linear, executors need one number for each table row (1 MB).
+The fit takes a bounded sample, ``FIT_ROWS`` labelled texts of each class by hash order, longer ones than ``FIT_CHARS``
+characters left out; scoring reads whole texts.  As softmax and mean are linear, executors need one number for each table row (1 MB).
 
 Defined results: null and empty texts, and texts without a letter or digit, get the score of an empty bag; repeated rows are
 scored each; labels of one class only, or none, give every text the share of toxic labels (0 without labels); an
@@ -32,7 +32,7 @@ DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 WINDOW = 8
 FIT_ROWS = 2000
-FIT_CHARS = 200_000
+FIT_CHARS = 20_000
 EPOCHS_BAG, EPOCHS_WINDOW = 1, 8
 #: Small samples are gone through more often, to make at least so many steps.
 STEPS = 300
