@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keep_latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that comes first in the order; one pass of the partial aggregate, no sort of groups."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def keep_latest(rows: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
+    """The row of each key with the largest values of ``newest``, compared one after the other (null is smallest).
+
+    An aggregate, so each task sends at most one row of a key.
+    """
+    best = F.max_by(F.struct(*rows.columns), F.struct(*newest)).alias("_row")
+    return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(best).select("_row.*")
 
 
 def replace_by_key(table: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

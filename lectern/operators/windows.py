@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.numbering import row_numbers
+
 
 def navigation(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """The rows with the previous and next ``value`` in each key's order."""
@@ -118,9 +120,11 @@ def best_rows(rows: DataFrame, keys: list[str], order: list, k: int = 1) -> Data
 
 
 def interleave(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
-    """Round robin over the sources: each row's ``turn`` within its source; sort by turn and source to read it."""
-    w = Window.partitionBy(source).orderBy(*order)
-    return rows.withColumn("turn", F.row_number().over(w).cast("bigint"))
+    """Round robin over the sources: each row's ``turn`` within its source; sort by turn and source to read it.
+
+    A source may hold most rows, so turns are numbered by ranges instead of one window for each source.
+    """
+    return row_numbers(rows, [source], order, "turn")
 
 
 def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:

@@ -380,7 +380,7 @@ def supersede_self_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def keep_latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events")
-    found = dml.keep_latest(events, ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")])
+    found = dml.keep_latest(events, ["user_id", "event_type"], ["ts", "event_id"])
     return found.select("user_id", "event_type", "event_id", "value")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import evidence, similarity, text_search, windows
+from lectern.operators.numbering import row_numbers
 from lectern.plans.analogs import table, with_tables
 from lectern.plans.registry import Registry
 from lectern.sources import text_formats
@@ -166,11 +167,9 @@ def interleave_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY inner_turn, source) AS turn FROM a"""
 )
 def interleave_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(read_table(spark, sf_dir, "documents"))
-    inner = Window.partitionBy("lang", "source").orderBy("doc_id")
-    own = docs.withColumn("inner_turn", F.row_number().over(inner))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("inner_turn", "source"))
-    return own.select("doc_id", "lang", "source", turn.cast("bigint").alias("turn"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    inner = row_numbers(docs, ["lang", "source"], ["doc_id"], "inner_turn")
+    return row_numbers(inner, ["lang"], ["inner_turn", "source"], "turn").drop("inner_turn")
 
 
 @R.query(

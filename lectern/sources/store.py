@@ -67,7 +67,7 @@ class TableStore:
     def register_works(self, works: DataFrame, artifacts: DataFrame, order: str | None = None) -> None:
         """Incoming works and artifacts replace those of the same ids; of several incoming rows of an id the last in ``order`` wins."""
         if order:
-            works = dml.keep_latest(works, ["work_id"], [F.desc(order)])
+            works = dml.keep_latest(works, ["work_id"], [order])
         self.replace_keys("works", works, ["work_id"])
         self.replace("artifacts", dml.replace_by_key(self.read("artifacts"), schemas.conform(artifacts, "artifacts"), ["work_id"]))
 

@@ -7,6 +7,7 @@ from lectern import schemas
 from lectern.functions import text as X
 from lectern.operators import catalog, dml, evidence, similarity, stages, text_search, windows
 from lectern.operators.graph import components
+from lectern.operators.numbering import row_numbers
 
 
 def rows(df, *columns):
@@ -139,3 +140,11 @@ def test_cursor_offset():
 def test_representatives_follow_source_priority(spark):
     df = spark.createDataFrame([("c", "lsj", "s1", 1), ("c", "mw", "s2", 2), ("c", "mw", "s1", 3), ("d", "other", "s", 4)], "cluster string, tool string, sense string, id int")
     assert rows(similarity.representatives(df, "cluster", "tool", "sense", "id")) == [("c", 3), ("d", 4)]
+
+
+def test_row_numbers_of_a_large_key(spark):
+    data = [("hot", i * 37 % 1009) for i in range(1009)] + [("b", 5), ("b", 1), (None, 2), (None, 1)]
+    got = row_numbers(spark.createDataFrame(data, "k string, v int"), ["k"], ["v"]).collect()
+    assert {(r["k"], r["v"], r["number"]) for r in got if r["k"] == "hot"} == {("hot", v, v + 1) for v in range(1009)}
+    assert {(r["k"], r["v"]): r["number"] for r in got if r["k"] != "hot"} == {("b", 1): 1, ("b", 5): 2, (None, 1): 1, (None, 2): 2}
+    assert row_numbers(spark.createDataFrame([], "k string, v int"), ["k"], ["v"]).count() == 0
