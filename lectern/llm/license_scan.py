@@ -82,8 +82,12 @@ def _positions(docs: DataFrame, templates: list[Template]) -> DataFrame:
     hashed = F.when(F.col("k") == 0, F.lit(0).cast("bigint"))
     for k in GRAMS:
         hashed = hashed.when(F.col("k") == k, _hash([F.xxhash64(F.get(parts, i)) for i in range(k)]))
-    frame = frame.withColumn("hash", hashed)
-    return F.broadcast(frame) if len(rows) <= BROADCAST_GRAMS else frame
+    return frame.withColumn("hash", hashed)
+
+
+def _few(templates: list[Template]) -> bool:
+    """Whether the templates' k-grams are few enough to broadcast."""
+    return sum(len(t.words) for t in templates) <= BROADCAST_GRAMS
 
 
 def _hash(words: list[Column]) -> Column:
@@ -104,20 +108,18 @@ def hits(docs: DataFrame, templates: list[Template]) -> DataFrame:
         first = F.slice(h, 1, F.greatest(F.size(h) - (k - 1), F.lit(0)))
         grams.append(_rolling(first, h, k))
     each = b.select("doc_id", "text_hash", "d", F.explode(F.concat(*grams)).alias("g"))
-    each = each.select("doc_id", "text_hash", "d", F.col("g.k").alias("gk"), F.col("g.i").alias("i"), F.col("g.hash").alias("hash"))
-    found = each.join(_positions(docs, templates), "hash")
-    same = F.array_join(F.slice(F.col("d.w"), F.col("i") + 1, F.col("k")), " ") == F.col("gram")
-    found = found.filter((F.col("k") == F.col("gk")) & ((F.col("k") == 0) | same))
+    spelled = F.array_join(F.slice(F.col("d.w"), F.greatest(F.col("g.i"), F.lit(0)) + 1, F.col("g.k")), " ").alias("spelled")
+    of_gram = [F.col("g.k").alias("gk"), F.col("g.i").alias("i"), F.col("g.hash").alias("hash")]
+    keys = ["doc_id", "text_hash", F.size("d.w").alias("n")]
+    positions = _positions(docs, templates)
+    if _few(templates):  # the join stays in the scan's stage, and only hits are spelled out
+        joined = each.select(*keys, "d", "g", *of_gram).join(F.broadcast(positions), "hash")
+        found = joined.select("*", spelled)
+    else:  # k-grams are shuffled, so they carry their own words and not the document's
+        found = each.select(*keys, *of_gram, spelled).join(positions, "hash")
+    found = found.filter((F.col("k") == F.col("gk")) & ((F.col("k") == 0) | (F.col("spelled") == F.col("gram"))))
     return (
-        found.select(
-            "doc_id",
-            "text_hash",
-            F.size("d.w").alias("n"),
-            "template",
-            (F.col("i") - F.col("at")).alias("diagonal"),
-            "i",
-            "k",
-        )
+        found.select("doc_id", "text_hash", "n", "template", (F.col("i") - F.col("at")).alias("diagonal"), "i", "k")
         .groupBy("doc_id", "text_hash", "n", "template", "diagonal")
         .agg(F.count("*").alias("votes"), F.min("i").alias("begin"), F.max(F.col("i") + F.col("k")).alias("end"))
     )

@@ -213,4 +213,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+_ESCAPED = r"regexp_replace({}, '([<\[])(~*)(/?(?:s>|INST\]|ROLE\]|NEXT\]))', '\1\2~\3', 'g')"
+
+#: The other operators' results hang on trained models, library tokenizers or hashes that SQL has not; tests hold them against plain versions.
+ORACLES: dict[str, str] = {
+    "op4_chat_format": f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}'))),
+m AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role THEN 0 ELSE 1 END AS opens FROM r)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESCAPED.format("text")}) + CASE WHEN opens = 1 THEN length('<s>[ROLE][/ROLE]</s>') + length({_ESCAPED.format("role")}) ELSE length('[NEXT]') END) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id""",
+}

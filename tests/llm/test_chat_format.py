@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import chat_format as C
 from lectern.llm import queries
+from tests.compare import oracle_rows, spark_rows
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, formatted string, ts int, runs int"
 
@@ -66,3 +67,7 @@ def test_query(spark, sf_dir):
     assert got.keys() == turns.keys()
     for c, t in turns.items():
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == digests(t)
+
+
+def test_query_equals_sql(spark, sf_dir):
+    assert spark_rows(queries.op4_chat_format(spark, sf_dir)) == oracle_rows(queries.ORACLES["op4_chat_format"], sf_dir)

@@ -47,6 +47,15 @@ def test_notices_with_changed_words(spark):
     assert sorted({s["begin"] for s in found[4]}) == [0, 17]
 
 
+def test_many_templates_are_joined_by_shuffling(spark, monkeypatch):
+    rows = [(1, "x all rights reserved CC BY y"), (2, "nothing"), (3, None), (4, "released under the MIT license")]
+    few = spans(spark, rows)
+    monkeypatch.setattr(L, "BROADCAST_GRAMS", 0)
+    plan = L.hits(docs(spark, rows), L.default_templates())
+    assert spans(spark, rows) == few and len(few[1]) == 2 and few[4][0]["label"] == "mit"
+    assert "broadcast" not in plan._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_awkward_documents(spark):
     got = L.scan(with_extras(docs(spark, AWKWARD + [(9, "All rights reserved.")] * 3))).collect()
     assert len(got) == len(AWKWARD) + 3
