@@ -27,6 +27,16 @@ def minute_rollup(events: DataFrame, ts: str, keys: list[str], cost: Column, fla
     )
 
 
+def watermarked_rollup(stream: DataFrame, ts: str, keys: list[str], cost: Column, width: str = "60 seconds", delay: str = "10 minutes") -> DataFrame:
+    """The rollup as a stateful stream: a window is given out once no event may come for it any more; later events are dropped.
+
+    ``minute_rollup`` with ``merge_into`` adds late events to their window instead, as long as they come.
+    """
+    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    grouped = timed.groupBy(F.window("_ts", width), *keys).agg(F.count("*").alias("requests"), F.sum(cost).alias("cost"))
+    return grouped.select(F.unix_timestamp("window.start").alias("window_start"), *keys, "requests", "cost")
+
+
 def merge_into(keys: list[str], sums: list[str], bits: list[str], read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None]):
     """A ``foreachBatch`` function that adds a batch's rollup to a stored one.
 
