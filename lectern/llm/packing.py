@@ -26,8 +26,8 @@ from lectern.llm.common import hold_cache, quiet_threads, slices
 
 CAPACITY = 4096
 SALTS = 256
-#: Cached words of one Python worker; a full cache starts anew, results don't depend on it.
-CACHE_WORDS = 700_000
+#: Cached words of one Python worker; a full cache keeps those that came again, results don't depend on it.
+CACHE_WORDS = 350_000
 #: Marks that may follow a plain word, and plain words that are encoded at once.
 MARKS = ".,;:!?"
 LINE = 256
@@ -56,8 +56,20 @@ class WordIds:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
+        self.hits = np.zeros(1 << 16, np.int32)  # slices that a word stood in
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Keep the words that came again, at most half a cache of them."""
+        n = len(self.slot)
+        keep = np.flatnonzero(self.hits[:n] > 1)
+        if len(keep) > CACHE_WORDS // 2:
+            keep = np.sort(np.argsort(self.hits[:n], kind="stable")[-(CACHE_WORDS // 2) :])
+        words, sizes, ends = list(self.slot), self.length[keep], np.cumsum(self.length[keep])
+        ids = self.flat[np.repeat(self.start[keep] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self._clear()
+        self._store([words[i] for i in keep.tolist()], ids, sizes)
+
     @staticmethod
     def _pre_tokens(word: str) -> int:
         """1 for letters, 2 for letters and one ASCII mark after them, 0 for what only the library knows."""
@@ -91,6 +103,7 @@ class WordIds:
         while at + len(words) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+            self.hits = np.concatenate([self.hits, np.zeros_like(self.hits)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[at : at + len(words)] = self.used + np.cumsum(n) - n
         self.length[at : at + len(words)] = n
@@ -115,10 +128,11 @@ class WordIds:
         coded = pc.list_flatten(words).dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.slot) + len(names) > CACHE_WORDS:
-            self._clear()
+            self._shrink()
         if new := [w for w in names if w not in self.slot]:
             self._learn(new)
         known = np.fromiter((self.slot[w] for w in names), np.int64, len(names))
+        self.hits[known] += 1
         return known[coded.indices.to_numpy(zero_copy_only=False)], counts
 
     def counts(self, texts: pa.Array) -> np.ndarray:

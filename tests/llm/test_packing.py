@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 
 from lectern.llm import packing, queries
 from lectern.llm.common import tokenizer_path
-from pyspark.sql import functions as F
 from tests.llm.fixtures import AWKWARD, docs, with_extras
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -33,6 +32,17 @@ def test_word_ids_equal_the_library(library, texts):
     assert words.counts(pa.array(texts, pa.string())).tolist() == counts.tolist()
 
 
+def test_full_cache_keeps_what_came_again(library, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 12)
+    words = packing.WordIds(PATH)
+    for k in range(12):
+        texts = ["often seen words " + " ".join(f"rare{k}x{i}" for i in range(6)), "", "often"]
+        ids, counts = words.encode(pa.array(texts))
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [x for e in expected for x in e] and counts.tolist() == [len(e) for e in expected]
+    assert "often" in words.slot and len(words.slot) < 40
+
+
 def test_pieces_and_packs(spark, library):
     rows = AWKWARD + [(100 + i, f"some words number {i} " * (i % 9)) for i in range(60)]
     pieces = packing.token_pieces(with_extras(docs(spark, rows)), PATH, capacity=64).cache()
