@@ -11,7 +11,9 @@ def test_stages_one_by_one(spark, sf_dir):
         found[name] = after = stage(spark, before, sf_dir).cache()
         if name != "packing":
             assert after.columns == columns
-            ids = {r["doc_id"] for r in after.collect()}
+            listed = [r["doc_id"] for r in after.collect()]
+            ids = set(listed)
+            assert len(ids) == len(listed)
             assert ids <= {r["doc_id"] for r in before.collect()}
         if name == "near_duplicates":
             prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in before.collect()}

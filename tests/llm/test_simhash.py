@@ -109,3 +109,12 @@ def test_query_and_near_copies(spark, sf_dir):
     expected = plain_classes(prints)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op9_simhash(spark, sf_dir).collect()}
     assert got == {d: (f"{v:016x}", expected[d]) for d, v in prints.items()}
+
+
+def test_a_group_of_near_copies_leaves_one_row(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:i] + ["changed"] + words[i + 1 :])) for i in range(1, 60)] + [(100, "another text altogether " * 9)]
+    prints = {d: plain_fingerprint(t) for d, t in rows}
+    expected = sorted({c for c in plain_classes(prints).values()})
+    assert len(set(prints.values())) > len(expected)
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs(spark, rows)).collect()) == expected
