@@ -27,7 +27,7 @@ from lectern.llm.common import hold_cache, quiet_threads, slices
 CAPACITY = 4096
 SALTS = 256
 #: Cached words of one Python worker; a full cache keeps those that came again, results don't depend on it.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 550_000
 #: Marks that may follow a plain word, and plain words that are encoded at once.
 MARKS = ".,;:!?"
 LINE = 256
