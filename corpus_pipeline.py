@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decision_list, packing, secret_forest, simhash, toxicity
+from lectern.llm import decision_list, near_copies, packing, secret_forest, toxicity
 from lectern.llm.common import tokenizer_path
 from lectern.storage import cut, delete_folder, shared_dir
 
@@ -27,8 +27,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
+    return near_copies.near_dedup(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

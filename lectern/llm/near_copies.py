@@ -1,0 +1,178 @@
+"""Near copies by the similarity of their word shingles, on banded fingerprints that are verified.
+
+Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is ``4/5`` or more; groups are connected over such
+pairs.  A text has ``BANDS`` fingerprints of ``ROWS`` minima each; texts that agree in one of them are candidates, and only
+those whose shingle sets are really so similar are linked.  A pair at similarity s is a candidate with probability
+``1 - (1 - s**ROWS)**BANDS``: 0.999995 at 0.8, more above.
+
+Texts of equal words are one node.  In a band's group neighbours are compared first, in a few orders, which connects a large
+group of near copies by as many comparisons as it has members; after that all pairs that different components have
+in a common group and that weren't compared are.  So every candidate pair is compared or already connected.
+
+Defined results: words are as in ``simhash.shingle_hashes``; null, empty and blank texts are copies of each other; a text of under five words
+is one shingle; repeated rows, null ids, empty tables and other columns are as in ``simhash.near_dedup``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lectern.llm.common import release_caches, slices
+from lectern.llm.simhash import SEED, keep_documents, shingle_hashes
+from lectern.operators.graph import components
+from lectern.storage import cut
+
+WORDS = 5
+BANDS, ROWS = 40, 6
+#: Orders in which neighbours are compared before all pairs that are left.
+ORDERS = 2
+_RNG = np.random.default_rng(SEED)
+_XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_ODD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+#: Shingles hashed at once.
+_BLOCK = 1024
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """The band fingerprints of a set of shingle hashes (uint64); no shingle gives fingerprints of its own."""
+    low = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(low), _BLOCK):
+        x = low[at : at + _BLOCK, None] ^ _XOR
+        x *= _ODD
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        np.minimum(least, x.min(axis=0), out=least)
+    mixed = (least.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * _MIX
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed * _MIX[:, ::-1]).sum(axis=1, dtype=np.uint64)
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, node, bands``; the node is a hash of the text's words."""
+    import xxhash
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        for part in slices(batches):
+            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+            nodes = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts]
+            bands = np.zeros((len(texts), BANDS), np.uint64)
+            for i, t in enumerate(texts):
+                bands[i] = bands_of(np.array(shingle_hashes(t, WORDS), np.uint64))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    part.column("text_hash"),
+                    pa.array(np.array(nodes, np.uint64).view(np.int64)),
+                    lists.cast(pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "text_hash", "node", "bands"],
+            )
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, bands array<bigint>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``node, own``: the distinct shingle hashes of ``node, text``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        for part in slices(batches):
+            own = [
+                np.unique(np.array(shingle_hashes((t or "").encode(), WORDS), np.uint64)).view(np.int64)
+                for t in part.column("text").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+
+    return texts.mapInArrow(run, "node bigint, own array<bigint>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` whose sets have a similarity of 4/5 or more."""
+    one, two = (sets.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
+    both = F.size(F.array_intersect("own_a", "own_b"))
+    return (
+        pairs.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b")
+    )
+
+
+def _neighbours(members: DataFrame, order: int) -> DataFrame:
+    """``a, b``: members next to each other in a band's group that are not connected yet."""
+    window = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(order)), "node")
+    after = members.select(
+        "node", "root", F.lead("node").over(window).alias("other"), F.lead("root").over(window).alias("other_root")
+    )
+    return _pairs(after.filter("root <> other_root"))
+
+
+def _crossing(members: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of a band's group that are not connected yet; the largest component is on one side only."""
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top")).select("band", F.col("top.root").alias("top"))
+    left = members.join(largest, "band").filter("root <> top").drop("top")
+    right = members.select("band", F.col("node").alias("other"), F.col("root").alias("other_root"))
+    return _pairs(left.join(right, "band").filter("root <> other_root"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _open(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``band, node, root`` of the groups that are in several components."""
+    if roots is None:
+        return shared.withColumn("root", F.col("node"))
+    members = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    return members.join(several.select("band"), "band", "left_semi")
+
+
+def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``component_id, text_hash``: the first document of each group.  ``prints`` has the columns of ``_prints``."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "bands")
+    distinct = cut(prints.groupBy("node").agg(F.min(order).alias("first")))
+    members = distinct.select("node", F.posexplode("first.bands").alias("k", "hash")).select(
+        "node", F.xxhash64("k", "hash").alias("band")
+    )
+    group = Window.partitionBy("band")
+    shared = members.select("band", "node", F.min("node").over(group).alias("lo"), F.max("node").over(group).alias("hi"))
+    shared = cut(shared.filter("lo < hi").select("band", "node"))
+    nodes = shared.select("node").distinct().join(distinct, "node")
+    chosen = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    texts = docs.select("doc_id", "text").withColumn("_text_hash", F.xxhash64("text")).join(
+        chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    )
+    # rows that are repeated are the same text; equal sets of a node are one row
+    sets = cut(_sets(texts.select("node", "text")).dropDuplicates(["node"]))
+    links = compared = roots = None
+    for step in range(ORDERS + 1):
+        members = _open(shared, roots)
+        pairs = _neighbours(members, step) if step < ORDERS else _crossing(members)
+        pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
+        if compared is not None and pairs.isEmpty():
+            continue
+        found = cut(similar(pairs, sets))
+        compared = pairs if compared is None else compared.unionByName(pairs)
+        if links is not None and found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
+        roots = cut(components(links))
+    tied = distinct.join(roots, "node")
+    least = tied.groupBy("root").agg(F.min("first").alias("first")).select("first")
+    every = least.unionByName(distinct.join(roots, "node", "left_anti").select("first"))
+    return every.select(F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("text_hash"))
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """The documents, one of each group of near copies: that with the smallest doc_id; all its columns."""
+    prints = cut(_prints(docs))
+    return keep_documents(docs, prints, classes(docs, prints))

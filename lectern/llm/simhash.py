@@ -238,8 +238,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
 def near_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """The documents, one of each group: that with the smallest doc_id; all its columns."""
     prints = cut(fingerprints(docs, words))
-    # a group has a row for each of its fingerprints, all with the same document
-    kept = classes(prints, radius).select(F.col("component_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return keep_documents(docs, prints, classes(prints, radius))
+
+
+def keep_documents(docs: DataFrame, prints: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The documents that ``firsts`` names by ``component_id, text_hash``, each once."""
+    # a group may have a row for each of its fingerprints, all with the same document
+    kept = firsts.select(F.col("component_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     copies = prints.groupBy("doc_id", "text_hash").count().filter("count > 1").drop("count")
     kept = kept.join(
         copies.select("doc_id", "text_hash", F.lit(True).alias("_repeated")),
