@@ -1,8 +1,8 @@
 """Document fingerprints by I-Match, with DataFrame and SQL functions only.
 
-A corpus pass counts in how many documents each term (a lower-cased word without surrounding punctuation, as a 64-bit
+A corpus pass counts in how many distinct texts each term (a lower-cased word without surrounding punctuation, as a 64-bit
 hash) stands.  Terms whose document share is within a band - neither boilerplate nor noise, an inverse document frequency
-between ``log(1/HIGH)`` and ``log(1/LOW)`` - make the lexicon.  It has at most (mean distinct terms of a document) / ``LOW``
+between ``log(1/HIGH)`` and ``log(1/LOW)`` - make the lexicon.  It has at most (mean distinct terms of a text) / ``LOW``
 terms, however large the corpus is, so it travels with the plan: a table of ``SLOTS`` short lists by the hash's low bits,
 checked against ``MAX_LEXICON``; beyond that the band is narrowed from below, to terms that more documents have.
 
@@ -15,7 +15,7 @@ For edits across documents, ``with_next`` brings the following document's column
 into ranges at their approximate quantiles, and the first document of a range is also sent to the range before.
 
 Defined results: null is an empty text; texts without a lexicon term are hashed as a whole in every subset; equal texts have equal
-fingerprints; repeated rows are counted and returned each; a null doc_id comes after all others; an empty table gives no row.
+fingerprints; copies of a text are counted once and returned each; a null doc_id comes after all others; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -42,13 +42,21 @@ def _terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """``term, documents``: the terms within the band, counted over all documents."""
+    """``term, documents``: the terms within the band, counted over all distinct texts.
+
+    The rows of a text that has n copies weigh 1/n each, so their sums are whole numbers but for rounding, which is undone.
+    """
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = texts.groupBy("text_hash").agg(F.count("*").alias("rows"))
+    weighed = texts.join(rows.filter("rows > 1"), "text_hash", "left").select(
+        "text", (1 / F.coalesce("rows", F.lit(1))).alias("weight")
+    )
     counts = (
-        docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+        weighed.select(F.explode(_terms(F.col("text"))).alias("term"), "weight")
         .groupBy("term")
-        .agg(F.count("*").alias("documents"))
+        .agg(F.round(F.sum("weight")).cast("bigint").alias("documents"))
     )
-    total = docs.agg(F.count("*").alias("n")).scalar()
+    total = rows.agg(F.count("*").alias("n")).scalar()
     share = F.col("documents") / total
     return counts.filter((share >= low) & (share <= high))
 

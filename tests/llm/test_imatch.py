@@ -74,3 +74,12 @@ def test_query(spark, sf_dir):
         assert 0 <= r["near_next"] <= 1 and not math.isnan(r["near_edited"])
     mean = lambda c: sum(r[c] for r in got.values()) / len(got)
     assert mean("near_edited") > mean("near_next") + 0.2
+
+
+def test_a_text_with_a_third_of_the_rows_keeps_its_terms(spark):
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[(i * 37) % 1900 : (i * 37) % 1900 + 100])) for i in range(200)]
+    hot = rows + [(1000 + i, rows[0][1]) for i in range(100)]
+    count = lambda r: {x["term"]: x["documents"] for x in imatch.lexicon(docs(spark, r), 0.002, 0.2).collect()}
+    found = count(hot)
+    assert found == count(rows) and len(found) > 1000
