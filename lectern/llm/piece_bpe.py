@@ -6,7 +6,7 @@ a newline - merge independently, and each distinct segment is encoded once.  Sho
 each round finds every segment's best pair by a minimum over ranks, joins it, and looks up only the two new
 pairs.  Long segments have an agenda of their own, a heap.  Symbols without a piece become their UTF-8 bytes' pieces.
 
-In each Arrow slice every ``check``-th text is encoded by the sentencepiece library too, and every text is
+In each Arrow slice every ``check``-th text (by default each) is encoded by the sentencepiece library too, and every text is
 decoded by it; a difference stops the job.
 
 Defined results: null is an empty text, with the end id only; repeated rows are encoded each; an empty table gives no row;
@@ -320,7 +320,7 @@ class PieceEncoder:
         sums = np.concatenate([[0], ends])
         return np.split(ids, sums[np.cumsum(counts)][:-1]) if len(counts) else []
 
-    def checked(self, texts: pa.Array, check: int = 4) -> tuple[list[list[int]], list[str]]:
+    def checked(self, texts: pa.Array, check: int = 1) -> tuple[list[list[int]], list[str]]:
         """Ids with the end id, and the library's decoding of them; every ``check``-th text is held against its ids."""
         found = [[*x.tolist(), self.end_id] for x in self.encode(texts)]
         for i in range(0, len(found), check):
@@ -348,7 +348,7 @@ def encode_documents(
     path: str,
     derive: Derive | None = None,
     columns: str = "ids array<int>, decoded string",
-    check: int = 4,
+    check: int = 1,
 ) -> DataFrame:
     """``doc_id`` and the ids (end id last) and decoded text of each row, or what ``derive`` makes of them."""
     names = [c.split()[0] for c in columns.split(", ")]

@@ -56,3 +56,14 @@ def test_query(spark, sf_dir, encoder):
         ids = [*encoder.library.encode(texts[r["doc_id"]] or ""), 2]
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), digest(" ".join(map(str, ids))))
         assert r["decoded_sha256"] == digest(encoder.library.decode(ids))
+
+
+def test_every_text_is_held_against_the_library(monkeypatch):
+    own = piece_bpe.PieceEncoder(tokenizer_path("piece_bpe_32k.model"))
+    texts = pa.array(["one text", "another text", "a third"])
+    own.checked(texts)
+    right = own.encode
+    for wrong in range(3):
+        monkeypatch.setattr(own, "encode", lambda t, k=wrong: [x[:-1] if i == k else x for i, x in enumerate(right(t))])
+        with pytest.raises(ValueError, match="differ"):
+            own.checked(texts)
