@@ -11,9 +11,12 @@ group of colliding fingerprints gives a spanning tree of verified links, never a
 Copies share a fingerprint, so all this runs on distinct fingerprints; the members of one variant are at most
 49 x 65,536 by construction, however many documents there are.
 
-Defined results: null or blank text has fingerprint zero and links like any other; repeated rows count as
-documents of their own but only one of a group is kept; a null doc_id is the largest in its group; an empty table
-gives no row; other columns are carried by ``near_dedup`` and ignored elsewhere.
+The argument holds for radii up to 3; larger ones are refused.
+
+Defined results: null or blank text has fingerprint zero and links like any other; very long texts are read whole; repeated rows count as
+documents of their own but only one of a group is kept; of a group's documents with equal least doc_id, the one with
+the least text hash stays; a null doc_id is the largest in its group; an empty table gives no row; other columns,
+whatever their names, are carried by ``near_dedup`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ COUNTED = 1 << 17
 FULL = (1 << 64) - 1
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -65,12 +68,12 @@ def fingerprints_of(texts: list[str | None], words: int = 3) -> np.ndarray:
         counts = np.zeros(64, np.int64)
         for at in range(0, len(hashes), COUNTED):
             bits = np.unpackbits(hashes[at : at + COUNTED].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts += bits.sum(axis=0, dtype=np.int64) if len(bits) < 256 else _column_sums(bits)
+            counts += bits.sum(axis=0, dtype=np.int64) if len(bits) < 256 else column_sums(bits)
         out[i] = np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0]
     return out
 
 
-def _column_sums(bits: np.ndarray) -> np.ndarray:
+def column_sums(bits: np.ndarray) -> np.ndarray:
     """Sums of 0/1 columns; eight columns are added at a time as the bytes of one 64-bit number."""
     wide = np.ascontiguousarray(bits).view("<u8")
     total = np.zeros(bits.shape[1], np.int64)
@@ -104,8 +107,8 @@ def ball_variants(fingerprint: Column) -> Column:
         aside = ((1 << WIDTH) - 1) << shift
         tag = (block + 1) << shift
         flips = [tag] + [tag ^ (1 << i) for i in range(64) if not aside >> i & 1]
-        kept = fingerprint.bitwiseAND(F.lit(_signed(FULL ^ aside)))
-        changes = F.array(*(F.lit(_signed(x)).cast("bigint") for x in flips))
+        kept = fingerprint.bitwiseAND(F.lit(signed(FULL ^ aside)))
+        changes = F.array(*(F.lit(signed(x)).cast("bigint") for x in flips))
         arrays.append(F.transform(changes, kept.bitwiseXOR))
     return F.concat(*arrays)
 
@@ -163,6 +166,8 @@ FOREST = 500_000
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``a, b``: verified links between distinct fingerprints that connect all fingerprints within the radius."""
+    if not 0 <= radius <= RADIUS:
+        raise ValueError(f"radius {radius}: the blocks find all links up to {RADIUS} differing bits")
     emitted = distinct.select("fingerprint", F.explode(ball_variants(F.col("fingerprint"))).alias("variant"))
     n = int(emitted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = emitted.repartition(n, "variant").sortWithinPartitions("variant")
@@ -175,20 +180,28 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             for x, y in found:
                 if (p := _find(parent, x)) != (q := _find(parent, y)):
                     parent[p] = q
-                    new.append((_signed(x), _signed(y)))
+                    new.append((signed(x), signed(y)))
             if len(parent) > FOREST:
                 parent.clear()
             a, b = zip(*new, strict=True) if new else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        held_v, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the last variant, which may go on in the next batch
+        join = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
         for batch in batches:
-            v = np.concatenate([held_v, batch.column("variant").to_numpy()])
-            f = np.concatenate([held_f, batch.column("fingerprint").to_numpy()])
-            cut_at = int(np.searchsorted(v, v[-1], side="left")) if len(v) else 0
-            held_v, held_f = v[cut_at:], f[cut_at:]  # the last variant may go on in the next batch
-            yield give(collisions(v[:cut_at], f[:cut_at], radius))
-        yield give(collisions(held_v, held_f, radius))
+            v, f = batch.column("variant").to_numpy(), batch.column("fingerprint").to_numpy()
+            if not len(v):
+                continue
+            cut_at = int(np.searchsorted(v, v[-1], side="left"))
+            if held and (cut_at or held[-1][0][-1] != v[-1]):
+                held.append((v[:cut_at], f[:cut_at]))
+                yield give(collisions(*join(), radius))
+                held = []
+            elif cut_at:
+                yield give(collisions(v[:cut_at], f[:cut_at], radius))
+            held.append((v[cut_at:], f[cut_at:]))
+        if held:
+            yield give(collisions(*join(), radius))
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
@@ -251,9 +264,10 @@ def keep_documents(docs: DataFrame, prints: DataFrame, firsts: DataFrame) -> Dat
         F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")),
         "left",
     ).select("_id", "_hash", "_repeated")
-    found = docs.withColumn("_text_hash", F.xxhash64("text")).join(
-        cut(kept), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    row = docs.select(F.struct("*").alias("row"))  # the documents' own columns may have any names
+    found = row.join(
+        cut(kept), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_hash"))
     )
-    once = found.filter("_repeated IS NULL").select(*docs.columns)
-    again = found.filter("_repeated").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    once = found.filter("_repeated IS NULL").select("row.*")
+    again = found.filter("_repeated").dropDuplicates(["_id", "_hash"]).select("row.*")
     return once.unionByName(again)

@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from lectern.llm import queries, simhash
-from tests.llm.fixtures import AWKWARD, docs, with_extras
+from tests.llm.fixtures import AWKWARD, assert_values_stay, docs, with_extras
 
 
 def plain_fingerprint(text):
@@ -82,9 +83,27 @@ def test_many_members_of_one_variant():
                 assert simhash._find(parent, m) == simhash._find(parent, other)
 
 
+def test_a_wider_radius_is_refused(spark):
+    prints = spark.createDataFrame([(1, 1, 5), (2, 2, 7)], "doc_id bigint, text_hash bigint, fingerprint bigint")
+    with pytest.raises(ValueError):
+        simhash.classes(prints, 4)
+    assert {r["component_id"] for r in simhash.classes(prints, 1).collect()} == {1}
+    assert {r["component_id"] for r in simhash.classes(prints, 0).collect()} == {1, 2}
+
+
+def test_a_variant_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i, i, v) for i, v in enumerate([0x123 << 20 ^ 1 << k for k in range(19)] + [0x9 << 40])]
+        prints = spark.createDataFrame(rows, "doc_id bigint, text_hash bigint, fingerprint bigint")
+        assert sorted(r["component_id"] for r in simhash.classes(prints).collect()) == [0] * 19 + [19]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_column_sums():
     bits = np.random.default_rng(0).integers(0, 2, (1000, 64)).astype(np.uint8)
-    assert (simhash._column_sums(bits) == bits.sum(axis=0)).all()
+    assert (simhash.column_sums(bits) == bits.sum(axis=0)).all()
 
 
 def test_awkward_documents(spark):
@@ -96,7 +115,7 @@ def test_awkward_documents(spark):
         assert by_id[i]["fingerprint"] == f"{plain_fingerprint(t):016x}"
     assert by_id[3]["component_id"] == by_id[2]["component_id"] == by_id[4]["component_id"] == 2
     kept = simhash.near_dedup(df)
-    assert kept.columns == df.columns
+    assert_values_stay(df, kept)
     ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
     assert ids == [(False, 1), (False, 2), (False, 5), (False, 6), (False, 7), (False, 8), (True, 0)]
     empty = docs(spark, [])
