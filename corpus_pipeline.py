@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages, each over all documents that the one before kept."""
+"""A corpus pipeline of five stages, each over all documents that the one before kept.
+
+Defined results, for every stage: columns beside ``doc_id`` and ``text`` may be any and have any names, and all but the last stage return them
+as they are (``secrets`` counts ``n_chars`` anew); a null text is an empty text; texts of any length are read whole; a null doc_id is
+an id like any other; an empty table gives no row.  Repeated rows are judged and redacted each; ``near_duplicates`` keeps one of
+them, and ``packing`` packs what it is given.  What a null or empty text gets: ``toxicity`` keeps it, as an empty bag's score is low;
+``quality`` rejects it, having no words; ``near_duplicates`` keeps one of all blank texts; ``packing`` makes a piece of the end id alone.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decision_list, near_copies, packing, secret_forest, toxicity
+from lectern.llm import decision_list, packing, secret_forest, simhash_bands, toxicity
 from lectern.llm.common import tokenizer_path
 from lectern.storage import cut, delete_folder, shared_dir
 
@@ -27,8 +34,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
-    return near_copies.near_dedup(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: SimHash balls over bands."""
+    return simhash_bands.near_dedup(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
