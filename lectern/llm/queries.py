@@ -69,8 +69,8 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     rules = decision_list.train(docs, _read(spark, sf_dir, "labels"))
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return decision_list.judge(docs, rules).select(
-        "doc_id", *(F.col("_stats")[c].alias(c) for c in stats), "base_failed", "kept"
+    return decision_list.judge(docs.select("doc_id", "text"), rules).select(
+        "row.doc_id", *(F.col("stats")[c].alias(c) for c in stats), "base_failed", "kept"
     )
 
 

@@ -10,9 +10,12 @@ variants are shuffled, those that only one fingerprint emitted go, and pairs tha
 A band makes a pair at similarity s a candidate with the chance ``s**4`` that the minima agree times that of at most two differing
 bits among 12; ``chance`` computes it: over all bands 0.9967 at 0.8, 0.9998 at 0.85.
 
-Texts of equal words are one node.  Among the nodes that share a variant, neighbours are compared first, in a few orders, which connects a large
-group of near copies by as many comparisons as it has members; after that all pairs that different components have
-in a common group and that weren't compared are.  So every candidate pair is compared or already connected.
+Texts of equal words are one node.  What two sets share, no third need have: shingles that only one of all colliding nodes has bound from above what it can
+share with any, and nodes and pairs that can't reach the similarity any more are left out by that.  Among the nodes that share a variant, each is
+compared with its neighbour and with the one whose shingles are most common, over more and more variants (``SHARES``), which connects a large
+group of near copies by a few comparisons for each member; after that all pairs that different components have
+in a common group, that weren't compared and that can reach the similarity are.  So every candidate pair is compared, out of reach, or
+already connected.
 
 Defined results: words are as in ``simhash.shingle_hashes``; null, empty and blank texts are copies of each other; a text of under five words
 is one shingle; very long texts are read whole; repeated rows count as documents of their own but only one of a group is kept; of a
@@ -37,8 +40,8 @@ from lectern.storage import cut
 
 WORDS = 5
 BANDS, MINIMA, BITS = 16, 4, 12
-#: Orders in which neighbours are compared before all pairs that are left.
-ORDERS = 2
+#: Steps before all pairs that are left: each looks at one of so many variants.
+SHARES = (16, 4, 1)
 _RNG = np.random.default_rng(SEED)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32) | np.uint32(1)
@@ -149,6 +152,23 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node bigint, own array<bigint>")
 
 
+def _reach(sets: DataFrame) -> DataFrame:
+    """``node, n, r``: the size of a node's set, and how many of its shingles other nodes have too.
+
+    Nodes that can't share four fifths of their shingles with any other are left out.
+    """
+    each = sets.select("node", F.explode("own").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node")).filter("nodes = 1")
+    less = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    found = sets.select("node", F.size("own").alias("n")).join(less, "node", "left")
+    return found.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r")).filter("5 * r >= 4 * n")
+
+
+def _within(r: str, other_r: str, n: str, other_n: str) -> Column:
+    """Whether two sets can have a similarity of 4/5, by what they share with any other."""
+    return 9 * F.least(r, other_r) >= 4 * (F.col(n) + F.col(other_n))
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs ``a, b`` whose sets have a similarity of 4/5 or more."""
     one, two = (sets.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
@@ -159,32 +179,39 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _neighbours(members: DataFrame, order: int) -> DataFrame:
-    """``a, b``: members next to each other in a variant's group that are not connected yet."""
-    window = Window.partitionBy("variant").orderBy(F.xxhash64("node", F.lit(order)), "node")
+    """``a, b``: each member of a variant's group with the next one and with the most common one, if they aren't connected yet."""
+    group = Window.partitionBy("variant")
+    own = F.struct("node", "root", "n", "r")
+    top = F.max(F.struct(F.col("r") / F.greatest("n", F.lit(1)), "n", "node", "root", "r")).over(group)
     after = members.select(
-        "node", "root", F.lead("node").over(window).alias("other"), F.lead("root").over(window).alias("other_root")
+        "node", "root", "n", "r", F.lead(own).over(group.orderBy(F.xxhash64("node", F.lit(order)), "node")).alias("next"), top.alias("top")
     )
-    return _pairs(after.filter("root <> other_root"))
+    tops = F.struct("top.node", "top.root", "top.n", "top.r")
+    each = after.select("node", "root", "n", "r", F.explode(F.array("next", tops)).alias("o"))
+    each = each.select("node", "root", "n", "r", F.col("o.node").alias("other"), F.col("o.root").alias("other_root"), F.col("o.n").alias("other_n"), F.col("o.r").alias("other_r"))
+    return _pairs(each.filter((F.col("root") != F.col("other_root")) & _within("r", "other_r", "n", "other_n")))
 
 
 def _crossing(members: DataFrame) -> DataFrame:
     """``a, b``: all pairs of a variant's group that are not connected yet; the largest component is on one side only."""
-    sizes = members.groupBy("variant", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("variant").agg(F.max(F.struct("n", "root")).alias("top")).select("variant", F.col("top.root").alias("top"))
+    sizes = members.groupBy("variant", "root").agg(F.count("*").alias("count"))
+    largest = sizes.groupBy("variant").agg(F.max(F.struct("count", "root")).alias("top")).select("variant", F.col("top.root").alias("top"))
     left = members.join(largest, "variant").filter("root <> top").drop("top")
-    right = members.select("variant", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    return _pairs(left.join(right, "variant").filter("root <> other_root"))
+    right = members.select("variant", *(F.col(c).alias("other" if c == "node" else f"other_{c}") for c in ("node", "root", "n", "r")))
+    able = (F.col("root") != F.col("other_root")) & _within("r", "other_r", "n", "other_n")
+    return _pairs(left.join(right, (left["variant"] == right["variant"]) & able))
 
 
 def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _open(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``variant, node, root`` of the groups that are in several components."""
+def _open(shared: DataFrame, roots: DataFrame | None, share: int) -> DataFrame:
+    """``variant, node, n, r, root`` of the groups that are in several components, of one of ``share`` variants."""
+    some = shared if share == 1 else shared.filter(F.pmod(F.xxhash64("variant"), F.lit(share)) == 0)
     if roots is None:
-        return shared.withColumn("root", F.col("node"))
-    members = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return some.withColumn("root", F.col("node"))
+    members = some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = members.groupBy("variant").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     return members.join(several.select("variant"), "variant", "left_semi")
 
@@ -201,10 +228,11 @@ def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
     )
     # rows that are repeated are the same text; equal sets of a node are one row
     sets = cut(_sets(texts.select("node", "text")).dropDuplicates(["node"]))
+    shared = cut(shared.join(_reach(sets), "node"))
     links = compared = roots = None
-    for step in range(ORDERS + 1):
-        members = _open(shared, roots)
-        pairs = _neighbours(members, step) if step < ORDERS else _crossing(members)
+    for step, share in enumerate([*SHARES, 1]):
+        members = _open(shared, roots, share)
+        pairs = _neighbours(members, step) if step < len(SHARES) else _crossing(members)
         pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
         if compared is not None and pairs.isEmpty():
             continue

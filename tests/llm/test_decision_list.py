@@ -5,7 +5,7 @@ import numpy as np
 
 from lectern.llm import decision_list as D
 from lectern.llm import queries
-from tests.llm.fixtures import AWKWARD, docs, with_extras
+from tests.llm.fixtures import AWKWARD, assert_values_stay, docs, with_extras
 
 
 def plain(text):
@@ -25,7 +25,7 @@ def test_statistics_of_awkward_documents(spark):
     more = [(20, "a b a b a b c"), (21, "x y z\nx y z\n\n \nx y z"), (22, "a b c d a b c d e #*$%&|<>"), (23, "a a a a"), (24, "a b c x a b c y b c x")]
     rows = AWKWARD + more
     got = D.judge(with_extras(docs(spark, rows)), []).collect()
-    told = sorted((r["doc_id"] is None, r["doc_id"] or 0, *(r["_stats"][c] for c in COLUMNS), r["base_failed"]) for r in got)
+    told = sorted((r["row"]["doc_id"] is None, r["row"]["doc_id"] or 0, *(r["stats"][c] for c in COLUMNS), r["base_failed"]) for r in got)
     assert told == sorted((i is None, i or 0, *plain(t)) for i, t in rows)
     assert D.judge(docs(spark, []), []).count() == 0
 
@@ -52,6 +52,7 @@ def test_verdict_is_ordered_and_keeps_columns(spark):
     good = " ".join(f"w{i}" for i in range(60))
     df = with_extras(docs(spark, [(1, good), (2, good.replace("w", "#")), (3, "short"), (1, good)]))
     kept = D.keep_good(df, rules)
+    assert_values_stay(df, kept)
     assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [1, 1]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -48,13 +48,27 @@ def test_against_all_pairs(spark, sf_dir):
 
 
 def test_pairs_that_neighbours_leave_are_compared(spark, monkeypatch):
-    monkeypatch.setattr(simhash_bands, "ORDERS", 0)
+    monkeypatch.setattr(simhash_bands, "SHARES", ())
     words = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join([*words, *(f"own{i}x{k}" for k in range(10))])) for i in range(30)] + [(99, "something else")]
     got = simhash_bands.near_dedup(docs(spark, rows))
     assert sorted(r["doc_id"] for r in got.collect()) == plain_kept(rows) == [0, 99]
 
 
+def test_a_star_of_near_copies(spark):
+    """Copies with a few own changes each: near the first text, but not near each other; and some that are near none."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 120):
+        text = list(base)
+        for at in rng.sample(range(150), 3 if k % 3 else 6):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    got = simhash_bands.near_dedup(docs(spark, rows))
+    assert sorted(r["doc_id"] for r in got.collect()) == plain_kept(rows)
+
+
 def test_band_prints_are_majorities_beside_minima():
     rng = np.random.default_rng(3)
     own = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
