@@ -77,8 +77,9 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``row`` (a struct of the document's columns) and ``stats``, a struct of counts.  Texts are read as they are, in whole."""
-    row = docs.select(F.struct("*").alias("row"))  # nested, as the documents' own columns may have any names
-    text = F.coalesce(F.col("row.text"), F.lit(""))
+    names = docs.columns
+    row = docs.toDF(*(f"c{i}" for i in range(len(names))))  # as the documents' own columns may have any names
+    text = F.coalesce(f"c{names.index('text')}", F.lit(""))
     words = F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
     parts = F.struct(
@@ -105,7 +106,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "n_marks": _removed(text, "[!?]+"),
         "n_digits": _removed(text, "[0-9]+"),
     }
-    return _once(b, "stats", F.struct(*(x.alias(k) for k, x in counts.items()))).select("row", "stats")
+    own = F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names))).alias("row")
+    return _once(b, "stats", F.struct(*(x.alias(k) for k, x in counts.items()))).select(own, "stats")
 
 
 #: What rules look at: a name and how it follows from the counts.
