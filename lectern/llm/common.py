@@ -7,6 +7,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Python operators work on slices of an Arrow batch of at most so many text bytes and rows, which bounds
 #: their temporary arrays; one longer text makes a slice of its own.
@@ -21,6 +22,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns named ``c0, c1, ...``, which can't clash with an operator's own, and each column's new name."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batches that hold at most SLICE_ROWS rows and about ``size`` bytes of ``text``."""
     import numpy as np

@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import set_aside
+
 FIT_ROWS = 8000
 MIN_PRECISION = 0.98
 #: Least share of low-quality rows among those that cross-validated rules cover, and least number of low-quality rows of a rule: of so
@@ -77,9 +79,8 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``row`` (a struct of the document's columns) and ``stats``, a struct of counts.  Texts are read as they are, in whole."""
-    names = docs.columns
-    row = docs.toDF(*(f"c{i}" for i in range(len(names))))  # as the documents' own columns may have any names
-    text = F.coalesce(f"c{names.index('text')}", F.lit(""))
+    row, names = set_aside(docs)
+    text = F.coalesce(names["text"], F.lit(""))
     words = F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
     parts = F.struct(
@@ -106,7 +107,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
         "n_marks": _removed(text, "[!?]+"),
         "n_digits": _removed(text, "[0-9]+"),
     }
-    own = F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names))).alias("row")
+    own = F.struct(*(F.col(c).alias(name) for name, c in names.items())).alias("row")
     return _once(b, "stats", F.struct(*(x.alias(k) for k, x in counts.items()))).select(own, "stats")
 
 

@@ -46,14 +46,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    table = imatch.prepare(docs)
-    own = docs.withColumn("hashes", imatch.subset_hashes(F.col("text"), table))
-    pairs = imatch.with_next(own, {"next_text": F.col("text"), "next_hashes": F.col("hashes")})
+    found = imatch.prepare(docs)
+    pairs = imatch.with_next(imatch.with_hashes(docs, "text", found), {"next_text": "text", "next_hashes": "hashes"})
     n = F.char_length("text")
     cut_at = n - F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), cut_at), F.substring("next_text", F.lit(1), n - cut_at))
     both = pairs.select("doc_id", n.cast("bigint").alias("n_chars"), "hashes", "next_hashes", edited.alias("edited"))
-    both = both.select("*", F.explode(F.array(imatch.subset_hashes(F.col("edited"), table))).alias("edited_hashes"))
+    both = imatch.with_hashes(both, "edited", found, "edited_hashes")
+    # as a generator's output the hashes are computed once for each row, not for each of their uses
+    both = both.select("doc_id", "n_chars", "hashes", "next_hashes", "edited", F.explode(F.array("edited_hashes")).alias("edited_hashes"))
     return both.select(
         "doc_id",
         "n_chars",

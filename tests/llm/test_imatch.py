@@ -1,10 +1,14 @@
+import functools
 import hashlib
-import math
+import re
+import struct
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from lectern.llm import imatch, queries
-from tests.llm.fixtures import AWKWARD, docs, with_extras
+from tests.llm.fixtures import AWKWARD, assert_values_stay, docs, with_extras
 
 
 def test_lexicon_is_the_band_of_document_counts(spark):
@@ -14,24 +18,80 @@ def test_lexicon_is_the_band_of_document_counts(spark):
     assert {hashes[r["term"]]: r["documents"] for r in terms.collect()} == {"half": 30, "third": 20, "tenth": 6}
 
 
-def test_lexicon_beyond_its_bound_loses_its_rarest(spark, monkeypatch):
-    monkeypatch.setattr(imatch, "MAX_LEXICON", 2)
-    terms = spark.createDataFrame([(10, 5), (11, 4), (12, 3), (13, 3)], "term bigint, documents bigint")
-    table = imatch._table(terms).first()["table"]
-    assert sorted(t for own in table for t in own) == [10, 11]
+def h64(raw, seed=42):
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def long_(x, seed=42):
+    return h64(struct.pack("<q", x), seed)
+
+
+def plain_terms(text):
+    return {signed(h64(w.encode())) for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w}
+
+
+def plain_lexicon(texts, low=imatch.LOW, high=imatch.HIGH):
+    counts = Counter(t for x in set(texts) for t in plain_terms(x))
+    return {t for t, n in counts.items() if low <= n / len(set(texts)) <= high}
+
+
+def plain_hashes(text, lexicon):
+    chain = lambda ts: signed(functools.reduce(lambda s, t: long_(t, s), ts, 42))
+    terms = sorted(plain_terms(text) & lexicon)
+    if not terms:
+        return [signed(h64(text.encode(), h64(b"whole")))] * (1 + imatch.DRAWS * len(imatch.RATES))
+    out = [chain(terms)]
+    for d in range(imatch.DRAWS):
+        chosen = terms
+        for rate in imatch.RATES:
+            chosen = [t for t in chosen if h64(struct.pack("<i", 1 + d), long_(t)) % rate == 0]
+            out.append(chain(chosen) if chosen else None)
+    return out
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    best = 0.0
+    for k in range(len(imatch.RATES)):
+        pairs = [(a[1 + d * len(imatch.RATES) + k], b[1 + d * len(imatch.RATES) + k]) for d in range(imatch.DRAWS)]
+        told = [p for p in pairs if p != (None, None)]
+        if len(told) >= imatch.LEAST_TOLD:
+            best = max(best, sum(x == y for x, y in told) / len(told))
+    return best
+
+
+def plain_fingerprint(hashes):
+    return ".".join("-" if x is None else f"{x & (1 << 64) - 1:x}" for x in hashes)
+
+
+def test_both_ways_to_the_lexicon_give_the_same(spark, monkeypatch):
+    words = [f"w{i % 37}x{i % 11}" for i in range(3000)]
+    rows = [(i, " ".join(words[(i * 13) % 2000 : (i * 13) % 2000 + 150])) for i in range(200)] + AWKWARD
+    df = with_extras(docs(spark, rows))
+    few = imatch.prepare(df, 0.01, 0.5)
+    monkeypatch.setattr(imatch, "MAX_CONSTANT", 0)
+    many = imatch.prepare(df, 0.01, 0.5)
+    assert few.table is not None and many.table is None
+    own = lambda x: sorted((repr(r["doc_id"]), r["hashes_"]) for r in imatch.with_hashes(df, "text", x, "hashes_").select("doc_id", "hashes_").collect())
+    assert own(few) == own(many)
+    lexicon = plain_lexicon([t or "" for _, t in rows], 0.01, 0.5)
+    assert own(few) == sorted((repr(i), plain_hashes(t or "", lexicon)) for i, t in rows)
+    assert_values_stay(df, imatch.with_hashes(df, "text", many, "hashes_"))
 
 
 def test_equal_and_edited_texts(spark):
     words = [f"w{i % 37}x{i % 11}" for i in range(3000)]
     rows = [(i, " ".join(words[(i * 13) % 2000 : (i * 13) % 2000 + 150])) for i in range(200)]
-    df = docs(spark, rows)
-    table = imatch.prepare(df, 0.01, 0.5)
+    found = imatch.prepare(docs(spark, rows), 0.01, 0.5)
     told = spark.createDataFrame([(rows[0][1], rows[0][1] + " unseenword"), (rows[0][1], rows[1][1]), ("", "a"), ("", "")], "a string, b string")
-    h = lambda c: imatch.subset_hashes(F.col(c), table)
-    got = [r[0] for r in told.select(imatch.likeness(h("a"), h("b"))).collect()]
+    both = imatch.with_hashes(imatch.with_hashes(told, "a", found, "p"), "b", found, "q")
+    got = [r[0] for r in both.select(imatch.likeness(F.col("p"), F.col("q"))).collect()]
     assert got[0] == 1.0 and got[1] < 1.0 and got[2] == 0.0 and got[3] == 1.0
-    prints = told.select(imatch.fingerprint(h("a")), imatch.fingerprint(h("b"))).collect()
-    assert prints[0][0] == prints[0][1] and prints[1][0] != prints[1][1]
 
 
 def plain_next(rows):
@@ -42,38 +102,44 @@ def plain_next(rows):
 def test_next_document(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
     rows = [(i * 3, f"text {i}") for i in range(100)]
-    got = imatch.with_next(docs(spark, rows), {"n": F.col("text")})
+    got = imatch.with_next(docs(spark, rows), {"n": "text"})
     assert {(r["doc_id"], r["n"]) for r in got.collect()} == {(a[0], n) for a, n in plain_next(rows)}
-    one = imatch.with_next(docs(spark, rows[:1]), {"n": F.col("text")}).collect()
+    one = imatch.with_next(docs(spark, rows[:1]), {"n": "text"}).collect()
     assert [(r["doc_id"], r["n"]) for r in one] == [(0, "text 0")]
-    assert imatch.with_next(docs(spark, []), {"n": F.col("text")}).count() == 0
+    assert imatch.with_next(docs(spark, []), {"n": "text"}).count() == 0
     nulls = [(None, "p"), (1, "q"), (2, "r")]
-    got = {(r["doc_id"], r["n"]) for r in imatch.with_next(docs(spark, nulls), {"n": F.col("text")}).collect()}
+    got = {(r["doc_id"], r["n"]) for r in imatch.with_next(docs(spark, nulls), {"n": "text"}).collect()}
     assert got == {(1, "r"), (2, "p"), (None, "q")}
+    assert [r["n"] for r in imatch.with_next(docs(spark, [(None, "p")] * 3), {"n": "text"}).collect()] == ["p"] * 3
+    unknown = {(r["doc_id"], r["n"]) for r in imatch.with_next(docs(spark, [(1, "a"), (2, None), (3, "c")]), {"n": "text"}).collect()}
+    assert unknown == {(1, None), (2, "c"), (3, "a")}
 
 
 def test_awkward_documents(spark):
     df = with_extras(docs(spark, AWKWARD))
-    table = imatch.prepare(df)
-    assert df.select(imatch.fingerprint(imatch.subset_hashes(F.coalesce("text", F.lit("")), table)).alias("f")).filter("f IS NOT NULL").count() == len(AWKWARD)
-    assert imatch.prepare(docs(spark, [])) is not None
+    out = imatch.with_hashes(df, "text", imatch.prepare(df), "hashes_")
+    assert out.filter("hashes_ IS NOT NULL").count() == len(AWKWARD)
+    after = imatch.with_next(out, {"next_text_": "text"})
+    assert_values_stay(df, after)
+    assert after.count() == len(AWKWARD)
+    assert imatch.prepare(docs(spark, [])).table is not None
 
 
 def test_query(spark, sf_dir):
     rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    lexicon = plain_lexicon([t for _, t in rows])
     got = {r["doc_id"]: r for r in queries.op2_imatch(spark, sf_dir).collect()}
-    prints = {}
+    assert len(got) == len(rows)
     for (i, t), n in plain_next(rows):
         q = len(t) // 4
         edited = t[: len(t) - q] + n[:q]
+        own, other, following = (plain_hashes(x, lexicon) for x in (t, edited, n))
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
-        if edited == t:
-            assert r["near_edited"] == 1.0 and r["edited_fingerprint"] == r["fingerprint"]
-        assert 0 <= r["near_next"] <= 1 and not math.isnan(r["near_edited"])
-    mean = lambda c: sum(r[c] for r in got.values()) / len(got)
-    assert mean("near_edited") > mean("near_next") + 0.2
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (plain_fingerprint(own), plain_fingerprint(other))
+        assert (r["near_edited"], r["near_next"]) == (plain_likeness(own, other), plain_likeness(own, following))
+    share = lambda c: sum(r[c] >= imatch.NEAR for r in got.values()) / len(got)
+    assert share("near_edited") >= 0.85 and share("near_next") <= 0.02
 
 
 def test_a_text_with_a_third_of_the_rows_keeps_its_terms(spark):
