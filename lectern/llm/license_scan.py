@@ -1,187 +1,248 @@
 """License scans by diagonal voting.
 
-Every document's words, and every template's, are hashed in rolling k-grams of the lengths in ``GRAMS``; a template is found by
-the longest of them that it has words for.  A Spark join of the documents' k-gram hashes with the templates' gives hits (text
-position, template position).  Hits of one unbroken quotation share the difference of the two, their diagonal, and are
-counted there; diagonals next to each other (a word more or less) are merged; and a merged span is verified by
-the share of the template's k-grams that really stand in it - their words are compared, not only their hashes.
-
-Templates are few and fixed, so their side of the join is broadcast after a check of its size (``BROADCAST_GRAMS``) and
-the corpus isn't shuffled; only hits and one row for each document are.
-
-Words are lower-cased runs of ASCII letters, digits and characters beyond ASCII.
-
-Defined results: null and empty texts have no word and no label; rows with equal doc_id and text give equal results, each its
-own row; a null doc_id is a key like any other; an empty table gives no row; other columns are ignored.
+Every document's words, and every template's, are hashed in rolling pairs.  A Spark join of the documents' hashes with the templates' gives
+hits (text position, template position).  Hits of one unbroken quotation share the difference of the two, their diagonal, and are
+aggregated there, with the template places that were voted for.  Hits on neighbouring diagonals whose places touch, directly or
+over others, are merged, as a word more or less moves the diagonal.  A merged group is verified by its longest chain, in
+which text and template places both rise: so every template place counts once, where it stands in order.  Its share is
+the chain's length by the number of pairs of the template or of the text that the chain spans, whichever is more; a notice is found from
+the share that it still has with one word changed (``least_share``), if the chain holds its telling words.  Of a
+phrase that is looked for exactly, all pairs must stand on one diagonal.
+
+Templates are few and fixed, so their hashes are looked up among them before anything leaves the document's row, and their side of the
+join is broadcast, after a check of its size (``BROADCAST_GRAMS``): the corpus isn't shuffled; only hits and one row for each document are.
+More templates are joined by shuffling all pairs.
+
+Words are runs of ASCII letters, digits and characters beyond ASCII, of the text with A-Z lower-cased.
+
+Defined results: null and empty texts have no word and no label; very long texts are read whole, and one document's hits are verified in one
+task; rows with equal doc_id and text give equal results, each its own row; a null doc_id is a key like any other; among chains
+of equal length the one over fewer words is taken; an empty table gives no row; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import release_caches
+
 #: Phrases whose exact places are counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices by label; own wordings of what licenses call for, found also when a few words differ.
+#: Notices by label; own wordings of what licenses call for, found also when a word differs.  Words in braces tell the license.
 NOTICES = {
     "apache-2.0": [
-        "licensed under the apache license version 2.0",
+        "licensed under the {apache} license version 2.0",
         "you may not use this file except in compliance with the license",
     ],
     "mit": [
-        "released under the mit license",
+        "released under the {mit} license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software",
     ],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
-    "gpl-3": ["licensed under the gnu general public license version 3"],
-    "cc-by-nc": ["licensed under cc by nc 4.0"],
-    "cc-by-sa": ["licensed under cc by sa 4.0"],
+    "gpl-3": ["licensed under the gnu {general} {public} license version {3}"],
+    "cc-by-nc": ["licensed under {cc} by {nc} 4.0"],
+    "cc-by-sa": ["licensed under {cc} by {sa} 4.0"],
     "proprietary": ["copyright all rights reserved no part of this publication may be reproduced"],
 }
 
-GRAMS = (2, 3)
-#: Diagonals at most so far apart belong to one span; a notice needs this share of its k-grams there.
+#: Words of a hashed run.
+GRAM = 2
+#: Diagonals at most so far apart are merged.
 SLACK = 3
 MIN_SHARE = 0.7
 BROADCAST_GRAMS = 100_000
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LARGE, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class Template:
+    """``telling`` has the places of words without which the template isn't found."""
+
     label: str
     words: tuple[str, ...]
     exact: bool
+    telling: tuple[int, ...] = ()
+
+    def __post_init__(self) -> None:
+        if len(self.words) < GRAM:
+            raise ValueError(f"a template needs {GRAM} words: {self.words}")
+
+    @property
+    def grams(self) -> int:
+        return len(self.words) - GRAM + 1
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall(_WORD, re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+    return _WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+
+
+def notice(label: str, wording: str) -> Template:
+    telling = tuple(k for k, w in enumerate(re.split(r"[\s.]+", wording)) if w[:1] == "{")
+    return Template(label, tuple(words_of(wording)), False, telling)
 
 
 def default_templates() -> list[Template]:
     exact = [Template(label, tuple(words_of(p)), True) for p, label in PHRASES.items()]
-    return exact + [Template(label, tuple(words_of(t)), False) for label, ts in NOTICES.items() for t in ts]
+    return exact + [notice(label, t) for label, ts in NOTICES.items() for t in ts]
 
 
-def _gram_length(template: Template) -> int:
-    return max(k for k in GRAMS if k <= len(template.words))
+def least_share(grams: int) -> float:
+    """The share from which a notice is found: what one replaced word leaves of a short one."""
+    return min(MIN_SHARE, max(0.5, (grams - GRAM) / grams))
 
 
 def _positions(docs: DataFrame, templates: list[Template]) -> DataFrame:
-    """Every k-gram of the templates: hash, k, text, template, place; and a row that marks documents."""
-    rows = [(0, "", -1, 0)]
+    """Every run of the templates: hash, text, template, place; and a row that marks documents."""
+    rows = [("", -1, 0)]
     for t, template in enumerate(templates):
-        k = _gram_length(template)
-        rows += [(k, " ".join(template.words[i : i + k]), t, i) for i in range(len(template.words) - k + 1)]
-    frame = docs.sparkSession.createDataFrame(rows, "k int, gram string, template int, at int")
+        rows += [(" ".join(template.words[i : i + GRAM]), t, i) for i in range(template.grams)]
+    frame = docs.sparkSession.createDataFrame(rows, "gram string, template int, at int")
     parts = F.split("gram", " ")
-    hashed = F.when(F.col("k") == 0, F.lit(0).cast("bigint"))
-    for k in GRAMS:
-        hashed = hashed.when(F.col("k") == k, _hash([F.xxhash64(F.get(parts, i)) for i in range(k)]))
+    hashed = F.when(F.col("template") < 0, F.lit(0).cast("bigint")).otherwise(F.xxhash64(*(F.get(parts, i) for i in range(GRAM))))
     return frame.withColumn("hash", hashed)
 
 
 def _few(templates: list[Template]) -> bool:
-    """Whether the templates' k-grams are few enough to broadcast."""
+    """Whether the templates' runs are few enough to broadcast."""
     return sum(len(t.words) for t in templates) <= BROADCAST_GRAMS
 
 
-def _hash(words: list[Column]) -> Column:
-    return F.xxhash64(F.lit(len(words)), *words)
-
-
 def hits(docs: DataFrame, templates: list[Template]) -> DataFrame:
-    """``doc_id, text_hash, n_words, template, diagonal`` and the ``votes`` and places of each; template -1 marks documents."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    words = F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1))
-    a = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(F.struct(words.alias("w")))).alias("d"))
-    w = F.col("d.w")
-    # as a generator's output the hashes are computed once, not for each element that looks at them
-    b = a.select("doc_id", "text_hash", "d", F.explode(F.array(F.transform(w, lambda x: F.xxhash64(x)))).alias("h"))
-    h = F.col("h")
-    grams = [F.array(F.struct(F.lit(0).alias("k"), F.lit(-1).alias("i"), F.lit(0).cast("bigint").alias("hash")))]
-    for k in GRAMS:
-        first = F.slice(h, 1, F.greatest(F.size(h) - (k - 1), F.lit(0)))
-        grams.append(_rolling(first, h, k))
-    each = b.select("doc_id", "text_hash", "d", F.explode(F.concat(*grams)).alias("g"))
-    spelled = F.array_join(F.slice(F.col("d.w"), F.greatest(F.col("g.i"), F.lit(0)) + 1, F.col("g.k")), " ").alias("spelled")
-    of_gram = [F.col("g.k").alias("gk"), F.col("g.i").alias("i"), F.col("g.hash").alias("hash")]
-    keys = ["doc_id", "text_hash", F.size("d.w").alias("n")]
+    """``doc_id, text_hash, n, template, diagonal``, its ``votes`` and the template places ``ats``; template -1 marks documents."""
+    # by code points, as lower() changes letters beyond ASCII
+    text = F.translate(F.coalesce("text", F.lit("")), _LARGE, _SMALL)
+    words = F.array_remove(F.split(text, _NO_WORD), "")
+    # as a generator's output the words are computed once, not for each element that looks at them
+    a = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(words)).alias("w"))
+    w = F.col("w")
     positions = _positions(docs, templates)
-    if _few(templates):  # the join stays in the scan's stage, and only hits are spelled out
-        joined = each.select(*keys, "d", "g", *of_gram).join(F.broadcast(positions), "hash")
-        found = joined.select("*", spelled)
-    else:  # k-grams are shuffled, so they carry their own words and not the document's
-        found = each.select(*keys, *of_gram, spelled).join(positions, "hash")
-    found = found.filter((F.col("k") == F.col("gk")) & ((F.col("k") == 0) | (F.col("spelled") == F.col("gram"))))
+    hashed = lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, GRAM)))
+    if _few(templates):
+        known = [r["hash"] for r in positions.filter("template >= 0").select("hash").distinct().collect()]
+        places = F.array_compact(F.transform(w, lambda x, i: F.when(hashed(x, i).isin(known), i)))
+        positions = F.broadcast(positions)
+    else:
+        places = F.when(F.size(w) >= GRAM, F.sequence(F.lit(0), F.size(w) - GRAM)).otherwise(F.array().cast("array<int>"))
+    spelled = lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(GRAM)))
+    run = lambda i: F.struct(i.alias("i"), hashed(F.get(w, i), i).alias("hash"), spelled(i).alias("spelled"))
+    mark = F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("hash"), F.lit("").alias("spelled"))
+    each = a.select("doc_id", "text_hash", F.size(w).alias("n"), F.explode(F.concat(F.array(mark), F.transform(places, run))).alias("g"))
+    found = each.select("doc_id", "text_hash", "n", "g.*").join(positions, "hash").filter(F.col("spelled") == F.col("gram"))
     return (
-        found.select("doc_id", "text_hash", "n", "template", (F.col("i") - F.col("at")).alias("diagonal"), "i", "k")
+        found.select("doc_id", "text_hash", "n", "template", (F.col("i") - F.col("at")).alias("diagonal"), "at")
         .groupBy("doc_id", "text_hash", "n", "template", "diagonal")
-        .agg(F.count("*").alias("votes"), F.min("i").alias("begin"), F.max(F.col("i") + F.col("k")).alias("end"))
+        .agg(F.count("*").alias("votes"), F.collect_set("at").alias("ats"))
     )
 
 
-def _rolling(first: Column, h: Column, k: int) -> Column:
-    def one(x: Column, i: Column) -> Column:
-        return F.struct(
-            F.lit(k).alias("k"), i.alias("i"), _hash([x, *(F.get(h, i + j) for j in range(1, k))]).alias("hash")
-        )
-
-    return F.transform(first, one)
+def groups_of(found: list[tuple[int, int]], reach: int) -> list[list[tuple[int, int]]]:
+    """Hits (text place, template place) in groups: neighbours on near diagonals, directly or over others; ``reach`` is in words."""
+    found = sorted(set(found))
+    parent = list(range(len(found)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    last: dict[int, int] = {}  # of each diagonal
+    for k, (i, at) in enumerate(found):
+        d = i - at
+        for near in range(d - SLACK, d + SLACK + 1):
+            if near in last and i - found[last[near]][0] <= reach:
+                parent[find(k)] = find(last[near])
+        last[d] = k
+    out: dict[int, list[tuple[int, int]]] = {}
+    for k, hit in enumerate(found):
+        out.setdefault(find(k), []).append(hit)
+    return list(out.values())
+
+
+def longest_chain(found: list[tuple[int, int]], grams: int) -> list[tuple[int, int]]:
+    """The longest run of hits in which both places rise; of equal ones one over the fewest words."""
+    # for each template place the best chain that ends there: its length, its first text place, its last hit
+    best: list[tuple[int, int, int] | None] = [None] * grams
+    before: list[int] = []
+    hits_ = sorted(found, key=lambda h: (h[0], -h[1]))  # hits of one text place can't follow each other
+    top: tuple[int, int, int] | None = None
+    for k, (i, at) in enumerate(hits_):
+        chosen = max((b for b in best[:at] if b), default=None, key=lambda b: b[:2])
+        now = (chosen[0] + 1, chosen[1], k) if chosen else (1, i, k)
+        before.append(chosen[2] if chosen else -1)
+        if best[at] is None or now[:2] >= best[at][:2]:
+            best[at] = now
+        if top is None or (now[0], now[1] - i) > (top[0], top[1] - hits_[top[2]][0]):
+            top = now
+    chain, k = [], top[2] if top else -1
+    while k >= 0:
+        chain.append(hits_[k])
+        k = before[k]
+    return chain[::-1]
+
+
+def notices_in(found: list[tuple[int, int]], template: Template) -> list[tuple[int, int, float]]:
+    """(first word, word after the last, share) of each place where a template stands, from its hits."""
+    out = []
+    grams = template.grams
+    for group in groups_of(found, len(template.words)):
+        while len({at for _, at in group}) >= least_share(grams) * grams:
+            chain = longest_chain(group, grams)
+            first, last = chain[0][0], chain[-1][0]
+            share = len(chain) / max(grams, last - first + 1)
+            if share < least_share(grams):
+                break
+            told = {at + k for _, at in chain for k in range(GRAM)}
+            if told.issuperset(template.telling):
+                out.append((first, last + GRAM, share))
+            group = [h for h in group if not first <= h[0] <= last]
+    return out
+
+
+SPANS = "array<struct<begin:int,end:int,label:string,exact:boolean,share:double>>"
+_SPANS = pa.list_(
+    pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("exact", pa.bool_()), ("share", pa.float64())])
+)
+
+
+def _spans(items: list[dict], templates: list[Template]) -> list[dict]:
+    out = []
+    fuzzy: dict[int, list[tuple[int, int]]] = {}
+    for x in items:
+        t, d = x["template"], x["diagonal"]
+        if not templates[t].exact:
+            fuzzy.setdefault(t, []).extend((d + at, at) for at in x["ats"])
+        elif len(x["ats"]) == templates[t].grams:
+            out.append((d, d + len(templates[t].words), templates[t].label, True, 1.0))
+    for t, found in fuzzy.items():
+        out += [(a, b, templates[t].label, False, share) for a, b, share in notices_in(found, templates[t])]
+    return [dict(zip(("begin", "end", "label", "exact", "share"), x, strict=True)) for x in sorted(out)]
 
 
 def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
-    """A row for each document: ``doc_id, n_words, spans`` - array<struct<label, exact, begin, end, share>>, in order."""
+    """A row for each document: ``doc_id, n_words, spans`` - array<struct<begin, end, label, exact, share>>, in order."""
     templates = templates or default_templates()
-    known = docs.sparkSession.createDataFrame(
-        [(i, t.label, t.exact, len(t.words) - _gram_length(t) + 1) for i, t in enumerate(templates)],
-        "template int, label string, exact boolean, grams int",
-    )
-    voted = hits(docs, templates).join(F.broadcast(known), "template", "left")
-    item = F.struct("template", "diagonal", "votes", "begin", "end", "label", "exact", "grams")
-    by_doc = voted.groupBy("doc_id", "text_hash", "n").agg(
+    item = F.struct("template", "diagonal", "ats")
+    by_doc = hits(docs, templates).groupBy("doc_id", "text_hash", "n").agg(
         F.max(F.when(F.col("template") == -1, F.col("votes"))).alias("copies"),
-        F.sort_array(F.collect_list(F.when(F.col("template") >= 0, item))).alias("items"),
-    )
-    # votes of equal rows fall on the same diagonals
-    share = lambda x: x["votes"] / (F.col("copies") * x["grams"])
-    exact = F.transform(
-        F.filter("items", lambda x: x["exact"] & (x["votes"] == F.col("copies") * x["grams"])),
-        lambda x: _span(x["label"], x["exact"], x["begin"], x["end"], F.lit(1.0)),
+        F.collect_list(F.when(F.col("template") >= 0, item)).alias("items"),
     )
-    fuzzy_items = F.filter("items", lambda x: ~x["exact"])
-    # neighbouring diagonals of a template whose places touch: sums over those before and behind
-    near = lambda x, y: (
-        (x["template"] == y["template"])
-        & (F.abs(x["diagonal"] - y["diagonal"]) <= SLACK)
-        & (y["begin"] <= x["end"] + x["grams"])
-        & (x["begin"] <= y["end"] + x["grams"])
-    )
-    with_fuzzy = by_doc.select("*", F.explode(F.array(fuzzy_items)).alias("fuzzy"))
-
-    def merged(x: Column, i: Column) -> Column:
-        window = F.slice("fuzzy", F.greatest(i - 2 * SLACK, F.lit(0)) + 1, F.lit(4 * SLACK + 1))
-        own = F.filter(window, lambda y: near(x, y))
-        total = F.aggregate(own, F.lit(0.0), lambda a, y: a + share(y))
-        return _span(
-            x["label"],
-            x["exact"],
-            F.array_min(F.transform(own, lambda y: y["begin"])),
-            F.array_max(F.transform(own, lambda y: y["end"])),
-            F.least(total, F.lit(1.0)),
-        )
-
-    fuzzy = F.filter(F.transform("fuzzy", merged), lambda s: s["share"] >= MIN_SHARE)
-    spans = F.array_sort(F.concat(exact, F.array_distinct(fuzzy)))
-    out = with_fuzzy.select("doc_id", F.col("n").cast("bigint").alias("n_words"), "copies", spans.alias("spans"))
-    return out.select("doc_id", "n_words", "spans", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_")).drop("_")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        for batch in batches:
+            spans = [_spans(x, templates) if x else [] for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, _SPANS)], names=["doc_id", "n_words", "copies", "spans"])
 
-def _span(label: Column, exact: Column, begin: Column, end: Column, share: Column) -> Column:
-    return F.struct(
-        begin.alias("begin"), end.alias("end"), label.alias("label"), exact.alias("exact"), share.alias("share")
-    )
+    found = by_doc.select("doc_id", F.col("n").cast("bigint").alias("n_words"), "copies", "items")
+    out = found.mapInArrow(run, f"doc_id bigint, n_words bigint, copies bigint, spans {SPANS}")
+    return out.select("doc_id", "n_words", "spans", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_")).drop("_")
