@@ -7,12 +7,13 @@ a few words in a long text aren't diluted.  Embeddings and softmax are trained j
 whole texts, then on each text's worst window.  As a misspelled or newly built word shares most n-grams with the known one,
 it shares its vectors.
 
-The fit takes a bounded sample, ``FIT_ROWS`` labelled texts of each class by hash order, longer ones than ``FIT_CHARS``
-characters left out; scoring reads whole texts.  As softmax and mean are linear, executors need one number for each table row (1 MB).
+The fit takes a bounded sample, the first ``FIT_ROWS`` ids of each class by hash order among those with a text of at most
+``FIT_CHARS`` characters, one text for each id; scoring reads whole texts.  As softmax and mean are linear, executors need one number for each table row (1 MB).
 
 Defined results: null and empty texts, and texts without a letter or digit, get the score of an empty bag; repeated rows are
-scored each; labels of one class only, or none, give every text the share of toxic labels (0 without labels); an
-empty table gives no row; a null label is no label.
+scored each, and in the fit the one with the least text hash stands for its id; a label of 1 outweighs another of 0 for the same id;
+labels of one class only, or none, give every text the share of toxic labels (0 without labels); an empty table gives no row;
+a null label or id is no label; ``score`` ignores other columns, and ``keep_clean`` carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -184,14 +185,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int =
     """Fit on at most ``rows`` labelled texts of each class (not held out, lowest hashes first)."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.char_length("text") <= chars)
+    known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     order = F.xxhash64(F.col("doc_id").cast("string"))
     ids = None
     for c in (0, 1):
         part = known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(rows)
         ids = part if ids is None else ids.unionByName(part)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").filter(F.char_length("text") <= chars)
-    found = texts.join(F.broadcast(ids), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "toxic").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["text"]))
+    # at most twice `rows` ids are broadcast, and one text for each is collected
+    own = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("own")
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(own).select("doc_id", "own.text", "own.toxic").collect()
+    found.sort(key=lambda r: r["doc_id"])
     return fit([r["text"] for r in found], [r["toxic"] for r in found])
 
 
