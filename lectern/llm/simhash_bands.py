@@ -8,7 +8,8 @@ however many there are, where a few bits could not.  Every fingerprint emits all
 variants are shuffled, those that only one fingerprint emitted go, and pairs that collide are verified on their shingle sets.
 
 A band makes a pair at similarity s a candidate with the chance ``s**4`` that the minima agree times that of at most two differing
-bits among 12; ``chance`` computes it: over all bands 0.9967 at 0.8, 0.9998 at 0.85.
+bits among 12; ``chance`` computes it: over all bands 0.9966 at 0.8, 0.9998 at 0.85.  Candidates whose sketches - the last bits of ``SKETCH`` least
+hashes - differ in more than ``FAR`` bits aren't compared; at 0.8 that leaves out one pair of 100,000, which is in these figures.
 
 Texts of equal words are one node.  What two sets share, no third need have: shingles that only one of all colliding nodes has bound from above what it can
 share with any, and nodes and pairs that can't reach the similarity any more are left out by that.  Among the nodes that share a variant, each is
@@ -40,11 +41,13 @@ from lectern.storage import cut
 
 WORDS = 5
 BANDS, MINIMA, BITS = 16, 4, 12
+#: Bits of the sketch, a multiple of 64, and how many of them may differ.
+SKETCH, FAR = 256, 48
 #: Steps before all pairs that are left: each looks at one of so many variants.
 SHARES = (16, 4, 1)
 _RNG = np.random.default_rng(SEED)
-_XOR = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32)
-_ODD = _RNG.integers(0, 1 << 32, BANDS * MINIMA, dtype=np.uint32) | np.uint32(1)
+_XOR = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
+_ODD = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
 _MIX = _RNG.integers(0, 1 << 63, (BANDS, MINIMA), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 #: SimHash bits come from so many further hashes of a shingle, 64 from each.
 _FURTHER = -(-BANDS * BITS // 64)
@@ -57,13 +60,15 @@ def chance(similarity: float) -> float:
     """The chance that a pair of this similarity is a candidate; sets of equal size are assumed."""
     differs = math.acos(2 * similarity / (1 + similarity)) / math.pi
     near = sum(math.comb(BITS, k) * differs**k * (1 - differs) ** (BITS - k) for k in range(3))
-    return 1 - (1 - similarity**MINIMA * near) ** BANDS
+    odd = (1 - similarity) / 2
+    close = sum(math.comb(SKETCH, k) * odd**k * (1 - odd) ** (SKETCH - k) for k in range(FAR + 1))
+    return (1 - (1 - similarity**MINIMA * near) ** BANDS) * close
 
 
 def band_prints(hashes: np.ndarray) -> np.ndarray:
-    """The band fingerprints of a set of distinct shingle hashes (uint64); no shingle gives fingerprints of its own."""
+    """The band fingerprints of a set of distinct shingle hashes (uint64), then its sketch; no shingle gives fingerprints of its own."""
     low = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * MINIMA, (1 << 32) - 1, np.uint32)
+    least = np.full(SKETCH, (1 << 32) - 1, np.uint32)
     counts = np.zeros(64 * _FURTHER, np.int64)
     for at in range(0, len(low), _BLOCK):
         x = low[at : at + _BLOCK, None] ^ _XOR
@@ -77,16 +82,17 @@ def band_prints(hashes: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(29)
         bits = np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64) if len(bits) < 256 else column_sums(bits)
-    mixed = (least.reshape(BANDS, MINIMA).astype(np.uint64) + np.uint64(1)) * _MIX
+    mixed = (least[: BANDS * MINIMA].reshape(BANDS, MINIMA).astype(np.uint64) + np.uint64(1)) * _MIX
     mixed ^= mixed >> np.uint64(29)
     exact = (mixed * _MIX[:, ::-1]).sum(axis=1, dtype=np.uint64)
     exact ^= exact >> np.uint64(31)
     majority = (counts[: BANDS * BITS] * 2 > len(hashes)).reshape(BANDS, BITS)
-    return exact << np.uint64(BITS) | (majority @ (1 << np.arange(BITS))).astype(np.uint64)
+    prints = exact << np.uint64(BITS) | (majority @ (1 << np.arange(BITS))).astype(np.uint64)
+    return np.concatenate([prints, np.packbits(least & np.uint32(1)).view(np.uint64)])
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, node, bands``; the node is a hash of the text's words."""
+    """``doc_id, text_hash, node, bands``; the node is a hash of the text's words; the sketch follows the bands."""
     import xxhash
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +100,10 @@ def _prints(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
             nodes = [xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts]
-            bands = np.zeros((len(texts), BANDS), np.uint64)
+            bands = np.zeros((len(texts), BANDS + SKETCH // 64), np.uint64)
             for i, t in enumerate(texts):
                 bands[i] = band_prints(np.unique(np.array(shingle_hashes(t, WORDS), np.uint64)))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), bands.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -123,7 +129,7 @@ def _colliding(distinct: DataFrame) -> DataFrame:
 
     Where all of them have one fingerprint they meet at all its variants; only the fingerprint itself stays then.
     """
-    emitted = distinct.select("node", F.explode("first.bands").alias("print")).select("node", F.inline(ball(F.col("print"))))
+    emitted = distinct.select("node", F.explode(F.slice("first.bands", 1, BANDS)).alias("print")).select("node", F.inline(ball(F.col("print"))))
     group, print_ = Window.partitionBy("variant"), F.col("variant").bitwiseXOR(F.col("flip"))
     met = emitted.select(
         "variant",
@@ -138,7 +144,7 @@ def _colliding(distinct: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """``node, own``: the distinct shingle hashes of ``node, text``."""
+    """``node, own, short``: the distinct shingle hashes of ``node, text``, and the distinct last 16 bits of these."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
@@ -147,9 +153,13 @@ def _sets(texts: DataFrame) -> DataFrame:
                 np.unique(np.array(shingle_hashes((t or "").encode(), WORDS), np.uint64)).view(np.int64)
                 for t in part.column("text").to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
+            short = [np.unique(x.astype(np.int16)) for x in own]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("node"), pa.array(own, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int16()))],
+                names=["node", "own", "short"],
+            )
 
-    return texts.mapInArrow(run, "node bigint, own array<bigint>")
+    return texts.mapInArrow(run, "node bigint, own array<bigint>, short array<smallint>")
 
 
 def _reach(sets: DataFrame) -> DataFrame:
@@ -164,17 +174,25 @@ def _reach(sets: DataFrame) -> DataFrame:
     return found.select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("r")).filter("5 * r >= 4 * n")
 
 
-def _within(r: str, other_r: str, n: str, other_n: str) -> Column:
+def _within(r: Column, other_r: Column, n: Column, other_n: Column) -> Column:
     """Whether two sets can have a similarity of 4/5, by what they share with any other."""
-    return 9 * F.least(r, other_r) >= 4 * (F.col(n) + F.col(other_n))
+    return 9 * F.least(r, other_r) >= 4 * (n + other_n)
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` whose sets have a similarity of 4/5 or more."""
+    """Those of the pairs ``a, b`` whose sets have a similarity of 4/5 or more.
+
+    Most pairs that aren't similar are told by the short hashes: what two sets share is at most as many values as their short
+    hashes share, and the values that one of them has lost by shortening.
+    """
+    size = F.size("own").alias("n")
+    one, two = (sets.select(F.col("node").alias(k), F.struct("short", size).alias(f"s{k}")) for k in "ab")
+    most = F.size(F.array_intersect("sa.short", "sb.short")) + F.col("sa.n") - F.size("sa.short")
+    able = pairs.join(one, "a").join(two, "b").filter(9 * most >= 4 * (F.col("sa.n") + F.col("sb.n"))).select("a", "b")
     one, two = (sets.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
     both = F.size(F.array_intersect("own_a", "own_b"))
     return (
-        pairs.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b")
+        able.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("own_a") + F.size("own_b"))).select("a", "b")
     )
 
 
@@ -187,19 +205,42 @@ def _neighbours(members: DataFrame, order: int) -> DataFrame:
         "node", "root", "n", "r", F.lead(own).over(group.orderBy(F.xxhash64("node", F.lit(order)), "node")).alias("next"), top.alias("top")
     )
     tops = F.struct("top.node", "top.root", "top.n", "top.r")
-    each = after.select("node", "root", "n", "r", F.explode(F.array("next", tops)).alias("o"))
-    each = each.select("node", "root", "n", "r", F.col("o.node").alias("other"), F.col("o.root").alias("other_root"), F.col("o.n").alias("other_n"), F.col("o.r").alias("other_r"))
-    return _pairs(each.filter((F.col("root") != F.col("other_root")) & _within("r", "other_r", "n", "other_n")))
+    able = lambda o: (F.col("root") != o["root"]) & _within(F.col("r"), o["r"], F.col("n"), o["n"])
+    return _pairs(after.select("node", F.explode(F.filter(F.array("next", tops), able)["node"]).alias("other")))
+
+
+def _close(bands: Column, other: Column) -> Column:
+    """Whether sketches differ in few bits."""
+    differ = (F.bit_count(F.get(bands, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(BANDS, BANDS + SKETCH // 64))
+    return sum(differ, F.lit(0)) <= FAR
 
 
-def _crossing(members: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of a variant's group that are not connected yet; the largest component is on one side only."""
+def _first_meeting(bands: Column, other: Column) -> Column:
+    """The first variant at which two nodes meet: of the first band in which at most two bits differ."""
+
+    def meeting(x: Column, y: Column) -> Column:
+        differ = x.bitwiseXOR(y)
+        low = differ.bitwiseAND(-differ)
+        met = (F.shiftrightunsigned(differ, BITS) == 0) & (F.bit_count(differ) <= 2)
+        return F.when(met, F.least(x.bitwiseXOR(low), y.bitwiseXOR(low)))
+
+    own = lambda c: F.slice(c, 1, BANDS)
+    return F.get(F.array_compact(F.zip_with(own(bands), own(other), meeting)), F.lit(0))
+
+
+def _crossing(members: DataFrame, bands: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of a variant's group that are not connected yet; the largest component is on one side only.
+
+    A pair that meets at several variants is taken at the first of them.
+    """
     sizes = members.groupBy("variant", "root").agg(F.count("*").alias("count"))
     largest = sizes.groupBy("variant").agg(F.max(F.struct("count", "root")).alias("top")).select("variant", F.col("top.root").alias("top"))
-    left = members.join(largest, "variant").filter("root <> top").drop("top")
-    right = members.select("variant", *(F.col(c).alias("other" if c == "node" else f"other_{c}") for c in ("node", "root", "n", "r")))
-    able = (F.col("root") != F.col("other_root")) & _within("r", "other_r", "n", "other_n")
-    return _pairs(left.join(right, (left["variant"] == right["variant"]) & able))
+    full = members.join(bands, "node")
+    left = full.join(largest, "variant").filter("root <> top").drop("top")
+    right = full.select(*(F.col(c).alias("other" if c == "node" else f"other_{c}") for c in ("variant", "node", "root", "n", "r", "bands")))
+    able = (F.col("root") != F.col("other_root")) & _within(*(F.col(c) for c in ("r", "other_r", "n", "other_n")))
+    able = able & _close(F.col("bands"), F.col("other_bands")) & (F.col("variant") == _first_meeting(F.col("bands"), F.col("other_bands")))
+    return _pairs(left.join(right, (left["variant"] == right["other_variant"]) & able))
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -232,7 +273,7 @@ def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
     links = compared = roots = None
     for step, share in enumerate([*SHARES, 1]):
         members = _open(shared, roots, share)
-        pairs = _neighbours(members, step) if step < len(SHARES) else _crossing(members)
+        pairs = _neighbours(members, step) if step < len(SHARES) else _crossing(members, distinct.select("node", "first.bands"))
         pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
         if compared is not None and pairs.isEmpty():
             continue
