@@ -5,11 +5,13 @@ the size of the corpus) reaches the driver, where lengths are placed longest fir
 room; packs of one pattern are counted, never listed.  The patterns go back as intervals of ranks: the r-th piece of a length
 takes the r-th place for this length, so documents meet their sequences in one join by length and rank.
 
-Ranks come from a salted numbering (length, salt), so one length that a third of all pieces have is spread over ``salts``
-groups.  Equal pieces may change places with each other, nothing else depends on the order of rows.
+Ranks come from a salted numbering (length, salt), so one length that a third of all pieces have is spread over as many
+groups of about ``SALT_ROWS`` as it needs; the patterns' intervals are cut at blocks of as many ranks, so that the join has no larger
+key either.  Equal pieces may change places with each other, nothing else depends on the order of rows.
 
-Defined results: null text is an empty text, which still has its end id; a repeated row is packed again; an empty table gives
-no piece; null ids are kept.
+Defined results: null text is an empty text, which still has its end id; very long texts are read whole and cut into pieces; a repeated
+row is packed again; pieces with equal keys are ordered by all their columns; null ids are kept; an empty table gives no piece;
+other columns, whatever their names, are carried, but for ``sequence_id`` and ``offset``, which give way to the operator's.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import hold_cache, quiet_threads, slices
+from lectern.llm.common import hold_cache, quiet_threads, set_aside, slices
 
 CAPACITY = 4096
-SALTS = 256
+#: Pieces of one numbered group, about.
+SALT_ROWS = 20_000
 #: Cached words of one Python worker; a full cache keeps those that came again, results don't depend on it.
 CACHE_WORDS = 550_000
 #: Marks that may follow a plain word, and plain words that are encoded at once.
@@ -245,44 +248,49 @@ def rank_intervals(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[in
     return rows
 
 
-#: Rows of rank_intervals that are broadcast; a longer list is joined by shuffling.
+#: Rows of rank_intervals, cut at blocks, that are broadcast; a longer list is joined by shuffling.
 BROADCAST_INTERVALS = 200_000
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, key: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, salt_rows: int = SALT_ROWS, key: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``.  ``pieces`` is read three times: cut its lineage before.
 
     Its columns may be any, with a ``length`` from 1 to ``capacity``; ``key`` orders pieces of equal length.
     """
     spark = pieces.sparkSession
-    found = pieces.groupBy("length").count().collect()  # at most `capacity` rows
-    patterns = histogram_packing({r["length"]: r["count"] for r in found}, capacity)
-    rows = rank_intervals(patterns)
+    pieces = pieces.drop("sequence_id", "offset")
+    own, names = set_aside(pieces)
+    length, order = names["length"], [names[k] for k in key]
+    found = own.groupBy(length).count().collect()  # at most `capacity` rows
+    histogram = {r[0]: r[1] for r in found}
+    rows = rank_intervals(histogram_packing(histogram, capacity))
     places = spark.createDataFrame(
         rows or [],
-        "`_length` bigint, `_first` bigint, `_after` bigint, `_sequence` bigint, `_times` bigint, `_offset` bigint",
+        "place_length bigint, first bigint, after bigint, sequence bigint, times bigint, place bigint",
     )
-    if len(rows) <= BROADCAST_INTERVALS:
+    blocks = F.sequence(F.floor(F.col("first") / salt_rows), F.floor((F.col("after") - 1) / salt_rows))
+    places = places.select("*", F.explode(blocks).alias("place_block"))
+    if sum(after // salt_rows - first // salt_rows + 1 for _, first, after, *_ in rows) <= BROADCAST_INTERVALS:
         places = F.broadcast(places)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    salts = max(1, -(-max(histogram.values(), default=0) // salt_rows))
+    salted = own.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    sizes = salted.groupBy(length, "salt").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(length).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        F.col("length").alias("_l"),
-        F.col("_salt").alias("_s"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.col(length).alias("start_length"),
+        F.col("salt").alias("start_salt"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
     )
-    numbered = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*key)) - 1)
-    ranked = numbered.join(
-        starts, numbered["length"].eqNullSafe(starts["_l"]) & numbered["_salt"].eqNullSafe(starts["_s"])
-    ).withColumn("_rank", F.col("_row") + F.col("_before"))
-    k = F.col("_rank") - F.col("_first")
-    return (
-        ranked.join(
-            places,
-            (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_after")),
-        )
-        .withColumn("sequence_id", F.col("_sequence") + F.floor(k / F.col("_times")).cast("bigint"))
-        .withColumn("offset", F.col("_offset") + (k % F.col("_times")) * F.col("length"))
-        .select(*pieces.columns, "sequence_id", "offset")
+    group = Window.partitionBy(length, "salt").orderBy(*order, F.xxhash64(*names.values()))
+    numbered = salted.withColumn("row", F.row_number().over(group) - 1)
+    ranked = numbered.join(starts, (F.col(length) == F.col("start_length")) & (F.col("salt") == F.col("start_salt")))
+    ranked = ranked.withColumn("rank", F.col("row") + F.col("before"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / salt_rows))
+    k = F.col("rank") - F.col("first")
+    inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))
+    same = (F.col(length) == F.col("place_length")) & (F.col("block") == F.col("place_block"))
+    return ranked.join(places, same & inside).select(
+        *(F.col(c).alias(name) for name, c in names.items()),
+        (F.col("sequence") + F.floor(k / F.col("times")).cast("bigint")).alias("sequence_id"),
+        (F.col("place") + (k % F.col("times")) * F.col(length)).alias("offset"),
     )

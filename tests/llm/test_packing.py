@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lectern.llm import packing, queries
 from lectern.llm.common import tokenizer_path
@@ -60,7 +61,7 @@ def test_pieces_and_packs(spark, library):
         ids = [x for r in got[::again] for x in np.frombuffer(r["ids"], "<u4").tolist()]
         assert ids == lists[0] and all(r["length"] <= 64 for r in got)
     slim = pieces.drop("ids")
-    placed = packing.pack(slim, capacity=64, salts=3).collect()
+    placed = packing.pack(slim, capacity=64, salt_rows=3).collect()
     assert len(placed) == slim.count()
     sequences = {}
     for r in placed:
@@ -88,6 +89,22 @@ def test_histogram_packing_places_everything(histogram):
     assert sum(c for _, c in patterns) <= 2 * -(-tokens // 32) + 1
 
 
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_hot_length_and_clashing_columns(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(packing, "BROADCAST_INTERVALS", broadcast)
+    rows = [(i, 0, 16 if i % 3 else 1 + i % 15, i * 10) for i in range(900)] + [(7, 0, 5, 1), (7, 0, 5, 2), (7, 0, 5, 1), (None, 0, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, start bigint, length bigint, block bigint")
+    for name in "salt row rank before n first after sequence times place _salt _row c0 c1".split():
+        df = df.withColumn(name, F.col("block") + 1)
+    out = packing.pack(df.withColumn("sequence_id", F.lit(-1)).withColumn("offset", F.lit(-1)), capacity=16, salt_rows=10)
+    assert out.columns == [*df.columns, "sequence_id", "offset"]
+    got = out.collect()
+    assert sorted(map(repr, (tuple(r)[: len(df.columns)] for r in got))) == sorted(map(repr, map(tuple, df.collect())))
+    taken = [(r["sequence_id"], at) for r in got for at in range(r["offset"], r["offset"] + r["length"])]
+    assert len(taken) == len(set(taken)) and max(at for _, at in taken) < 16
+    assert sorted(map(repr, map(tuple, packing.pack(df, 16, 10).collect()))) == sorted(map(repr, map(tuple, packing.pack(df.repartition(3), 16, 10).collect())))
+
+
 def test_empty_table(spark):
     pieces = packing.token_pieces(docs(spark, []), PATH).drop("ids")
     assert packing.pack(pieces).count() == 0
