@@ -151,8 +151,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches: all documents; those of low quality go; toxic ones are recounted with their end id, as version 2; and the second
-    batch comes again, which changes nothing."""
+    """Batches: all documents; those of low quality go; the counts of toxic ones are revised, with their end id; those labelled
+    good and clean move to version 2, with their end id; all is compacted; and the second and third batches come again, which
+    changes nothing."""
     counts = cut(
         token_rollup.token_counts(
             _read(spark, sf_dir, "documents"),
@@ -168,19 +169,24 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.inline(F.array(*(F.struct(F.lit(k).alias("tokenizer"), F.col(c).alias("tokens")) for k, c in kinds))),
     )
     labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    none = F.lit(None).cast("bigint").alias("old_tokens")
 
     def changes(rows: DataFrame, op: str, version: str, more: int = 0) -> DataFrame:
+        old = F.when(F.lit(op == "revise"), F.col("tokens")).alias("old_tokens")
         tokens = (F.col("tokens") + more).alias("tokens")
-        return rows.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", F.lit(version).alias("version"), tokens, none)
+        return rows.select(F.lit(op).alias("op"), "source", "lang", "tokenizer", F.lit(version).alias("version"), tokens, old)
 
-    low = each.join(labels.filter("quality = 0"), "doc_id", "left_semi")
-    toxic = each.join(labels.filter("quality = 1 AND toxic = 1"), "doc_id", "left_semi")
+    low, toxic, good = (
+        each.join(labels.filter(chosen), "doc_id", "left_semi")
+        for chosen in ("quality = 0", "quality = 1 AND toxic = 1", "quality = 1 AND toxic = 0")
+    )
     rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.apply("1", changes(each, "insert", "1"))
     rollup.apply("2", changes(low, "delete", "1"))
-    rollup.apply("3", changes(toxic, "delete", "1").unionByName(changes(toxic, "insert", "2", 1)))
+    rollup.apply("3", changes(toxic, "revise", "1", 1))
+    rollup.compact()
+    rollup.apply("4", changes(good, "delete", "1").unionByName(changes(good, "insert", "2", 1)))
     rollup.apply("2", changes(low, "delete", "1"))
+    rollup.apply("3", changes(toxic, "revise", "1", 1))
     totals = cut(rollup.totals())
     rollup.drop()
     return totals
