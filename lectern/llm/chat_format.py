@@ -9,14 +9,18 @@ everything is concatenated to one string:
 are reserved too, as other templates use them.  Inside texts and roles a control string gets a ``~`` after its first
 character (one more if it has some already), so that none is left there and unescaping restores every text exactly.
 
+Places in the output are running sums over a conversation's rows, taken before the rows are collected, so all work but the sorting
+grows in proportion to the texts.
+
 Defined results: null text and null role count as empty; a null turn sorts first; equal turns are ordered by role and
-text; repeated rows are repeated turns; an empty table gives no conversation.  Other columns are ignored.  The rows of one
-conversation make one output row, so a conversation has to fit in memory, whatever the number of conversations.
+text; repeated rows are repeated turns; a null conv_id is a conversation like any other; an empty table gives no conversation.  Other columns,
+whatever their names, are ignored.  The rows of one conversation make one output row, so a conversation and its texts, however long,
+have to fit in memory, whatever the number of conversations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, ROLE, ROLE_END, NEXT = "<s>", "</s>", "[ROLE]", "[/ROLE]", "[NEXT]"
@@ -38,71 +42,41 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     """
     rows = turns.select(
         "conv_id",
-        F.struct(
-            F.col("turn"),
-            escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
-            escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-        ).alias("t"),
+        "turn",
+        escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
+        escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
+    )
+    head = lambda role: F.concat(F.lit(OPEN + ROLE), role, F.lit(ROLE_END))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before, length = F.lag("role").over(order), F.char_length("text")
+    # what stands between the text before and this one
+    gap = F.when(before == F.col("role"), len(NEXT)).otherwise(
+        F.char_length(head(F.col("role"))) + F.when(before.isNotNull(), len(CLOSE)).otherwise(0)
     )
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    placed = rows.select("*", length.alias("length"), gap.alias("gap"))
+    end = F.sum(F.col("gap") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = placed.select("*", (end - F.col("length")).cast("int").alias("start"))
+    turn = F.struct("turn", "role", "text", "start", "length")
+    grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("ts"))
     # first positions (from 1) of the runs of one role, then the runs themselves
     starts = F.filter(
         F.sequence(F.lit(1), F.size("ts")),
         lambda i: (i == 1) | (F.element_at("ts", i)["role"] != F.element_at("ts", F.greatest(i - 1, F.lit(1)))["role"]),
     )
-    runs = grouped.withColumn("starts", starts).withColumn(
-        "runs",
-        F.transform(
-            "starts",
-            lambda s, k: F.struct(
-                F.element_at("ts", s)["role"].alias("role"),
-                F.slice(
-                    F.col("ts")["text"],
-                    s,
-                    F.coalesce(F.get("starts", k + 1), F.size("ts") + 1) - s,
-                ).alias("texts"),
-            ),
-        ),
-    )
-    head = lambda r: F.concat(F.lit(OPEN + ROLE), r["role"], F.lit(ROLE_END))
-    formatted = F.array_join(
-        F.transform("runs", lambda r: F.concat(head(r), F.array_join(r["texts"], NEXT), F.lit(CLOSE))), ""
-    )
-    # every text with the number of code points that stand before it since the end of the text before
-    gaps = F.flatten(
-        F.transform(
-            "runs",
-            lambda r, k: F.transform(
-                r["texts"],
-                lambda x, i: F.struct(
-                    F.when(i > 0, F.lit(len(NEXT)))
-                    .otherwise(F.char_length(head(r)) + F.when(k > 0, F.lit(len(CLOSE))).otherwise(0))
-                    .alias("gap"),
-                    F.char_length(x).alias("length"),
-                    (r["role"] == F.lit(loss_role)).alias("loss"),
-                ),
-            ),
-        )
+    # as a generator's output the arrays are made once, not for each run that looks at them
+    made = F.struct(starts.alias("starts"), F.col("ts")["text"].alias("texts"))
+    runs = grouped.select("conv_id", "ts", F.explode(F.array(made)).alias("m")).select("conv_id", "ts", "m.starts", "m.texts")
+    run = lambda s, k: F.concat(
+        head(F.element_at("ts", s)["role"]),
+        F.array_join(F.slice("texts", s, F.coalesce(F.get("starts", k + 1), F.size("ts") + 1) - s), NEXT),
+        F.lit(CLOSE),
     )
-    span = "array<struct<start:int,length:int>>"
-    spans = F.aggregate(
-        "gaps",
-        F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans")),
-        lambda acc, g: F.struct(
-            (acc["at"] + g["gap"] + g["length"]).alias("at"),
-            F.when(
-                g["loss"],
-                F.array_append(
-                    acc["spans"], F.struct((acc["at"] + g["gap"]).alias("start"), g["length"].alias("length"))
-                ),
-            )
-            .otherwise(acc["spans"])
-            .cast(span)
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+    spoken = F.filter("ts", lambda t: t["role"] == F.lit(loss_role))
+    return runs.select(
+        "conv_id",
+        F.array_join(F.transform("starts", run), "").alias("formatted"),
+        F.transform(spoken, lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))).alias("loss_spans"),
     )
-    return runs.withColumn("gaps", gaps).select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -122,8 +96,21 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
+#: Code points of the parts from which spans are read, as finding a place in a string takes as long as all before it.
+PART = 4096
+
+
 def read_loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order, with nothing between."""
-    return F.array_join(
-        F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), ""
-    )
+    last = F.floor(F.char_length(formatted) / PART).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(formatted, i * PART + 1, F.lit(PART)))
+
+    def read(parts: Column) -> Column:
+        def span(s: Column) -> Column:
+            first = F.floor(s["start"] / PART).cast("int")
+            many = F.floor((s["start"] + s["length"]) / PART).cast("int") - first + 1
+            return F.substring(F.array_join(F.slice(parts, first + 1, many), ""), s["start"] - first * PART + 1, s["length"])
+
+        return F.array_join(F.transform(spans, lambda s: unescape(span(s))), "")
+
+    return F.element_at(F.transform(F.array(parts), read), 1)

@@ -71,3 +71,19 @@ def test_query(spark, sf_dir):
 
 def test_query_equals_sql(spark, sf_dir):
     assert spark_rows(queries.op4_chat_format(spark, sf_dir)) == oracle_rows(queries.ORACLES["op4_chat_format"], sf_dir)
+
+
+def test_a_very_long_conversation(spark):
+    """Work that grew with the square of the turns would take many minutes here."""
+    rows = spark.range(30_000).select(
+        F.lit(1).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("text "), F.col("id")).alias("text"),
+    )
+    out = C.format_conversations(rows).select(
+        C.read_turns(F.col("formatted")).alias("turns"), C.read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")
+    )
+    r = out.select(F.size("turns").alias("n"), F.sha2("loss", 256).alias("loss")).collect()[0]
+    spoken = "".join(f"text {i}" for i in range(1, 30_000, 2))
+    assert (r["n"], r["loss"]) == (30_000, hashlib.sha256(spoken.encode()).hexdigest())
