@@ -7,8 +7,8 @@ majority over the shingles, beside a hash of ``MINIMA`` least shingle hashes, wh
 however many there are, where a few bits could not.  Every fingerprint emits all variants within one bit, half the radius of two;
 variants are shuffled, those that only one fingerprint emitted go, and pairs that collide are verified on their shingle sets.
 
-A band makes a pair at similarity s a candidate with the chance ``s**4`` that the minima agree times that of at most two differing
-bits among 12; ``chance`` computes it: over all bands 0.9966 at 0.8, 0.9998 at 0.85.  Candidates whose sketches - the last bits of ``SKETCH`` least
+A band makes a pair at similarity s a candidate with the chance ``s**5`` that the minima agree times that of at most two differing
+bits among 8; ``chance`` computes it: over all bands 0.9960 at 0.8, 0.9998 at 0.85.  Candidates whose sketches - the last bits of ``SKETCH`` least
 hashes - differ in more than ``FAR`` bits aren't compared; at 0.8 that leaves out one pair of 100,000, which is in these figures.
 
 Texts of equal words are one node.  What two sets share, no third need have: shingles that only one of all colliding nodes has bound from above what it can
@@ -40,7 +40,7 @@ from lectern.operators.graph import components
 from lectern.storage import cut
 
 WORDS = 5
-BANDS, MINIMA, BITS = 16, 4, 12
+BANDS, MINIMA, BITS = 16, 5, 8
 #: Bits of the sketch, a multiple of 64, and how many of them may differ.
 SKETCH, FAR = 256, 48
 #: Steps before all pairs that are left: each looks at one of so many variants.
@@ -228,16 +228,15 @@ def _first_meeting(bands: Column, other: Column) -> Column:
     return F.get(F.array_compact(F.zip_with(own(bands), own(other), meeting)), F.lit(0))
 
 
-def _crossing(members: DataFrame, bands: DataFrame) -> DataFrame:
+def _crossing(members: DataFrame) -> DataFrame:
     """``a, b``: all pairs of a variant's group that are not connected yet; the largest component is on one side only.
 
     A pair that meets at several variants is taken at the first of them.
     """
-    sizes = members.groupBy("variant", "root").agg(F.count("*").alias("count"))
-    largest = sizes.groupBy("variant").agg(F.max(F.struct("count", "root")).alias("top")).select("variant", F.col("top.root").alias("top"))
-    full = members.join(bands, "node")
-    left = full.join(largest, "variant").filter("root <> top").drop("top")
-    right = full.select(*(F.col(c).alias("other" if c == "node" else f"other_{c}") for c in ("variant", "node", "root", "n", "r", "bands")))
+    counted = members.withColumn("count", F.count("*").over(Window.partitionBy("variant", "root")))
+    top = F.max(F.struct("count", "root")).over(Window.partitionBy("variant"))
+    left = counted.withColumn("top", top["root"]).filter("root <> top").drop("top", "count")
+    right = members.select(*(F.col(c).alias("other" if c == "node" else f"other_{c}") for c in members.columns))
     able = (F.col("root") != F.col("other_root")) & _within(*(F.col(c) for c in ("r", "other_r", "n", "other_n")))
     able = able & _close(F.col("bands"), F.col("other_bands")) & (F.col("variant") == _first_meeting(F.col("bands"), F.col("other_bands")))
     return _pairs(left.join(right, (left["variant"] == right["other_variant"]) & able))
@@ -248,13 +247,14 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def _open(shared: DataFrame, roots: DataFrame | None, share: int) -> DataFrame:
-    """``variant, node, n, r, root`` of the groups that are in several components, of one of ``share`` variants."""
+    """The members, with their ``root``, of the groups that are in several components, of one of ``share`` variants."""
     some = shared if share == 1 else shared.filter(F.pmod(F.xxhash64("variant"), F.lit(share)) == 0)
     if roots is None:
         return some.withColumn("root", F.col("node"))
     members = some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = members.groupBy("variant").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    return members.join(several.select("variant"), "variant", "left_semi")
+    group = Window.partitionBy("variant")
+    ends = members.select("*", F.min("root").over(group).alias("lo"), F.max("root").over(group).alias("hi"))
+    return ends.filter("lo < hi").drop("lo", "hi")
 
 
 def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -269,11 +269,12 @@ def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
     )
     # rows that are repeated are the same text; equal sets of a node are one row
     sets = cut(_sets(texts.select("node", "text")).dropDuplicates(["node"]))
-    shared = cut(shared.join(_reach(sets), "node"))
+    reach = _reach(sets).join(distinct.select("node", "first.bands"), "node")
+    shared = cut(shared.join(reach, "node"))
     links = compared = roots = None
     for step, share in enumerate([*SHARES, 1]):
         members = _open(shared, roots, share)
-        pairs = _neighbours(members, step) if step < len(SHARES) else _crossing(members, distinct.select("node", "first.bands"))
+        pairs = _neighbours(members, step) if step < len(SHARES) else _crossing(members)
         pairs = cut(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"))
         if compared is not None and pairs.isEmpty():
             continue
