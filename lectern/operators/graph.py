@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.storage import cut
+from lectern.storage import cut, drop_cut
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,6 +37,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         sums = [
             x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0] for x in (now, after)
         ]
+        drop_cut(now)
         now = after
         if sums[0] == sums[1]:
             break

@@ -7,14 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where none is set (tests, a laptop) a local temporary folder is set instead.
+    Only where none is set and driver and executors are one process (tests, a laptop) a local temporary folder is set instead.
     """
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not known:
+        if not _local(context.master):
+            raise ValueError(f"spark.checkpoint.dir is not set: a cluster ({context.master}) needs a folder that all its machines share")
         known = tempfile.mkdtemp(prefix="lectern-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(known)
@@ -27,6 +33,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete what ``cut`` has written for a frame that nothing reads any more."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
+        delete_folder(df.sparkSession, plan.rdd().getCheckpointFile().get())
+
+
+class Cuts:
+    """Cuts that go together, when what they led to is cut itself."""
+
+    def __init__(self) -> None:
+        self._held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self._held.append(cut(df))
+        return self._held[-1]
+
+    def drop(self) -> None:
+        while self._held:
+            drop_cut(self._held.pop())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The frame over all cores: a file that Spark can't split is dealt out anew; inputs of enough splits stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
