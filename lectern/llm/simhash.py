@@ -21,7 +21,7 @@ whatever their names, are carried by ``near_dedup`` and ignored elsewhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import release_caches, slices
 from lectern.operators.graph import components
-from lectern.storage import cut
+from lectern.storage import Cuts, cut
 
 RADIUS = 3
 BLOCKS, WIDTH = 4, 16
@@ -224,7 +224,7 @@ def collisions(variants: np.ndarray, values: np.ndarray, radius: int = RADIUS) -
     return found
 
 
-def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def classes(prints: DataFrame, radius: int = RADIUS, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """``fingerprint, component_id, text_hash``: for each distinct fingerprint, the smallest doc_id that it reaches, and that
     document's text hash.  ``prints`` has the columns of ``fingerprints`` and is read twice."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
@@ -250,12 +250,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
 
 def near_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """The documents, one of each group: that with the smallest doc_id; all its columns."""
-    prints = cut(fingerprints(docs, words))
-    return keep_documents(docs, prints, classes(prints, radius))
+    cuts = Cuts()
+    prints = cuts(fingerprints(docs, words))
+    return keep_documents(docs, prints, classes(prints, radius, cuts), cuts)
 
 
-def keep_documents(docs: DataFrame, prints: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The documents that ``firsts`` names by ``component_id, text_hash``, each once."""
+def keep_documents(docs: DataFrame, prints: DataFrame, firsts: DataFrame, cuts: Cuts) -> DataFrame:
+    """The documents that ``firsts`` names by ``component_id, text_hash``, each once; ``cuts`` go."""
     # a group may have a row for each of its fingerprints, all with the same document
     kept = firsts.select(F.col("component_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     copies = prints.groupBy("doc_id", "text_hash").count().filter("count > 1").drop("count")
@@ -264,9 +265,11 @@ def keep_documents(docs: DataFrame, prints: DataFrame, firsts: DataFrame) -> Dat
         F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")),
         "left",
     ).select("_id", "_hash", "_repeated")
+    kept = cut(kept)
+    cuts.drop()
     row = docs.select(F.struct("*").alias("row"))  # the documents' own columns may have any names
     found = row.join(
-        cut(kept), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_hash"))
+        kept, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("row.text") == F.col("_hash"))
     )
     once = found.filter("_repeated IS NULL").select("row.*")
     again = found.filter("_repeated").dropDuplicates(["_id", "_hash"]).select("row.*")

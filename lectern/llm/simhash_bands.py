@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import release_caches, slices
 from lectern.llm.simhash import SEED, column_sums, keep_documents, shingle_hashes, signed
 from lectern.operators.graph import components
-from lectern.storage import cut
+from lectern.storage import Cuts
 
 WORDS = 5
 BANDS, MINIMA, BITS = 16, 5, 8
@@ -257,7 +257,7 @@ def _open(shared: DataFrame, roots: DataFrame | None, share: int) -> DataFrame:
     return ends.filter("lo < hi").drop("lo", "hi")
 
 
-def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, prints: DataFrame, cut: Cuts) -> DataFrame:
     """``component_id, text_hash``: the first document of each group.  ``prints`` has the columns of ``_prints``."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "bands")
     distinct = cut(prints.groupBy("node").agg(F.min(order).alias("first")))
@@ -292,5 +292,6 @@ def classes(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents, one of each group of near copies: that with the smallest doc_id; all its columns."""
-    prints = cut(_prints(docs))
-    return keep_documents(docs, prints, classes(docs, prints))
+    cuts = Cuts()
+    prints = cuts(_prints(docs))
+    return keep_documents(docs, prints, classes(docs, prints, cuts), cuts)
