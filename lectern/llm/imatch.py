@@ -33,6 +33,8 @@ from lectern.storage import cut
 
 LOW, HIGH = 0.002, 0.05
 MAX_CONSTANT = 400_000
+#: Texts with copies whose numbers of rows are broadcast, 16 bytes each; more are joined by shuffling the texts.
+BROADCAST_COPIES = 1_000_000
 SLOTS_LOG2 = 15
 #: A subset of a level keeps one of so many lexicon terms; subsets of each level.
 RATES = (4, 16, 64, 256)
@@ -42,7 +44,7 @@ LEAST_TOLD = 3
 #: Likeness from which texts are taken for near: README says how many edited texts and how many unlike ones reach it.
 NEAR = 0.25
 #: Ids of one range, about; beyond its square in rows, ranges grow with the root of the rows.
-RANGE_ROWS = 4000
+RANGE_ROWS = 1000
 
 
 def _terms(text: Column) -> Column:
@@ -57,10 +59,11 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     The rows of a text that has n copies weigh 1/n each, so their sums are whole numbers but for rounding, which is undone.
     """
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = texts.groupBy("text_hash").agg(F.count("*").alias("rows"))
-    weighed = texts.join(rows.filter("rows > 1"), "text_hash", "left").select(
-        "text", (1 / F.coalesce("rows", F.lit(1))).alias("weight")
-    )
+    rows = cut(texts.groupBy("text_hash").agg(F.count("*").alias("rows")))
+    many = rows.filter("rows > 1")
+    # texts that have copies are few against all texts, so these needn't be shuffled to be weighed
+    many = F.broadcast(many) if many.count() <= BROADCAST_COPIES else many
+    weighed = texts.join(many, "text_hash", "left").select("text", (1 / F.coalesce("rows", F.lit(1))).alias("weight"))
     counts = (
         weighed.select(F.explode(_terms(F.col("text"))).alias("term"), "weight")
         .groupBy("term")
