@@ -1,7 +1,6 @@
 """Ranked, phrase and fuzzy search over postings.
 
-Postings are one shuffle of (term, document) counts, or a stored table partitioned by term; a query touches its terms only.
-Scores are BM25 with ``K1`` and ``B``; an index stores its normalizer's version, so that a query can tell a stale one.
+Searches over texts as they are; ``lectern.operators.search`` searches a stored index.  Scores are BM25 with ``K1`` and ``B``.
 """
 
 from __future__ import annotations
@@ -9,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.storage import cut
+
 K1, B = 1.2, 0.75
-NORMALIZER_VERSION = "ascii-lower-1"
 
 
 def terms(text: Column) -> Column:
@@ -34,15 +34,32 @@ def statistics(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
+def _equals(word: str):
+    return lambda x: x == word
+
+
+def bm25_score(tf: Column, df: Column, length: Column, n: Column, mean: Column) -> Column:
+    """What one term adds to a document's score."""
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
 def bm25(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
-    """``key, score`` of every document with a query term."""
-    found = postings(docs, key, text, query)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    whole = statistics(docs, text)
-    n, mean = whole.select("n_docs").scalar(), whole.select("mean_length").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / mean))
-    return found.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(idf * tf).alias("score"))
+    """``key, score`` of every document with a query term, without an index: texts are cut into terms once."""
+    query = list(dict.fromkeys(query))
+    own = docs.select(key, F.explode(F.array(terms(F.col(text)))).alias("_t"))
+    held = [F.size(F.filter("_t", _equals(q))).cast("bigint").alias(f"_{i}") for i, q in enumerate(query)]
+    counted = cut(own.select(key, F.size("_t").cast("bigint").alias("_n"), *held))
+    whole = counted.agg(
+        F.count("*").alias("n"), F.avg(F.col("_n").cast("double")).alias("mean"), *(F.count_if(F.col(f"_{i}") > 0).alias(f"df{i}") for i in range(len(query)))
+    ).first()
+    value = lambda name: F.lit(whole[name])
+    some, score = F.lit(False), F.lit(0.0)
+    for i in range(len(query)):
+        has = F.col(f"_{i}") > 0
+        some = some | has
+        score = score + F.when(has, bm25_score(F.col(f"_{i}"), value(f"df{i}"), F.col("_n"), value("n"), value("mean"))).otherwise(0.0)
+    return counted.filter(some).select(key, score.alias("score"))
 
 
 def phrase_hits(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
@@ -83,16 +100,21 @@ def index_issues(meta: DataFrame, expected: dict[str, str]) -> DataFrame:
 
 
 def attach_context(hits: DataFrame, segments: DataFrame, keys: list[str], place: str, item: str, k: int) -> DataFrame:
-    """Hits with up to ``k`` items before and after, by strictly smaller and larger places."""
-    w = Window.partitionBy(*keys).orderBy(place)
-    sides = segments.select(
+    """Hits with up to ``k`` items before and after, by strictly smaller and larger places.
+
+    Only keys with a hit are looked at; distinct places are numbered, and a frame holds those of ``k`` places, not a whole work.
+    """
+    own = segments.select(*keys, place, item).join(hits.select(*keys).distinct(), keys, "left_semi")
+    numbered = own.withColumn("_no", F.dense_rank().over(Window.partitionBy(*keys).orderBy(place)))
+    order = Window.partitionBy(*keys).orderBy("_no")
+    sides = numbered.select(
         *keys,
         place,
-        F.collect_list(item).over(w.rangeBetween(Window.unboundedPreceding, -1)).alias("_b"),
-        F.collect_list(item).over(w.rangeBetween(1, Window.unboundedFollowing)).alias("_a"),
+        F.collect_list(item).over(order.rangeBetween(-k, -1)).alias("_b"),
+        F.collect_list(item).over(order.rangeBetween(1, k)).alias("_a"),
     )
     n = F.size("_b")
-    cut = sides.withColumn("before", F.slice("_b", F.greatest(n - k + 1, F.lit(1)), F.least(n, F.lit(k)))).withColumn(
+    near = sides.withColumn("before", F.slice("_b", F.greatest(n - k + 1, F.lit(1)), F.least(n, F.lit(k)))).withColumn(
         "after", F.slice("_a", 1, k)
     )
-    return hits.join(cut.drop("_a", "_b"), [*keys, place])
+    return hits.join(near.drop("_a", "_b").dropDuplicates([*keys, place]), [*keys, place])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import text as X
-from lectern.operators import catalog, dml, evidence, similarity, stages, text_search, windows
+from lectern.operators import catalog, dml, evidence, search, similarity, stages, text_search, windows
 from lectern.operators.graph import components
 from lectern.operators.numbering import row_numbers
 
@@ -108,7 +108,7 @@ def test_phrase_and_fuzzy_hits(spark):
 
 def test_index_issues(spark):
     meta = spark.createDataFrame([("schema", "1"), ("normalizer", "old")], "key string, value string")
-    found = text_search.index_issues(meta, {"schema": "1", "normalizer": text_search.NORMALIZER_VERSION, "rows": "5"})
+    found = text_search.index_issues(meta, {"schema": "1", "normalizer": search.NORMALIZER_VERSION, "rows": "5"})
     assert rows(found, "key") == [("normalizer",), ("rows",)]
 
 

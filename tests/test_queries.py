@@ -2,10 +2,10 @@
 
 import pytest
 
-from lectern.plans import catalog_queries, library_queries, pipeline_queries, reading_queries
+import __spark_entry__
 from tests.compare import oracle_rows, spark_rows
 
-REGISTRIES = [catalog_queries.R, reading_queries.R, pipeline_queries.R, library_queries.R]
+REGISTRIES = __spark_entry__._registries()
 QUERIES = {k: v for r in REGISTRIES for k, v in r.queries.items()}
 ORACLES = {k: v for r in REGISTRIES for k, v in r.oracles.items()}
 
