@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import normalize_gloss, tokens
+from lectern.functions.text import cosine, dice, jaccard, normalize_gloss, tokens
 from lectern.operators.graph import components
 from lectern.storage import cut
 
@@ -21,34 +21,76 @@ SOURCE_PRIORITY = {
 def representatives(members: DataFrame, cluster: str, tool: str, sense: str, key: str) -> DataFrame:
     """``cluster, representative``: of each cluster the member with the first source, then tool, sense and key."""
     known = F.create_map(*(F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv))
-    order = F.struct(F.coalesce(known[F.col(tool)], F.lit(99)), tool, sense, key)
+    order = F.struct(F.coalesce(known[F.col(tool)], F.lit(100)), tool, sense, key)
     return members.groupBy(cluster).agg(F.min_by(key, order).alias("representative"))
 
 
-def similar_pairs(items: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """``a, b, score``: pairs (a < b) whose token sets have a Jaccard similarity of at least ``threshold``.
+METRICS = {"jaccard": jaccard, "dice": dice, "cosine": cosine}
 
-    An exact prefix join: with tokens ordered from the rarest, two sets that are similar enough share one of the first
-    ``n - ceil(threshold * n) + 1`` of either, so only those few rare tokens are join keys and frequent ones never are,
-    and only pairs that meet there are compared.
+
+def text_classes(items: DataFrame, key: str, text: str, bags: bool = False) -> DataFrame:
+    """``id, tokens, rep``: the items with a token, and the least id of those with the same tokens (with ``bags``, as often)."""
+    own = tokens(F.col(text))
+    own = F.array_sort(own if bags else F.array_distinct(own))
+    rows = items.select(F.col(key).alias("id"), own.alias("tokens")).filter(F.size("tokens") > 0)
+    reps = rows.groupBy("tokens").agg(F.min("id").alias("rep"))
+    return rows.join(reps, "tokens").select("id", "tokens", "rep")
+
+
+def similar_pairs(items: DataFrame, key: str, text: str, threshold: float, metric: str = "jaccard") -> DataFrame:
+    """``a, b, score``: pairs (a < b) whose tokens have a similarity of at least ``threshold``; of items with the same tokens the
+    one with the least key stands for all in these pairs, and the others have one pair with it.
+
+    An exact prefix join: with tokens ordered from the rarest, what two sets share has to have a certain mass, so they share a token that
+    comes before the last ones which haven't that much together.  Only those few rare tokens are join keys and
+    frequent ones never are, and only pairs that meet there are compared.  Mass is the number of tokens, for ``cosine`` the squares of
+    their counts.
     """
-    sets = items.select(F.col(key).alias("id"), F.array_distinct(tokens(F.col(text))).alias("set")).filter(F.size("set") > 0)
-    sets = cut(sets)
-    each = sets.select("id", F.explode("set").alias("token"))
+    rows = cut(text_classes(items, key, text, metric == "cosine"))
+    sets = rows.filter("id = rep").select("id", "tokens")
+    each = sets.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("c"))
+    mass = F.col("c") * F.col("c") if metric == "cosine" else F.lit(1)
     counts = each.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = each.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ts"))
-    n = F.size("ts")
-    kept = F.slice("ts", 1, n - F.ceil(F.lit(threshold) * n).cast("int") + 1)
-    keyed = ranked.select("id", n.alias("n"), F.explode(F.transform(kept, lambda t: t["token"])).alias("token"))
+    ranked = each.join(counts, "token").select("id", "token", "n", mass.cast("double").alias("mass"))
+    rarest = Window.partitionBy("id").orderBy("n", "token")
+    after = F.sum("mass").over(rarest.rowsBetween(0, Window.unboundedFollowing))
+    whole = F.sum("mass").over(Window.partitionBy("id"))
+    share = {"jaccard": threshold, "dice": threshold / (2 - threshold), "cosine": threshold * threshold}[metric]
+    keyed = ranked.select("id", "token", whole.alias("n"), after.alias("after")).filter(F.col("after") >= share * F.col("n") - 1e-9)
     left, right = keyed.alias("l"), keyed.alias("r")
-    size_ok = (F.col("l.n") >= threshold * F.col("r.n")) & (F.col("r.n") >= threshold * F.col("l.n"))
-    met = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.id") < F.col("r.id")) & size_ok)
-    pairs = met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    a = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    b = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    scored = pairs.join(a, "a").join(b, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("score"))
-    return scored.filter(F.col("score") >= threshold)
+    met = (F.col("l.token") == F.col("r.token")) & (F.col("l.id") < F.col("r.id"))
+    if metric != "cosine":  # a set can't share more than it has
+        met = met & (F.col("l.n") >= share * F.col("r.n") - 1e-9) & (F.col("r.n") >= share * F.col("l.n") - 1e-9)
+    pairs = left.join(right, met).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
+    b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    scored = pairs.join(a, "a").join(b, "b").select("a", "b", METRICS[metric](F.col("x"), F.col("y")).alias("score"))
+    copies = rows.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    return scored.filter(F.col("score") >= threshold).unionByName(copies.filter(F.lit(threshold <= 1)))
+
+
+def similarity_buckets(witnesses: DataFrame, mode: str = "open", metric: str = "jaccard") -> DataFrame:
+    """Buckets of one language's witnesses (``language, witness_id, tool, sense, gloss, normalized``) that are connected by similar glosses:
+    id, the first witness's glosses, members in order of their sources, label and note."""
+    threshold = MODES[mode]
+    roots = clusters(witnesses, "witness_id", similar_pairs(witnesses, "witness_id", "normalized", threshold, metric))
+    known = F.create_map(*(F.lit(x) for kv in SOURCE_PRIORITY.items() for x in kv))
+    order = F.struct(F.coalesce(known[F.col("tool")], F.lit(100)).alias("p"), "tool", "sense", "witness_id")
+    found = witnesses.join(roots, "witness_id").groupBy("language", "cluster").agg(
+        F.min_by(F.struct("normalized", "gloss"), order).alias("first"),
+        F.array_sort(F.collect_list(order)).alias("ordered"),
+        F.array_sort(F.collect_list("witness_id")).alias("ids"),
+    )
+    material = F.concat_ws("\x1f", "language", F.array_join("ids", "\x1f"))
+    return found.select(
+        "language",
+        F.concat(F.lit("bucket:sim:"), F.substring(F.sha2(material, 256), 1, 16)).alias("bucket_id"),
+        F.col("first.normalized").alias("normalized"),
+        F.col("first.gloss").alias("display"),
+        F.col("ordered")["witness_id"].alias("members"),
+        F.when(F.size("ids") > 1, "similarity-multi-witness").otherwise("similarity-single-witness").alias("label"),
+        F.lit(f"similarity:{mode}:{metric}:{threshold:g}").alias("note"),
+    )
 
 
 def clusters(items: DataFrame, key: str, pairs: DataFrame) -> DataFrame:

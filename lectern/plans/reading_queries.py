@@ -89,7 +89,16 @@ def char_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "used")
 
 
-@R.query()
+@R.query(
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS size FROM conversations),
+g AS (SELECT conv_id, turn AS lo, turn AS hi, size AS used, 0 AS side, true AS below, true AS above FROM t WHERE turn = 2
+  UNION ALL SELECT g.conv_id, CASE WHEN side = 0 AND below AND n.size IS NOT NULL AND used + n.size <= 1500 THEN lo - 1 ELSE lo END,
+    CASE WHEN side = 1 AND above AND n.size IS NOT NULL AND used + n.size <= 1500 THEN hi + 1 ELSE hi END,
+    CASE WHEN (CASE side WHEN 0 THEN below ELSE above END) AND n.size IS NOT NULL AND used + n.size <= 1500 THEN used + n.size ELSE used END, 1 - side,
+    CASE WHEN side = 0 THEN below AND n.size IS NOT NULL AND used + n.size <= 1500 ELSE below END, CASE WHEN side = 1 THEN above AND n.size IS NOT NULL AND used + n.size <= 1500 ELSE above END
+  FROM g LEFT JOIN t n ON n.conv_id = g.conv_id AND n.turn = CASE side WHEN 0 THEN lo - 1 ELSE hi + 1 END WHERE below OR above)
+SELECT t.conv_id, t.turn, t.size FROM t JOIN (SELECT conv_id, min(lo) AS lo, max(hi) AS hi FROM g GROUP BY 1) e ON e.conv_id = t.conv_id AND t.turn BETWEEN lo AND hi"""
+)
 def char_budget_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _turns(spark, sf_dir).withColumn("size", F.char_length("text").cast("bigint"))
     return windows.budget_around(turns, "conv_id", "turn", "size", 2, 1500)
@@ -280,6 +289,46 @@ pairs AS (SELECT x.item_id AS a, y.item_id AS b, len(list_intersect(x.ts, y.ts))
   FROM s x JOIN s y ON x.item_id < y.item_id WHERE len(x.ts) > 0 AND len(y.ts) > 0 AND len(list_intersect(x.ts, y.ts)) / (len(x.ts) + len(y.ts) - len(list_intersect(x.ts, y.ts))) >= 0.06)"""
 
 
+_BAGS = """s AS (SELECT item_id, list_sort(list_filter(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '),
+  lambda x: x <> '' AND x NOT IN ('a','an','and','as','at','by','for','from','in','is','of','on','or','the','to','with'))) AS bag FROM benchmark),
+r AS (SELECT min(item_id) AS id, bag FROM s WHERE len(bag) > 0 GROUP BY bag), t AS (SELECT id, token, count(*) AS c FROM (SELECT id, unnest(bag) AS token FROM r) GROUP BY 1, 2),
+n AS (SELECT id, count(*) AS kinds, sqrt(sum(c * c)) AS norm FROM t GROUP BY 1),
+m AS (SELECT x.id AS a, y.id AS b, count(*) AS held, sum(x.c * y.c) AS dot FROM t x JOIN t y ON x.token = y.token AND x.id < y.id GROUP BY 1, 2)"""
+
+
+@R.query(
+    f"""WITH {_BAGS} SELECT 'dice' AS metric, a, b, round(2 * held / (n.kinds + o.kinds), 6) AS score FROM m JOIN n ON n.id = a JOIN n o ON o.id = b WHERE 2 * held / (n.kinds + o.kinds) >= 0.15
+UNION ALL SELECT 'cosine', a, b, round(dot / (n.norm * o.norm), 6) FROM m JOIN n ON n.id = a JOIN n o ON o.id = b WHERE dot / (n.norm * o.norm) >= 0.25"""
+)
+def similar_pairs_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "benchmark")
+    found = None
+    for metric, least in (("dice", 0.15), ("cosine", 0.25)):
+        pairs = similarity.similar_pairs(items, "item_id", "text", least, metric)
+        part = pairs.select(F.lit(metric).alias("metric"), "a", "b", F.round("score", 6).alias("score"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@R.query(
+    """WITH w AS (SELECT concat('w', CAST(p_partkey AS STRING)) AS witness_id, CASE p_size % 3 WHEN 0 THEN 'cdsl' WHEN 1 THEN 'lsj' ELSE 'other' END AS tool, p_brand AS sense, p_name AS gloss,
+  list_sort(list_distinct(string_split(lower(p_name), ' '))) AS kinds FROM part),
+o AS (SELECT *, row_number() OVER (PARTITION BY kinds ORDER BY CASE tool WHEN 'cdsl' THEN 2 WHEN 'lsj' THEN 5 ELSE 100 END, tool, sense, witness_id) AS place FROM w)
+SELECT concat('bucket:sim:', substr(sha256(concat('en', chr(31), string_agg(witness_id, chr(31) ORDER BY witness_id))), 1, 16)) AS bucket_id, arg_min(gloss, place) AS display, count(*) AS size,
+  string_agg(witness_id, ',' ORDER BY place) AS members, CASE WHEN count(*) > 1 THEN 'similarity-multi-witness' ELSE 'similarity-single-witness' END AS label, 'similarity:skeptic:jaccard:0.5' AS note
+FROM o GROUP BY kinds"""
+)
+def similarity_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of two words each, so only those of the same words are half alike; copies are folded before any join."""
+    tool = F.element_at(F.array(F.lit("cdsl"), F.lit("lsj"), F.lit("other")), F.col("p_size") % 3 + 1)
+    witnesses = read_table(spark, sf_dir, "part").select(
+        F.lit("en").alias("language"), F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("witness_id"), tool.alias("tool"),
+        F.col("p_brand").alias("sense"), F.col("p_name").alias("gloss"), F.lower("p_name").alias("normalized"),
+    )
+    found = similarity.similarity_buckets(witnesses, "skeptic")
+    return found.select("bucket_id", "display", F.size("members").cast("bigint").alias("size"), F.array_join("members", ",").alias("members"), "label", "note")
+
+
 @R.query(f"WITH {_PAIRS} SELECT a, b, round(score, 6) AS score FROM pairs")
 def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = similarity.similar_pairs(read_table(spark, sf_dir, "benchmark"), "item_id", "text", 0.06)
