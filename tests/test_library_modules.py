@@ -104,7 +104,7 @@ def test_table_store(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "s"))
     works = lambda *rows: spark.createDataFrame([(i, lang, t, o) for i, lang, t, o in rows], "work_id string, language string, title string, ord int")
     artifacts = spark.createDataFrame([("a1", "1"), ("a2", "2")], "artifact_id string, work_id string")
-    assert store.version("works") == 0 and store.read("works").count() == 0
+    assert store.version() == 0 and store.read("works").count() == 0
     store.register_works(works(("1", "en", "old", 1), ("1", "en", "new", 2), ("2", "de", "x", 1)), artifacts, "ord")
     assert {(r["work_id"], r["title"]) for r in store.read("works").collect()} == {("1", "new"), ("2", "x")}
     store.register_works(works(("2", "de", "y", 1)), artifacts.filter("work_id = '2'"))
@@ -119,11 +119,28 @@ def test_table_store(spark, tmp_path):
     assert {(r["work_id"], r["language"]) for r in store.read("works").collect()} == {("1", "la"), ("2", "de")}
     store.delete_works(spark.createDataFrame([("1",)], "work_id string"))
     assert [r["work_id"] for r in store.read("works").collect()] == ["2"] and [r["work_id"] for r in store.read("artifacts").collect()] == ["2"]
+    assert store.read("works", 1).count() == 2 and store.tables() == ["artifacts", "metadata_overlays", "works"]
     with pytest.raises(RuntimeError):
         stale = TableStore(spark, str(tmp_path / "s"))
-        stale.version = lambda table: 0
-        (tmp_path / "s" / "works" / "v=1").exists()
+        stale.version = lambda: 0
         stale.replace("works", works(("9", "x", "y", 1)))
+    assert [r["work_id"] for r in store.read("works").collect()] == ["2"]
+
+
+def test_a_change_rewrites_only_its_buckets(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"))
+    rows = spark.range(500).select(F.col("id").cast("string").alias("work_id"), F.lit("t").alias("title"))
+    store.replace("works", rows)
+    first = store.manifest()["works"]
+    store.replace_keys("works", spark.createDataFrame([("7", "new"), ("1000", "more")], "work_id string, title string"), ["work_id"])
+    second = store.manifest()["works"]
+    assert 1 <= sum(first[b] != second[b] for b in first) <= 2
+    assert store.read("works").count() == 501 and store.read("works").filter("title = 'new'").count() == 1
+    for k in range(20):
+        store.append("works", spark.createDataFrame([("7", f"again {k}")], "work_id string, title string"))
+    assert store.read("works").count() == 521 and max(len(p) for p in store.manifest()["works"].values()) <= 18
+    assert store.vacuum(1) > 0 and store.versions() == [store.version()] and store.read("works").count() == 521
+    assert TableStore(spark, str(tmp_path / "empty")).vacuum() == 0
 
 
 def test_tokens_compounds_and_concepts(spark):
