@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import roman_to_int, slug
@@ -112,3 +112,58 @@ def compact_gloss(c: Column, most_chars: int, most_items: int) -> Column:
         lambda x, i: (i == 0) | (F.char_length(F.array_join(F.slice(items, 1, i + 1), "; ")) <= most_chars),
     )
     return F.array_join(fits, "; ")
+
+
+def english_glosses(c: Column) -> Column:
+    """The glosses of a translated entry: cut at commas, semicolons, line ends and pilcrows, trimmed, none empty."""
+    return F.filter(F.transform(F.split(c, "[,;\n¶]"), lambda g: F.trim(g, F.lit(" \t\r"))), lambda g: g != "")
+
+
+#: Marks of usage in French glosses, and what begins a reference in entries.
+QUALIFIERS = ("fig.", "poét.", "litt.", "fam.", "méd.", "phil.", "gram.", "astr.", "myth.")
+REFERENCE_MARKS = ("cf.", "v.", "voir", "see")
+
+
+def _either(words: tuple[str, ...]) -> str:
+    return "|".join(w.replace(".", "\\.") for w in words)
+
+
+def french_glosses(c: Column) -> Column:
+    """Array of struct of ``text``, ``qualifier`` (a mark of usage before it) and ``cross_ref`` (what ``v.`` or ``voir`` refers to); parts
+    that are only one of these two give none."""
+    head, reference = rf"^\s*({_either(QUALIFIERS)})\s*", rf"(?:^|\s)(?:{_either(REFERENCE_MARKS)})\s+(\S.*)$"
+    filled = lambda x: F.nullif(x, F.lit(""))
+
+    def one(part: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(part, head, ""), reference, "")
+        return F.struct(
+            F.trim(bare, F.lit(" \t\r\n")).alias("text"),
+            filled(F.regexp_extract(part, head, 1)).alias("qualifier"),
+            filled(F.trim(F.regexp_extract(part, reference, 1))).alias("cross_ref"),
+        )
+
+    return F.filter(F.transform(F.split(c, "[,;\n¶]"), one), lambda g: g["text"] != "")
+
+
+def parse_morph(c: Column) -> Column:
+    """Struct of ``forms``, ``pos`` and ``features`` of ``form, form: pos feature feature``; nulls where there is no colon or nothing after it."""
+    told = F.trim(F.substring_index(c, ":", -1))
+    tags = F.filter(F.split(F.trim(F.regexp_replace(c, "^[^:]*:", "")), r"\s+"), lambda t: t != "")
+    good = c.contains(":") & (F.size(tags) > 0) & told.isNotNull()
+    forms = F.transform(F.split(F.substring_index(c, ":", 1), ","), lambda f: F.trim(f))
+    return F.struct(F.when(good, forms).alias("forms"), F.when(good, F.get(tags, F.lit(0))).alias("pos"), F.when(good, F.slice(tags, 2, 1000)).alias("features"))
+
+
+def source_segments(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, segment_no, kind, segment``: an entry's parts between semicolons in order; what a mark of reference begins is one, without the mark."""
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), ";"), lambda p: F.trim(p)), lambda p: p != "")
+    mark = rf"^(?:{_either(REFERENCE_MARKS)})\s+"
+    placed = rows.select(*keys, F.posexplode(parts).alias("segment_no", "segment"))
+    return placed.select(*keys, "segment_no", F.when(F.col("segment").rlike(mark), "reference").otherwise("gloss").alias("kind"), F.regexp_replace("segment", mark, "").alias("segment"))
+
+
+def analyze_entries(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, glosses, refs, segments``: an entry's glosses and references in order, and how many parts it has."""
+    found = source_segments(rows, keys, text).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("segment_no", "kind", "segment"))).alias("s"))
+    of = lambda kind: F.transform(F.filter("s", lambda x: x["kind"] == kind), lambda x: x["segment"])
+    return found.select(*keys, of("gloss").alias("glosses"), of("reference").alias("refs"), F.size("s").cast("bigint").alias("segments"))

@@ -19,6 +19,14 @@ SLP1_TO_IAST = dict(
         strict=True,
     )
 )
+#: The same sounds in Velthuis's ASCII spelling.
+SLP1_TO_VELTHUIS = dict(
+    zip(
+        SLP1_TO_IAST,
+        'a aa i ii u uu .r .rr .l .ll e ai o au .m .h k kh g gh "n c ch j jh ~n .t .th .d .dh .n t th d dh n p ph b bh m y r l v "s .s s h'.split(),
+        strict=True,
+    )
+)
 #: Greek beta code letters and diacritics.
 BETA_LETTERS = dict(zip("abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρστυφχψω", strict=True))
 BETA_MARKS = {")": "̓", "(": "̔", "/": "́", "\\": "̀", "=": "͂", "|": "ͅ", "+": "̈"}
@@ -65,6 +73,26 @@ def slp1_to_iast(text: str) -> str:
     return "".join(SLP1_TO_IAST.get(c, c) for c in text)
 
 
+def slp1_to_velthuis(text: str) -> str:
+    return "".join(SLP1_TO_VELTHUIS.get(c, c) for c in text)
+
+
+def velthuis_to_slp1(text: str) -> str:
+    """Longest match first."""
+    out, at = [], 0
+    known = {v: k for k, v in SLP1_TO_VELTHUIS.items()}
+    while at < len(text):
+        for n in (3, 2, 1):
+            if text[at : at + n] in known and len(text[at : at + n]) == n:
+                out.append(known[text[at : at + n]])
+                at += n
+                break
+        else:
+            out.append(text[at])
+            at += 1
+    return "".join(out)
+
+
 _IAST = sorted(((v, k) for k, v in SLP1_TO_IAST.items()), key=lambda x: -len(x[0]))
 
 

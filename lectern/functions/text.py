@@ -138,3 +138,8 @@ def parse_anchor(c: Column) -> Column:
     pattern = r"^([a-z]+):([^#]*)(?:#(.*))?$"
     part = lambda i: F.regexp_extract(c, pattern, i)
     return F.struct(part(1).alias("kind"), part(2).alias("body"), F.nullif(part(3), F.lit("")).alias("tag"))
+
+
+def time_bucket(seconds: Column, width: int) -> Column:
+    """The start of the bucket of ``width`` seconds that a time in seconds falls into."""
+    return (F.floor(seconds / width) * width).cast("bigint")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import blank, section_key, tag_list
+from lectern.functions.scripts import on_column, strip_marks
+from lectern.functions.text import blank, project_citation, section_key, tag_list
 
 
 def _last(c: str) -> list[Column]:
@@ -343,3 +344,108 @@ def attribution_groups(attributions: DataFrame) -> DataFrame:
         F.min_by("evidence_label", "evidence_citation").alias("label"),
         F.count("*").alias("evidence_count"),
     )
+
+
+def list_rows(table: DataFrame, order: list[str], limit: int | None = None, **filters: str | None) -> DataFrame:
+    """A table's rows by equal columns (those that aren't None), in order, at most ``limit``."""
+    for column, value in filters.items():
+        if value is not None:
+            table = table.filter(F.col(column) == value)
+    rows = table.orderBy(*order)
+    return rows if limit is None else rows.limit(limit)
+
+
+def source_witnesses(works: DataFrame, editions: DataFrame) -> DataFrame:
+    """A witness for each registered work with a canonical text id: known by its urn, else its source's id, else its own."""
+    filled = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    first = editions.groupBy("work_id").agg(F.min_by("source_path", "edition_id").alias("source_path"))
+    own = works.filter(filled("canonical_text_id").isNotNull()).join(first, "work_id", "left")
+    return own.select(
+        "canonical_text_id",
+        "work_id",
+        "collection_id",
+        "language",
+        F.coalesce(filled("cts_work_urn"), filled("source_id"), "work_id").alias("witness_id"),
+        "source_id",
+        F.coalesce("cts_work_urn", F.lit("")).alias("source_urn"),
+        "source_path",
+        F.lit("accepted").alias("status"),
+        F.lit("medium").alias("confidence"),
+        F.lit("from the accepted source registration").alias("note"),
+    )
+
+
+def resolved_classifications(rows: DataFrame, works: DataFrame) -> DataFrame:
+    """Classifications with the work id that their ``ref`` means: a work id, a source id or a urn, in this order; others go.
+
+    A source id or a urn that several works have means the least of them.
+    """
+    ids = None
+    for rank, column in enumerate(("work_id", "source_id", "cts_work_urn")):
+        part = works.select(F.col(column).alias("ref"), "work_id", F.lit(rank).alias("rank")).filter(F.coalesce("ref", F.lit("")) != "")
+        ids = part if ids is None else ids.unionByName(part)
+    best = ids.groupBy("ref").agg(F.min_by("work_id", F.struct("rank", "work_id")).alias("work_id"))
+    return rows.drop("work_id").join(best, "ref").drop("ref")
+
+
+def known_authors(rows: DataFrame, works: DataFrame) -> DataFrame:
+    """Author classifications whose author and language the catalog has."""
+    return rows.join(works.select("author_id", "language").distinct(), ["author_id", "language"], "left_semi")
+
+
+def projected_references(references: DataFrame, maps: DataFrame) -> DataFrame:
+    """References with the citation that an accepted map of the work projects theirs to; as they are where there is none."""
+    rule = maps.filter("status = 'accepted' AND rule = 'book.chapter.section>book.section'").select("work_id").distinct().withColumn("_mapped", F.lit(True))
+    joined = references.join(rule, "work_id", "left")
+    return joined.withColumn("citation", F.when(F.col("_mapped"), project_citation(F.col("citation"))).otherwise(F.col("citation"))).drop("_mapped")
+
+
+def any_field_has(fields: list[str], spellings: list[str]) -> Column:
+    """Whether any field holds any of the spellings, accents and case aside."""
+    folded = F.array(*(on_column(strip_marks, F.lower(F.coalesce(F.col(c), F.lit("")))) for c in fields))
+    wanted = [strip_marks(t.lower()) for t in spellings]
+    return F.exists(folded, lambda x: _any_of(x, wanted))
+
+
+def _any_of(x: Column, wanted: list[str]) -> Column:
+    out = F.lit(False)
+    for t in wanted:
+        out = out | x.contains(t)
+    return out
+
+
+def any_prefix(c: Column, prefixes: list[str]) -> Column:
+    """Whether a text begins with one of the prefixes, character by character."""
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | c.startswith(p)
+    return out
+
+
+def pruned(rows: DataFrame, among: dict[str, list], between: dict[str, tuple], *tests: Column) -> DataFrame:
+    """Rows whose columns are among some values, within ranges (None is open), and that pass all tests."""
+    for column, values in among.items():
+        rows = rows.filter(F.col(column).isin(values))
+    for column, (low, high) in between.items():
+        rows = rows if low is None else rows.filter(F.col(column) >= low)
+        rows = rows if high is None else rows.filter(F.col(column) <= high)
+    for test in tests:
+        rows = rows.filter(test)
+    return rows
+
+
+def author_index(works: DataFrame, section: str | None = None, query: str | None = None, fields: list[str] = ["author"]) -> DataFrame:  # noqa: B006
+    """``author_id, language, works, author`` of the authors of a section that a text matches in any of some fields."""
+    if section is not None:
+        works = works.filter(section_key(F.col("author")) == section)
+    if query is not None:
+        works = works.filter(any_field_has(fields, [query]))
+    return works.groupBy("author_id", "language").agg(F.count("*").alias("works"), F.min("author").alias("author"))
+
+
+def set_differences(here: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """``key, side``: the keys that only one of two tables has."""
+    one, two = here.select(key).distinct(), there.select(key).distinct()
+    return one.join(two, key, "left_anti").withColumn("side", F.lit("only-here")).unionByName(
+        two.join(one, key, "left_anti").withColumn("side", F.lit("only-there"))
+    )

@@ -52,3 +52,8 @@ def summary_plan(units: DataFrame, key: list[str], text: str, model: str) -> Dat
     """One planned summary for each unit, with a hash of its input, so that unchanged units needn't be done again."""
     digest = F.sha2(F.coalesce(text, F.lit("")), 256)
     return units.select(*key, digest.alias("input_hash"), stable_id("plan-", *(F.col(k) for k in key), digest, F.lit(model)).alias("plan_id"))
+
+
+def split_pages(rows: DataFrame, keys: list[str], text: str, mark: str = "\f") -> DataFrame:
+    """``keys, page_no, page``: a text's parts between page marks, in order from 1."""
+    return rows.select(*keys, F.posexplode(F.split(text, mark)).alias("n", "page")).select(*keys, (F.col("n") + 1).cast("bigint").alias("page_no"), "page")

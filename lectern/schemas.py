@@ -28,6 +28,18 @@ TABLES = {
     "work_classifications": "work_id string, category string, period string, authorship_status string, "
     "popularity_score int, scope string, discovery_group_id string, discovery_tags string, "
     "global_popularity_score int, group_popularity_score int",
+    "author_classifications": "author_id string, language string, agent_kind string, historicity string, period string",
+    "source_witnesses": "canonical_text_id string, work_id string, collection_id string, language string, witness_id string, "
+    "source_id string, source_urn string, source_path string, status string, confidence string, note string",
+    "contained_works": "parent_work_id string, contained_work_id string, title string, range_start string, range_end string, "
+    "status string, source_file string",
+    "work_map_nodes": "work_id string, node_id string, parent_node_id string, label string, level int, ordinal int, "
+    "range_start string, range_end string",
+    "division_metadata": "work_id string, division string, field string, value string, status string, evidence_citation string",
+    "citation_maps": "work_id string, from_scheme string, to_scheme string, rule string, status string",
+    "citation_references": "work_id string, segment_id string, reference string, normalized_ref string, scheme string",
+    "translations": "translation_id string, source_lexicon string, entry_id string, occurrence int, source_text_hash string, "
+    "translated_text string, status string, created_at string, updated_at string",
     "segments": "segment_id string, work_id string, edition_id string, segment_kind string, citation_path string, "
     "text string, source_text string, normalized_text string, sort_key int",
     "addresses": "address string, segment_id string, address_kind string, citation_path string",

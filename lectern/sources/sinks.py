@@ -24,8 +24,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def table_digest(df: DataFrame, name: str) -> DataFrame:
-    """One row: name, rows and a checksum that doesn't depend on the rows' order."""
-    told = F.xxhash64(*(F.col(c) for c in sorted(df.columns))).cast("decimal(38,0)")
+    """One row: name, rows and a checksum that doesn't depend on the rows' order, and that any engine with SHA-256 computes alike:
+    the sum of the first 15 hexadecimal digits of each row's columns as text, by name, with the unit separator between."""
+    nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct", "map")}
+    texts = (F.to_json(c) if c in nested else F.col(c).cast("string") for c in sorted(df.columns))
+    row = F.concat_ws("\x1f", *(F.coalesce(t, F.lit("\x00")) for t in texts))
+    told = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(
         F.lit(name).alias("name"), F.count("*").alias("rows"), F.coalesce(F.sum(told), F.lit(0)).cast("string").alias("checksum")
     )

@@ -24,7 +24,8 @@ BUCKETS = 32
 MOST_PARTS = 16
 #: The column that a table's rows are dealt by.
 KEY = {"addresses": "segment_id", "aliases": "alias", "source_files": "source_path", "source_metadata": "source_path", "work_relations": "source_id",
-       "metadata_overlays": "match_value", "metadata_attributions": "match_value", "source_witnesses": "canonical_text_id", "author_classifications": "author_id"}
+       "metadata_overlays": "match_value", "metadata_attributions": "match_value", "source_witnesses": "canonical_text_id", "author_classifications": "author_id",
+       "contained_works": "parent_work_id", "translations": "translation_id"}
 
 Manifest = dict[str, dict[str, list[str]]]
 
