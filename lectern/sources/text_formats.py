@@ -21,8 +21,8 @@ SEGMENTS = "path string, work_title string, author string, citation string, sort
 
 
 def whole_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, content``: files as text."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    """``path, content``: files as text, also those in folders below."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     return files.select("path", F.decode("content", "UTF-8").alias("content"))
 
 
@@ -219,7 +219,7 @@ def parse_html(pages: DataFrame, key: str, source: str) -> DataFrame:
     return pages.select(key, source).mapInPandas(run, f"{key} {kind}, title string, lang string, n_links bigint, body_text string")
 
 
-def read_curated(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_curated(spark: SparkSession, path: str, schema: str, pattern: str = "*") -> DataFrame:
     """Records of curated JSON or YAML files, one list or mapping in each; YAML needs the optional ``yaml`` library.
 
     Curated lists are small; nested lists stay arrays, to be unrolled with ``explode``.
@@ -235,5 +235,5 @@ def read_curated(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return data if isinstance(data, list) else [data] if data else []
 
     lines = F.udf(lambda c: [json.dumps(r, ensure_ascii=False, default=str) for r in load(c)], "array<string>")
-    rows = whole_files(spark, path).select("path", F.explode(lines("content")).alias("line"))
+    rows = whole_files(spark, path, pattern).select("path", F.explode(lines("content")).alias("line"))
     return rows.select("path", F.from_json("line", schema).alias("r")).select("path", "r.*")
