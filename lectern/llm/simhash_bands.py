@@ -43,8 +43,10 @@ WORDS = 5
 BANDS, MINIMA, BITS = 16, 5, 8
 #: Bits of the sketch, a multiple of 64, and how many of them may differ.
 SKETCH, FAR = 256, 48
+#: Texts to be compared whose ids are broadcast, 16 bytes each, so that the documents needn't be shuffled; more are joined by shuffling.
+BROADCAST_NODES = 1_000_000
 #: Steps before all pairs that are left: each looks at one of so many variants.
-SHARES = (16, 4, 1)
+SHARES = (16, 1)
 _RNG = np.random.default_rng(SEED)
 _XOR = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32)
 _ODD = _RNG.integers(0, 1 << 32, SKETCH, dtype=np.uint32) | np.uint32(1)
@@ -263,7 +265,8 @@ def classes(docs: DataFrame, prints: DataFrame, cut: Cuts) -> DataFrame:
     distinct = cut(prints.groupBy("node").agg(F.min(order).alias("first")))
     shared = cut(_colliding(distinct))
     nodes = shared.select("node").distinct().join(distinct, "node")
-    chosen = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    chosen = cut(nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_NODES else chosen
     texts = docs.select("doc_id", "text").withColumn("_text_hash", F.xxhash64("text")).join(
         chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
     )
