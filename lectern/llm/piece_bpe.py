@@ -9,7 +9,8 @@ pairs.  Long segments have an agenda of their own, a heap.  Symbols without a pi
 In each Arrow slice every ``check``-th text (by default each) is encoded by the sentencepiece library too, and every text is
 decoded by it; a difference stops the job.
 
-Defined results: null is an empty text, with the end id only; repeated rows are encoded each; an empty table gives no row;
+Defined results: null is an empty text, with the end id only; very long texts are encoded whole; repeated rows are encoded each;
+a null doc_id is kept; an empty table gives no row; other columns, whatever their names, are ignored;
 strings of control pieces (``</s>``) inside a text are ordinary characters, as in the library.
 """
 
