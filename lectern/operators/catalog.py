@@ -219,7 +219,7 @@ def discovery_groups(works: DataFrame, classifications: DataFrame, taxonomy: Dat
         F.countDistinct(author_identity()).alias("author_count"),
         F.max("popularity_score").alias("max_score"),
     )
-    return found if taxonomy is None else found.join(F.broadcast(taxonomy), "id")
+    return found if taxonomy is None else found.join(taxonomy, "id")
 
 
 def discovery_tags(works: DataFrame, classifications: DataFrame) -> DataFrame:

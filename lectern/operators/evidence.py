@@ -101,7 +101,7 @@ def word_context(asked: DataFrame, entries: DataFrame, hits: DataFrame, indexed:
     lexical = entries.groupBy("language", "word").agg(F.count("*").alias("entries"))
     found = hits.groupBy("language", "word").agg(F.count("*").alias("passages"))
     known = indexed.select("language").distinct().withColumn("_indexed", F.lit(True))
-    joined = asked.join(lexical, ["language", "word"], "left").join(found, ["language", "word"], "left").join(F.broadcast(known), "language", "left")
+    joined = asked.join(lexical, ["language", "word"], "left").join(found, ["language", "word"], "left").join(known, "language", "left")
     status = F.when(F.col("_indexed").isNull(), "index_unavailable").when(F.col("passages").isNull(), "no_hits").otherwise("hits")
     return joined.select(
         "language", "word", F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("passages", F.lit(0)).alias("passages"), status.alias("status")

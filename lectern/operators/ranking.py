@@ -59,3 +59,28 @@ def escalations(rows: DataFrame, key: str, order: str, reasons: dict[str, Column
     best = marked.groupBy(key).agg(F.min_by(F.struct(*marked.columns), order).alias("r")).select("r.*")
     scored = best.withColumn("priority", F.array_max(F.transform("reasons", lambda r: F.coalesce(points[r], F.lit(0)))))
     return scored.orderBy(F.desc("priority"), order).limit(limit)
+
+
+def best_anchors(rows: DataFrame, keys: list[str], item: str, query: str, tie: str) -> DataFrame:
+    """Of each key the row that fits a query best as the place to open a list at, with its ``score``."""
+    scored = rows.withColumn("score", anchor_score(F.col(item), query))
+    best = F.min_by(F.struct(item, tie, "score"), F.struct(-F.col("score"), F.col(tie))).alias("b")
+    return scored.groupBy(*keys).agg(best).select(*keys, "b.*")
+
+
+def exact_first(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose text begins with a prefix, and their ``exact_rank``: 0 for the prefix itself."""
+    found = rows.filter(F.col(column).startswith(prefix))
+    return found.withColumn("exact_rank", F.when(F.col(column) == prefix, 0).otherwise(1))
+
+
+def needs(rows: DataFrame, keys: list[str], rules: dict[str, tuple[int, Column]]) -> DataFrame:
+    """``keys, need, priority``: a row for each rule that holds."""
+    made = F.array(*(F.when(c, F.struct(F.lit(name).alias("need"), F.lit(p).alias("priority"))) for name, (p, c) in rules.items()))
+    return rows.select(*keys, F.inline(F.filter(made, lambda x: x.isNotNull())))
+
+
+def reviewed(rows: DataFrame, keys: list[str], ambiguous: Column, local: Column, external: Column) -> DataFrame:
+    """The rule reviewer: what is ambiguous goes to review, what local and external evidence both have is accepted."""
+    agreed = ~ambiguous & local & external
+    return rows.select(*keys, F.when(agreed, "accept").otherwise("needs_review").alias("status"), F.when(agreed, "high").otherwise("low").alias("confidence"))

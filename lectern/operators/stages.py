@@ -86,7 +86,7 @@ def plan_calls(requests: DataFrame, templates: DataFrame) -> DataFrame:
 
     ``templates``: ``language, tool, stage, endpoint, priority``; the endpoint has ``{query}`` where the query goes.
     """
-    joined = requests.join(F.broadcast(templates), "language")
+    joined = requests.join(templates, "language")
     filled = F.replace("endpoint", F.lit("{query}"), F.col("query"))
     call = stable_id("call-", F.col("language"), F.col("tool"), F.col("stage"), filled)
     return joined.select("query", "language", "tool", "stage", filled.alias("endpoint"), "priority", call.alias("call_id"))

@@ -33,7 +33,7 @@ def contained_relations(contained: DataFrame) -> DataFrame:
 def concepts_of(features: DataFrame, keys: list[str], concepts: DataFrame) -> DataFrame:
     """Concept ids of a ``features`` map by a table ``feature, value, concept_id``."""
     each = features.select(*keys, F.explode("features").alias("feature", "value"))
-    found = each.join(F.broadcast(concepts), ["feature", "value"])
+    found = each.join(concepts, ["feature", "value"])
     return found.groupBy(*keys).agg(F.array_sort(F.collect_set("concept_id")).alias("concept_ids"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import stages
+from lectern.operators import ranking, stages
 from lectern.plans.registry import Registry
 from lectern.sources.sinks import table_digest
 from lectern.storage import read_table
@@ -71,13 +71,12 @@ SELECT doc_id, need, priority FROM (
 def research_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     joined = docs.select("doc_id", F.char_length("text").alias("n")).join(labels, "doc_id", "left")
-    rules = [
-        ("missing-label", 1, F.col("quality").isNull()),
-        ("short", 2, F.col("n") < 200),
-        ("review", 3, F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))),
-    ]
-    made = F.array(*(F.when(c, F.struct(F.lit(name).alias("need"), F.lit(p).alias("priority"))) for name, p, c in rules))
-    return joined.select("doc_id", F.inline(F.filter(made, lambda x: x.isNotNull())))
+    rules = {
+        "missing-label": (1, F.col("quality").isNull()),
+        "short": (2, F.col("n") < 200),
+        "review": (3, F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))),
+    }
+    return ranking.needs(joined, ["doc_id"], rules)
 
 
 @R.query(
@@ -85,12 +84,8 @@ def research_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN c_acctbal >= 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey < 10 THEN 'high' ELSE 'low' END AS confidence FROM customer"""
 )
 def overlay_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule reviewer: ambiguity goes to review, local and external evidence together are accepted."""
-    ambiguous = F.col("c_acctbal") < 0
-    agreed = ~ambiguous & F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_nationkey") < 10)
-    return read_table(spark, sf_dir, "customer").select(
-        "c_custkey", F.when(agreed, "accept").otherwise("needs_review").alias("status"), F.when(agreed, "high").otherwise("low").alias("confidence")
-    )
+    rows = read_table(spark, sf_dir, "customer")
+    return ranking.reviewed(rows, ["c_custkey"], F.col("c_acctbal") < 0, F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.col("c_nationkey") < 10)
 
 
 def _digest_sql(name: str, columns: str) -> str:

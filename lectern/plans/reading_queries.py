@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import evidence, similarity, text_search, windows
+from lectern.operators import evidence, ranking, similarity, text_search, windows
 from lectern.operators.numbering import row_numbers
 from lectern.plans.analogs import table, with_tables
 from lectern.plans.registry import Registry
@@ -203,9 +203,8 @@ def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT p_partkey, p_name, CASE WHEN p_name = 'blue' THEN 0 ELSE 1 END AS exact_rank FROM part WHERE p_name LIKE 'blue%'"""
 )
 def prefix_exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read_table(spark, sf_dir, "part").filter(F.col("p_name").startswith("blue"))
-    rank = F.when(F.col("p_name") == "blue", 0).otherwise(1)
-    return part.select("p_partkey", "p_name", rank.alias("exact_rank")).orderBy("exact_rank", "p_name", "p_partkey")
+    found = ranking.exact_first(read_table(spark, sf_dir, "part"), "p_name", "blue")
+    return found.select("p_partkey", "p_name", "exact_rank").orderBy("exact_rank", "p_name", "p_partkey")
 
 
 @R.query(
@@ -224,19 +223,11 @@ def cursor_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    """SELECT lang, doc_id, greatest(CASE WHEN text LIKE '% the %' THEN 130 ELSE 0 END, CASE WHEN text LIKE '% der %' THEN 120 ELSE 0 END, CASE WHEN length(text) > 500 THEN 60 ELSE 10 END) AS score
-FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) = 1"""
+    """SELECT p_brand, p_name, p_partkey, score FROM (SELECT *, CASE WHEN p_name = 'green' THEN 130 WHEN lower(p_name) = 'green' THEN 120 WHEN starts_with(lower(p_name), 'green') THEN 85
+  WHEN contains(lower(p_name), 'green') THEN 60 ELSE 10 END AS score FROM part) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) = 1"""
 )
 def best_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    score = F.greatest(
-        F.when(text.contains(" the "), 130).otherwise(0),
-        F.when(text.contains(" der "), 120).otherwise(0),
-        F.when(F.char_length(text) > 500, 60).otherwise(10),
-    )
-    docs = spread(read_table(spark, sf_dir, "documents")).withColumn("score", score)
-    best = F.min_by(F.struct("doc_id", "score"), F.struct(-F.col("score"), F.col("doc_id"))).alias("b")
-    return docs.groupBy("lang").agg(best).select("lang", "b.doc_id", "b.score")
+    return ranking.best_anchors(read_table(spark, sf_dir, "part"), ["p_brand"], "p_name", "green", "p_partkey")
 
 
 _TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
