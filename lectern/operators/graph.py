@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from lectern.storage import cut, drop_cut
 
 
+def _sums(pairs: DataFrame):
+    """Equal sets of pairs have equal counts and equal sums of pair hashes."""
+    return pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: the smallest node that each node of an edge reaches.
 
@@ -18,6 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = cut(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     )
+    known = _sums(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -33,13 +39,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         after = cut(small)
-        # exceptAll by sums: equal sets have equal counts and equal sums of pair hashes
-        sums = [
-            x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0] for x in (now, after)
-        ]
         drop_cut(now)
-        now = after
-        if sums[0] == sums[1]:
+        now, before, known = after, known, _sums(after)
+        if known == before:
             break
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import stable_id
+from lectern.storage import cut
 
 Handler = Callable[[DataFrame], DataFrame]
 
@@ -74,10 +75,10 @@ def run_stage(inputs: DataFrame, stored: DataFrame, registry: HandlerRegistry, s
 
 
 def run_plan(raw: DataFrame, stored: dict[str, DataFrame], registry: HandlerRegistry, stages: tuple[str, ...] = ("extract", "derive", "claim")) -> dict[str, DataFrame]:
-    """The effects of each stage, from the raw responses on."""
+    """The effects of each stage, from the raw responses on; each is cut, so that the next doesn't run its handlers again."""
     found, now = {}, raw
     for stage in stages:
-        now = found[stage] = run_stage(now, stored[stage], registry, stage)
+        now = found[stage] = cut(run_stage(now, stored[stage], registry, stage))
     return found
 
 

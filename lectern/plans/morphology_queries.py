@@ -195,3 +195,19 @@ def entry_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = found.select("p_partkey", F.lit(source).alias("source"), "headword", "grammar", F.array_join("glosses", "|").alias("glosses"), F.array_join("refs", "|").alias("refs"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@R.query(
+    """WITH p AS (SELECT CAST(p_partkey AS STRING) AS call_id, split_part(p_name, ' ', 1) AS w, split_part(p_name, ' ', 2) AS g FROM part),
+s AS (SELECT *, concat('lex:', w, '#N') AS l, concat('form:', w, 'us') AS f, concat('interp:', w, 'us/', w, '/1.1') AS i FROM p), t AS (SELECT *, concat('sense:', l, '#', substr(sha256(g), 1, 8)) AS sense FROM s)
+SELECT call_id, unnest([l, l, l, l, sense, f, i, i, i, i]) AS subject, unnest(['has_pos', 'has_declension', 'variant_form', 'has_sense', 'gloss', 'has_interpretation', 'realizes_lexeme', 'has_case', 'has_number', 'has_gender']) AS predicate,
+  unnest(['N', '2', concat(w, 'i'), sense, g, i, l, 'nominative', 'singular', 'masculine']) AS object FROM t"""
+)
+def word_list_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims from a command-line tool's own lines: an analysis, an entry and its senses."""
+    from lectern.sources import tool_answers
+
+    w, g = F.substring_index("p_name", " ", 1), F.substring_index("p_name", " ", -1)
+    text = F.concat(w, F.lit(".us   N      2 1 NOM S M\n"), w, F.lit(", "), w, F.lit("i  N (2nd) M   [XXXBO]\n"), g, F.lit(";\n*\n"))
+    answers = read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("call_id"), text.alias("text"))
+    return claims.tool_triples(tool_answers.word_list_answers(answers), "whitakers").select("call_id", "subject", "predicate", "object")
