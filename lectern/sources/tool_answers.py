@@ -20,7 +20,7 @@ PARTS = ("N", "V", "ADJ", "ADV", "PRON", "VPAR", "NUM", "PREP", "CONJ", "INTERJ"
 ORDINALS = {"1st": "1", "2nd": "2", "3rd": "3", "4th": "4", "5th": "5"}
 
 _TERM = re.compile(rf"^(\S+)\s+({'|'.join(PARTS)})\s+(.*)$")
-_CODE = re.compile(rf"^(\S.*?)\s{{1,}}({'|'.join(PARTS)})\b\s*(?:\((1st|2nd|3rd|4th|5th)\))?\s*([MFNC])?\b.*?(?:\[[A-Z]{{5}}\].*)?$")
+_CODE = re.compile(rf"^(\S.*?)\s{{1,}}({'|'.join(PARTS)})\b\s*(?:\((1st|2nd|3rd|4th|5th)\))?.*$")
 
 
 def analysis(code: str) -> dict[str, str]:
