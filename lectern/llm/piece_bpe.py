@@ -313,7 +313,7 @@ class PieceEncoder:
                 self._store([""], np.zeros(0, np.int32), np.zeros(1, np.int64))
             if new:
                 self._learn(new)
-        known = np.fromiter((self.slot[s] for s in names), np.int64, len(names))
+        known = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
         slots = known[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
         n = self.length[slots]
         ends = np.cumsum(n)

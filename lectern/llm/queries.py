@@ -111,11 +111,22 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Small numbers as text.
+_DECIMALS = [str(i) for i in range(1 << 16)]
+
+
+def _decimals(ids: list[int]) -> str:
+    try:
+        return " ".join(map(_DECIMALS.__getitem__, ids))
+    except IndexError:
+        return " ".join(map(str, ids))
+
+
 def _piece_digests(ids: list[list[int]], decoded: list[str]) -> list[pa.Array]:
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
     return [
         pa.array([len(x) for x in ids], pa.int64()),
-        pa.array([digest(" ".join(map(str, x))) for x in ids], pa.string()),
+        pa.array([digest(_decimals(x)) for x in ids], pa.string()),
         pa.array([digest(t) for t in decoded], pa.string()),
     ]
 

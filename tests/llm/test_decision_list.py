@@ -92,3 +92,19 @@ def test_fit_takes_one_text_for_each_id(spark, monkeypatch):
     many = docs(spark, [(1, f"{long} {i}") for i in range(300)] + [(2, long), (3, "short")])
     D.train(many, spark.createDataFrame([(1, 0), (2, 1), (3, 0), (None, 1)], "doc_id bigint, quality int"))
     assert seen == [2]
+
+
+def test_verdicts_against_a_plain_reading_of_the_list(spark, sf_dir):
+    rules = [
+        D.Rule((("symbols", ">", 0.02), ("n_words", "<=", 300.0))),
+        D.Rule((("repeats", ">", 0.3), ("word_length", "<=", 6.0), ("capitals", ">", 0.001))),
+    ]
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    outcomes = set()
+    for r in D.judge(df, rules).collect():
+        s = r["stats"]
+        x = {k: s[a] / max(1, s[b]) for k, (a, b) in D._SHARES.items()} | {"n_words": float(s["n_words"])}
+        bad = any(all(x[f] > t if o == ">" else x[f] <= t for f, o, t in rule.conditions) for rule in rules)
+        assert r["kept"] == (not r["base_failed"] and not bad)
+        outcomes.add((r["base_failed"], bad))
+    assert len(outcomes) >= 3
