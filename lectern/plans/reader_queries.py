@@ -388,12 +388,12 @@ def staged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    """WITH t AS (SELECT conv_id, turn, concat(role, ' one. And ', role, ' two! Three') AS text FROM conversations WHERE turn < 3)
+    """WITH t AS (SELECT conv_id, turn, concat(role, ' one. And ', role, ' two! Three') AS text FROM conversations)
 SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS title, unnest(['1', '2', '3']) AS citation_path, unnest(string_split_regex(text, '(?:\\. |! )')) AS start, 3 AS segments FROM t WHERE length(text) >= 28"""
 )
 def imported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged pages without a flag as works of sentences."""
-    turns = read_table(spark, sf_dir, "conversations").filter("turn < 3")
+    turns = read_table(spark, sf_dir, "conversations")
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     pages = turns.select(key.alias("k"), key.alias("t"), F.concat("role", F.lit(" one. And "), "role", F.lit(" two! Three")).alias("x"))
     t = C.catalog_tables(E.import_staged(E.stage_pages(pages, "k", "t", "x", "pilot", 28), "pilot", "en"), "pilot", "staged")

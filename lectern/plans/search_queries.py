@@ -52,9 +52,8 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _second_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second corpus: records of two kinds in one table, pages and what was said of them."""
     pages = read_table(spark, sf_dir, "pages").select(F.lit("page").alias("work_id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("segment_id"), F.col("url").alias("text"))
-    said = read_table(spark, sf_dir, "conversations").filter("turn = 0").select(
-        F.lit("encounter").alias("work_id"), F.concat(F.lit("e"), F.col("conv_id").cast("string")).alias("segment_id"), "text"
-    )
+    place = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    said = read_table(spark, sf_dir, "conversations").select(F.lit("encounter").alias("work_id"), F.concat(F.lit("e"), place).alias("segment_id"), "text")
     kinds = spark.createDataFrame([("encounter",), ("page",)], "work_id string")
     return S.search_rows(said.unionByName(pages), kinds)
 
@@ -178,7 +177,7 @@ def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     """WITH x AS (SELECT 'page' AS kind, concat('p', CAST(page_id AS STRING)) AS segment_id, url AS text FROM pages
-  UNION ALL SELECT 'encounter', concat('e', CAST(conv_id AS STRING)), text FROM conversations WHERE turn = 0),
+  UNION ALL SELECT 'encounter', concat('e', CAST(conv_id AS STRING), '.', CAST(turn AS STRING)), text FROM conversations),
 d AS (SELECT kind, segment_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^0-9a-z]+'), lambda w: w <> '') AS ts FROM x), s AS (SELECT count(*) AS n, sum(len(ts)) / count(*) AS mean FROM d),
 p AS (SELECT segment_id, kind, term, count(*) AS tf, min(dl) AS dl FROM (SELECT segment_id, kind, len(ts) AS dl, unnest(ts) AS term FROM d) WHERE term IN ('example', 'the') GROUP BY 1, 2, 3),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)

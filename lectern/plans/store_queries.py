@@ -66,13 +66,13 @@ def registered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    """SELECT CAST(conv_id AS STRING) AS work_id, concat('1.', CAST(turn AS STRING)) AS reference, count(*) AS n FROM conversations WHERE conv_id % 4 <> 1 AND turn = 2 GROUP BY 1, 2
+    """SELECT CAST(conv_id AS STRING) AS work_id, concat('1.', CAST(turn AS STRING)) AS reference, count(*) AS n FROM conversations WHERE conv_id % 4 <> 1 GROUP BY 1, 2
 UNION ALL SELECT CAST(conv_id AS STRING), '9.9', count(DISTINCT conv_id) FROM conversations WHERE conv_id % 4 = 1 GROUP BY 1"""
 )
 def registered_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of some works are replaced; those of others, also of works that have none any more, stay or go with their work."""
     store, turns = _store(spark), read_table(spark, sf_dir, "conversations")
-    own = turns.filter("turn = 2").select(_s("conv_id").alias("work_id"), F.concat(F.lit("1."), _s("turn")).alias("reference"))
+    own = turns.select(_s("conv_id").alias("work_id"), F.concat(F.lit("1."), _s("turn")).alias("reference"))
     store.replace("citation_references", own)
     fresh = turns.filter("conv_id % 4 = 1").select(_s("conv_id").alias("work_id"), F.lit("9.9").alias("reference")).distinct()
     store.replace_keys("citation_references", fresh, ["work_id"])
@@ -127,7 +127,7 @@ def registered_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _done(store, store.read("metadata_attributions").filter("status = 'accepted'").select("match_field", "match_value", "relation_type", "agent", "status"))
 
 
-_CONTAINED = "c AS (SELECT concat('w', CAST(l_orderkey AS STRING)) AS parent_work_id, concat('w', CAST(l_partkey AS STRING)) AS contained_work_id FROM lineitem WHERE l_linenumber = 2)"
+_CONTAINED = "c AS (SELECT concat('w', CAST(l_orderkey AS STRING)) AS parent_work_id, concat('w', CAST(l_partkey AS STRING)) AS contained_work_id FROM lineitem)"
 
 
 @R.query(
@@ -137,7 +137,7 @@ UNION ALL SELECT DISTINCT contained_work_id, parent_work_id, 'contained_in' FROM
 def listed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contained works and the relations that follow from them, in one commit; the first 300 of one direction."""
     store = _store(spark)
-    rows = read_table(spark, sf_dir, "lineitem").filter("l_linenumber = 2")
+    rows = read_table(spark, sf_dir, "lineitem")
     contained = rows.select(F.concat(F.lit("w"), _s("l_orderkey")).alias("parent_work_id"), F.concat(F.lit("w"), _s("l_partkey")).alias("contained_work_id")).distinct()
     relations = tokens.contained_relations(contained)
     store.change({"contained_works": store.replaced("contained_works", contained), "work_relations": store.replaced("work_relations", relations)})
