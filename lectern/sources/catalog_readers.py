@@ -103,16 +103,16 @@ def paragraphs_tei(text: str) -> tuple[Said, Iterator[Segment]]:
     )
 
 
-def resolved_author(given: str | None, title: str | None, source: str | None) -> str:
-    """The header's author; else whether the title or the source say that there is none or that it is uncertain."""
-    if given:
-        return given
-    told = f"{title or ''} {source or ''} ".lower()
-    if "incerti auctoris" in told:
-        return "Uncertain author"
-    if "anonymus" in told or "anonymi " in told or "anonymous" in told:
-        return "Anonymous"
-    return "Unattributed"
+#: How titles and sources call an author whom they don't name, and what is shown for it.
+UNNAMED = {"incerti auctoris": "Uncertain author", "anonymus": "Anonymous", "anonymi ": "Anonymous", "anonymous": "Anonymous"}
+NOBODY = "Unattributed"
+
+
+def resolved_author(*told: str | None) -> str:
+    """The header's author, else what the title and the source (in this order) say in place of one."""
+    author, *others = told
+    low = " ".join(filter(None, others)).lower() + " "
+    return author or next((shown for mark, shown in UNNAMED.items() if mark in low), NOBODY)
 
 
 def verse_json(text: str) -> tuple[Said, Iterator[Segment]]:
@@ -339,28 +339,27 @@ def split_works(lines: DataFrame, works: DataFrame, stem: Column) -> DataFrame:
     return lines.withColumn("stem", stem).join(keyed, ["stem", "work"])
 
 
+#: An author's record in such a table, and the mark of a language's letter.
+AUTHOR_RECORD = r"^\s*([A-Z]{3})([A-Za-z0-9]{4})\s+([^\u0083]+)"
+LANGUAGE_MARK = r"\u0083([A-Za-z])"
+
+
 def author_table(files: DataFrame, languages: dict[str, str]) -> DataFrame:
     """``path, author_id, key, value`` of author tables (binary): records between 0xFF, each an id, a name, and a language's letter after 0x83;
-    a record with a star sets the language of those after it."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, raw in zip(batch["path"], batch["content"], strict=True):
-                base = ""
-                for entry in (e.decode("latin-1") for e in bytes(raw).split(b"\xff")):
-                    letter = re.search("\x83([A-Za-z])", entry)
-                    told = languages.get(letter[1], "") if letter else base
-                    if entry.startswith("*"):
-                        base = told
-                    elif m := re.match(r"\s*([A-Z]{3})([A-Za-z0-9]{4})\s+([^\x83]+)", entry):
-                        own = f"{m[1]}{m[2]}".lower()
-                        rows.append((path, own, "name", " ".join(m[3].split())))
-                        if told:
-                            rows.append((path, own, "language", told))
-            yield pd.DataFrame(rows, columns=["path", "author_id", "key", "value"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, author_id string, key string, value string")
+    a record with a star sets the language of those after it that have no letter."""
+    records = files.select("path", F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\u00ff")).alias("no", "record"))
+    known = F.create_map(*(F.lit(x) for kv in languages.items() for x in kv))
+    letter = F.nullif(F.regexp_extract("record", LANGUAGE_MARK, 1), F.lit(""))
+    head = F.col("record").startswith("*")
+    marked = records.select("*", letter.alias("letter"), F.when(head, known[letter]).alias("set"))
+    before = Window.partitionBy("path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    own = marked.withColumn("language", F.when(F.col("letter").isNull(), F.last("set", ignorenulls=True).over(before)).otherwise(known[F.col("letter")]))
+    part = lambda i: F.regexp_extract("record", AUTHOR_RECORD, i)
+    authors = own.filter(~head & F.col("record").rlike(AUTHOR_RECORD)).select(
+        "path", F.lower(F.concat(part(1), part(2))).alias("author_id"), F.trim(F.regexp_replace(part(3), r"\s+", " ")).alias("name"), "language"
+    )
+    said = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("name", "language")))
+    return authors.select("path", "author_id", F.inline(said)).filter("value <> ''")
 
 
 # from rows to tables
