@@ -30,7 +30,7 @@ CAPACITY = 4096
 #: Pieces of one numbered group, about.
 SALT_ROWS = 20_000
 #: Cached words of one Python worker; a full cache keeps those that came again, results don't depend on it.
-CACHE_WORDS = 550_000
+CACHE_WORDS = 480_000
 #: Marks that may follow a plain word, and plain words that are encoded at once.
 MARKS = ".,;:!?"
 LINE = 256
