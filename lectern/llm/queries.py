@@ -14,6 +14,7 @@ from lectern.llm import (
     chat_format,
     decision_list,
     imatch,
+    lexical_search,
     license_scan,
     packing,
     piece_bpe,
@@ -23,8 +24,7 @@ from lectern.llm import (
     toxicity,
 )
 from lectern.llm.common import tokenizer_path
-from lectern.storage import cut, shared_dir
-from lectern.storage import read_table, spread
+from lectern.storage import cut, read_table, shared_dir, spread, stored
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +217,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "benchmark")
+    index = lexical_search.build_index(_read(spark, sf_dir, "documents"), lexical_search.asked_terms(items))
+    return lexical_search.search(stored(index, "lexical-index"), items)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
@@ -229,8 +234,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_rollup": op8_token_rollup,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_lexical_search": op11_lexical_search,
 }
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ESCAPED = r"regexp_replace({}, '([<\[])(~*)(/?(?:s>|INST\]|ROLE\]|NEXT\]))', '\1\2~\3', 'g')"
 
 #: The other operators' results hang on trained models, library tokenizers or hashes that SQL has not; tests hold them against plain versions.
@@ -244,4 +252,13 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length({_ESCAPED.format("text")}) + CASE WHEN opens = 1 THEN length('<s>[ROLE][/ROLE]</s>') + length({_ESCAPED.format("role")}) ELSE length('[NEXT]') END) AS BIGINT) AS formatted_chars
 FROM m GROUP BY conv_id""",
+    "op11_lexical_search": rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWERED}, '{_TERMS}') AS t FROM documents),
+d AS (SELECT r, doc_id, len(t) AS n, t FROM t WHERE len(t) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+i AS (SELECT k, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS k, item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERMS}')) AS term FROM benchmark) GROUP BY ALL),
+x AS (SELECT k, item_id, d.r, d.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN p USING (term) JOIN d ON p.r = d.r, s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0) WHERE rank <= 10""",
 }
