@@ -22,6 +22,7 @@ from lectern.llm import (
     simhash,
     token_rollup,
     toxicity,
+    url_filter,
 )
 from lectern.llm.common import tokenizer_path
 from lectern.storage import cut, read_table, shared_dir, spread, stored
@@ -223,6 +224,21 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(stored(index, "lexical-index"), items)
 
 
+#: The contract's rules.
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "glob", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_imatch": op2_imatch,
@@ -235,8 +251,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
+    "op13_url_filter": op13_url_filter,
 }
 
+
+
+def _like(glob: str) -> str:
+    return "".join({"*": "%", "?": "_", "%": r"\%", "_": r"\_"}.get(c, c) for c in glob)
+
+
+def _rule_rows(rules: list[url_filter.Rule]) -> str:
+    """Rules as SQL values: the one that wins first."""
+    values = (f"({k}, '{_like(r.host)}', '{_like(r.path)}', '{r.text}', '{r.verdict}')" for k, r in enumerate(url_filter.ranked(rules)))
+    return f"(VALUES {', '.join(values)}) AS r (k, host, path, rule, verdict)"
+
+
+def _first_rule(rules: list[url_filter.Rule]) -> str:
+    return rf"""SELECT n, min(k) AS k, arg_min(rule, k) AS rule, arg_min(verdict, k) AS verdict
+  FROM (SELECT n, r.* EXCLUDE (host, path) FROM p JOIN {_rule_rows(rules)} ON '.' || p.host LIKE '%.' || r.host ESCAPE '\' AND p.path LIKE r.path || '%' ESCAPE '\') GROUP BY n"""
+
+
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _ESCAPED = r"regexp_replace({}, '([<\[])(~*)(/?(?:s>|INST\]|ROLE\]|NEXT\]))', '\1\2~\3', 'g')"
@@ -261,4 +295,8 @@ i AS (SELECT k, item_id, term, count(*) AS times FROM (SELECT row_number() OVER
 x AS (SELECT k, item_id, d.r, d.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
   FROM i JOIN w USING (term) JOIN p USING (term) JOIN d ON p.r = d.r, s GROUP BY ALL)
 SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0) WHERE rank <= 10""",
+    "op13_url_filter": rf"""WITH u AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT n, page_id, {_LOWERED.replace("text", "regexp_extract(rest, '^[^/?#]*', 0)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+b AS ({_first_rule(URL_RULES)}), g AS ({_first_rule(url_filter.GLOBS)})
+SELECT page_id, host, path, b.rule, g.rule AS glob, coalesce(b.verdict, g.verdict, 'allow') AS verdict FROM p LEFT JOIN b USING (n) LEFT JOIN g USING (n)""",
 }
