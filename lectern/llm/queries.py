@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import (
     chat_format,
+    conversation_repair,
     decision_list,
     imatch,
     lexical_search,
@@ -224,6 +225,30 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(stored(index, "lexical-index"), items)
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage: rows are dropped, emptied, robbed of their sentences' ends, repeated or given to the user."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    times = F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    role = F.when(kind == 4, "user").otherwise(space("role"))
+    return rows.filter(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("time")).drop("time")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.summaries(conversation_repair.repair(damaged(rows)), lambda said: F.sha2(said, 256))
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return ids.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"),
+        *map(number, "blank duplicate truncated illegal cost".split()),
+        F.when(F.col("audit").isNull(), F.lit(0)).otherwise(F.col("gaps")).cast("bigint").alias("gaps"),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 #: The contract's rules.
 URL_RULES = [
     url_filter.Rule("com", "/", "allow"),
@@ -251,6 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_lexical_search": op11_lexical_search,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_url_filter": op13_url_filter,
 }
 
