@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from lectern.operators import search as S
 from lectern.plans.registry import Registry
-from lectern.storage import read_table, shared_dir
+from lectern.storage import delete_folder, read_table, shared_dir
 
 R = Registry()
 
-#: A conversation is a work, its turns are segments; the first turn's role tells the collection.
-_BUILT: dict[tuple[str, str, str], str] = {}
+#: The indexes built in this session: what each was built from, and its folder.
+_BUILT: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation is a work, its turns are segments."""
     turns = read_table(spark, sf_dir, "conversations")
     work = F.concat(F.lit("w"), F.col("conv_id").cast("string"))
     segments = turns.select(
@@ -50,22 +51,61 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _second_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second corpus: records of two kinds in one table, pages and what was said of them."""
-    pages = read_table(spark, sf_dir, "pages").select(F.lit("page").alias("work_id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("segment_id"), F.col("url").alias("text"))
+    """The second corpus: records of two kinds in one table, the text of pages and what was said of them."""
+    pages = read_table(spark, sf_dir, "pages").select(
+        F.lit("page").alias("work_id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("segment_id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text")
+    )
     place = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     said = read_table(spark, sf_dir, "conversations").select(F.lit("encounter").alias("work_id"), F.concat(F.lit("e"), place).alias("segment_id"), "text")
     kinds = spark.createDataFrame([("encounter",), ("page",)], "work_id string")
     return S.search_rows(said.unionByName(pages), kinds)
 
 
+def _build(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    S.build_index(_rows(spark, sf_dir), folder)
+
+
+def _build_second(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    S.build_index(_second_rows(spark, sf_dir), folder)
+
+
+def _build_grown(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """An empty index to which three parts of the rows are added, the first comes again, and what systems said is deleted."""
+    rows = _rows(spark, sf_dir)
+    S.build_index(rows.limit(0), folder)
+    for part in (["c0"], ["c1", "c2"], ["c3"], ["c0"]):
+        index = S.append(rows.filter(F.col("collection_id").isin(part)), folder)
+    S.delete(index, index.rows.filter("segment_kind = 'system'"))
+
+
+def _build_merged(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    _build_grown(spark, sf_dir, folder)
+    S.merge(S.Index(spark, folder))
+
+
+_BUILDERS = {"segments": _build, "second": _build_second, "grown": _build_grown, "merged": _build_merged}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """What tells another state of the tables: their files, with sizes and times."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    told = []
+    for table in ("conversations", "pages"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        told += [f"{x.getPath()} {x.getLen()} {x.getModificationTime()}" for x in path.getFileSystem(conf).listStatus(path)]
+    return "\n".join(told)
+
+
 def _index(spark: SparkSession, sf_dir: str, name: str = "segments") -> S.Index:
-    """The index of a folder's tables, built once in a session."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _BUILT:
+    """The index of a folder's tables, built once in a session for each state of them; an older state's goes."""
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), _state(spark, sf_dir)
+    if key not in _BUILT or _BUILT[key][0] != state:
+        if key in _BUILT:
+            delete_folder(spark, _BUILT[key][1])
         folder = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
-        S.build_index((_rows if name == "segments" else _second_rows)(spark, sf_dir), folder)
-        _BUILT[key] = folder
-    return S.Index(spark, _BUILT[key])
+        _BUILDERS[name](spark, sf_dir, folder)
+        _BUILT[key] = (state, folder)
+    return S.Index(spark, _BUILT[key][1])
 
 
 _LOW = "trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
@@ -75,9 +115,13 @@ _ROWS = f"""r AS (SELECT concat('w', CAST(conv_id AS STRING)) AS work_id, concat
   trim(regexp_replace(strip_accents({_LOW}), '[^0-9a-z]+', ' ', 'g')) AS token_text FROM conversations)"""
 _WORDS = "list_filter(string_split({}, ' '), lambda x: x <> '')"
 _TOKENS = _WORDS.format("token_text")
-_SCORES = f"""{_ROWS}, s AS (SELECT count(*) AS n, sum(len({_TOKENS})) / count(*) AS mean FROM r),
-p AS (SELECT segment_id, term, count(*) AS tf, min(dl) AS dl FROM (SELECT segment_id, len({_TOKENS}) AS dl, unnest({_TOKENS}) AS term FROM r) GROUP BY 1, 2),
-f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)"""
+_SCORED = """, s AS (SELECT count(*) AS n, sum(len({t})) / count(*) AS mean FROM r),
+p AS (SELECT segment_id, term, count(*) AS tf, min(dl) AS dl FROM (SELECT segment_id, len({t}) AS dl, unnest({t}) AS term FROM r) GROUP BY 1, 2),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)""".replace("{t}", _TOKENS)
+_SCORES = _ROWS + _SCORED
+#: Without what was deleted.
+_LEFT_ROWS = _ROWS[:-1] + " WHERE role IS DISTINCT FROM 'system')"
+_LEFT_SCORES = _LEFT_ROWS + _SCORED
 _SCORE = "sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)))"
 _ORDER = "round(score, 9) DESC, language, title, turn, segment_id"
 
@@ -104,10 +148,23 @@ def search_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).counts()
 
 
-@R.query("SELECT * FROM (VALUES ('normalizer_version', 'another', 'lower-fold-1'), ('catalog', 'here', NULL)) v(key, expected, value)")
+@R.query(
+    """SELECT 'normalizer_version' AS key, 'another' AS expected, 'lower-fold-1' AS value UNION ALL SELECT 'catalog', 'here', NULL
+  UNION ALL SELECT 'rows', CAST((SELECT count(*) FROM pages) AS STRING), CAST(count(*) AS STRING) FROM conversations HAVING count(*) <> (SELECT count(*) FROM pages)"""
+)
 def search_index_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an index lacks that a search expects: another normalizer's version, and a setting that isn't there."""
-    return _index(spark, sf_dir).issues(normalizer_version="another", catalog="here").select("key", "expected", "value")
+    """What an index lacks that a search expects: another normalizer's version, a setting that isn't there, and another table's rows."""
+    other = read_table(spark, sf_dir, "pages").count()
+    return _index(spark, sf_dir).issues(normalizer_version="another", catalog="here", rows=str(other)).select("key", "expected", "value")
+
+
+@R.query(
+    """SELECT concat('w', CAST(conv_id AS STRING)) AS work_id, count(DISTINCT turn) AS expected, count(*) FILTER (WHERE role <> 'system') AS found
+FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'system') > 0"""
+)
+def search_stale_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of which an index that has grown holds another number of segments than the table."""
+    return _index(spark, sf_dir, "grown").stale_works(_rows(spark, sf_dir).select("work_id", "segment_id"))
 
 
 def _page(hits: DataFrame) -> DataFrame:
@@ -176,7 +233,35 @@ def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    """WITH x AS (SELECT 'page' AS kind, concat('p', CAST(page_id AS STRING)) AS segment_id, url AS text FROM pages
+    f"""WITH {_LEFT_SCORES}, h AS (SELECT segment_id, {_SCORE} AS score FROM p JOIN f USING (term), s WHERE term IN ('thing', 'eau', 'of') GROUP BY 1)
+SELECT segment_id, round(score, 6) AS score, row_number() OVER (ORDER BY {_ORDER}) AS place, 'thing eau of' AS matched FROM h JOIN r USING (segment_id) ORDER BY place LIMIT 45"""
+)
+def search_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of several batches scores as one of what holds."""
+    return _page(S.search(_index(spark, sf_dir, "grown"), "thing eau of", limit=45))
+
+
+@R.query(
+    f"""WITH {_LEFT_ROWS}, w AS (SELECT 'search' AS field, segment_id, unnest({_WORDS.format("search_text")}) AS term FROM r
+  UNION ALL SELECT 'folded', segment_id, unnest({_WORDS.format("folded_text")}) FROM r UNION ALL SELECT 'tokens', segment_id, unnest({_TOKENS}) FROM r)
+SELECT field, count(DISTINCT (segment_id, term)) AS postings, count(DISTINCT term) AS terms, count(*) AS tokens FROM w GROUP BY 1"""
+)
+def search_appended_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, "grown").counts()
+
+
+@R.query(
+    f"""WITH {_LEFT_SCORES}, q AS (SELECT segment_id FROM r WHERE concat(' ', token_text, ' ') LIKE '% in the %'),
+h AS (SELECT segment_id, {_SCORE} AS score FROM p JOIN f USING (term) JOIN q USING (segment_id), s WHERE term IN ('in', 'the') GROUP BY 1)
+SELECT segment_id, round(score, 6) AS score, row_number() OVER (ORDER BY {_ORDER}) AS place, 'in the' AS matched FROM h JOIN r USING (segment_id) ORDER BY place LIMIT 50"""
+)
+def search_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase in an index whose batches were merged."""
+    return _page(S.search(_index(spark, sf_dir, "merged"), "in the", mode="phrase", limit=50))
+
+
+@R.query(
+    """WITH x AS (SELECT 'page' AS kind, concat('p', CAST(page_id AS STRING)) AS segment_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages
   UNION ALL SELECT 'encounter', concat('e', CAST(conv_id AS STRING), '.', CAST(turn AS STRING)), text FROM conversations),
 d AS (SELECT kind, segment_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^0-9a-z]+'), lambda w: w <> '') AS ts FROM x), s AS (SELECT count(*) AS n, sum(len(ts)) / count(*) AS mean FROM d),
 p AS (SELECT segment_id, kind, term, count(*) AS tf, min(dl) AS dl FROM (SELECT segment_id, kind, len(ts) AS dl, unnest(ts) AS term FROM d) WHERE term IN ('example', 'the') GROUP BY 1, 2, 3),
