@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.functions import scripts
 from lectern.plans.registry import Registry
 from lectern.sources import catalog_readers as C
+from lectern.sources import milestones
 from lectern.sources import enrichment as E
 from lectern.sources import sinks, text_formats
 from lectern.storage import cut, delete_folder, read_table, shared_dir
@@ -99,6 +100,79 @@ def malformed_tei(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(rows, read)
 
 
+#: Customers are dealt out to files by their numbers, so there are as many files as customers ask for.
+_BLOCK = 60
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each block of customers: its number and its customers in order."""
+    block = F.floor(F.col("c_custkey") / _BLOCK).cast("bigint").alias("block")
+    own = read_table(spark, sf_dir, "customer").groupBy(block).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("cs"))
+    return own.withColumn("name", F.concat(F.lit("b-"), F.col("block").cast("string")))
+
+
+_BLOCK_ROWS = f"""b AS (SELECT *, c_custkey // {_BLOCK} AS block, row_number() OVER (PARTITION BY c_custkey // {_BLOCK} ORDER BY c_custkey) AS i FROM customer)"""
+
+
+def _milestone_tei() -> Column:
+    """Chapters of ten customers and a section for each; paragraphs end after every seventh, pages after every 25th."""
+
+    def one(c: Column, k: Column) -> Column:
+        i = k + 1
+        number = lambda x: x.cast("string")
+        chapter = F.when(k % 10 == 0, F.concat(F.lit('<milestone unit="chapter" n="'), number(F.floor(k / 10) + 1), F.lit('"/>\n'))).otherwise("")
+        page = F.when(i % 25 == 0, F.concat(F.lit('<pb n="'), number(F.floor(i / 25)), F.lit('"/>'))).otherwise("")
+        paragraph = F.when(i % 7 == 0, F.lit("</p>\n<p>more ")).otherwise("")
+        name = F.concat(F.substring(c["c_name"], F.lit(1), F.lit(4)), F.lit('<lb break="no"/>\n<hi>'), F.substring(c["c_name"], F.lit(5), F.length(c["c_name"])), F.lit("</hi>"))
+        return F.concat(chapter, F.lit('<milestone unit="section" n="'), number(k % 10 + 1), F.lit('"/>'), F.replace(name, F.lit("\n"), F.lit("")), page, F.lit("\n"), paragraph)
+
+    return F.concat(
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><title>Block '), F.col("block").cast("string"), F.lit('</title><author>A &amp; &eacute;</author></teiHeader>\n<text xml:lang="lat">'),
+        F.lit('<body><div type="edition" n="urn:cts:block:'), F.col("block").cast("string"), F.lit('"><div type="textpart" subtype="book" n="1">\n<p>'),
+        F.array_join(F.transform("cs", one), ""), F.lit("</p>\n"), F.when(F.col("block") % 3 == 2, "</div></body>").otherwise("</div></div></body></text></TEI>"),
+    )
+
+
+_MILESTONES = f"""{_BLOCK_ROWS}, m AS (SELECT *, concat('urn:cts:block:', block) AS urn, concat('1.', (i - 1) // 10 + 1, '.', (i - 1) % 10 + 1) AS citation_path FROM b),
+s AS (SELECT block, urn, i, 0 AS part, citation_path, c_name AS text, (i - 1) // 25 AS page FROM m UNION ALL SELECT block, urn, i, 1, citation_path, 'more', i // 25 FROM m WHERE i % 7 = 0),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY block ORDER BY i, part) AS INT) AS sort_key FROM s)"""
+
+
+def _milestone_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _blocks(spark, sf_dir).select("name", _milestone_tei().alias("content"))
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows.write.partitionBy("name").text(folder)
+    found = cut(milestones.read_milestones(milestones.file_lines(spark, folder)))
+    delete_folder(spark, folder)
+    return found
+
+
+@R.query(
+    f"""WITH {_MILESTONES} SELECT urn AS cts_work_urn, concat('Block ', block) AS title, 'A & é' AS author, 'lat' AS language, citation_path, 'section' AS segment_kind, sort_key, text,
+  CAST(count(*) OVER (PARTITION BY block) AS INT) AS segment_count FROM p"""
+)
+def milestone_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of files whose sections are marked by milestones across paragraphs; every third file breaks off and keeps what it had."""
+    return _work_segments(C.catalog_tables(_milestone_rows(spark, sf_dir), "tei", "milestones"))
+
+
+@R.query(
+    f"""WITH {_MILESTONES}, w AS (SELECT DISTINCT block, urn FROM p) SELECT 'edition' AS kind, urn AS label, NULL AS citation_path, CAST(block AS STRING) AS detail FROM w
+UNION ALL SELECT 'cts', concat(urn, ':', citation_path), citation_path, NULL FROM p UNION ALL SELECT 'native', concat('native:', page), citation_path, NULL FROM p WHERE page > 0
+UNION ALL SELECT 'error', NULL, NULL, 'ExpatError' FROM w WHERE block % 3 = 2"""
+)
+def milestone_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Editions, the segments' addresses by citation and by page, and the files that aren't XML to their end."""
+    rows = _milestone_rows(spark, sf_dir)
+    tables = C.catalog_tables(rows, "tei", "milestones")
+    none = F.lit(None).cast("string")
+    block = F.regexp_extract("source_path", "name=b-([0-9]+)/", 1)
+    editions = tables["editions"].select(F.lit("edition").alias("kind"), F.col("cts_edition_urn").alias("label"), none.alias("citation_path"), block.alias("detail"))
+    addresses = tables["addresses"].select("address_kind", "address", "citation_path", none)
+    errors = rows.filter("error IS NOT NULL").select(F.lit("error"), none, none, F.substring_index("error", ":", 1))
+    return editions.union(addresses).union(errors)
+
+
 @R.query(
     f"""WITH {_ROWS} SELECT n_name AS title, CASE n_nationkey % 4 WHEN 0 THEN r_name WHEN 1 THEN 'Anonymous' WHEN 2 THEN 'Uncertain author' ELSE 'Unattributed' END AS author, CAST(i AS STRING) AS citation,
   c_name AS text FROM c"""
