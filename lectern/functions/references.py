@@ -151,7 +151,7 @@ def parse_morph(c: Column) -> Column:
     tags = F.filter(F.split(F.trim(F.regexp_replace(c, "^[^:]*:", "")), r"\s+"), lambda t: t != "")
     good = c.contains(":") & (F.size(tags) > 0) & told.isNotNull()
     forms = F.transform(F.split(F.substring_index(c, ":", 1), ","), lambda f: F.trim(f))
-    return F.struct(F.when(good, forms).alias("forms"), F.when(good, F.get(tags, F.lit(0))).alias("pos"), F.when(good, F.slice(tags, 2, 1000)).alias("features"))
+    return F.struct(F.when(good, forms).alias("forms"), F.when(good, F.get(tags, F.lit(0))).alias("pos"), F.when(good, F.slice(tags, F.lit(2), F.greatest(F.size(tags), F.lit(1)))).alias("features"))
 
 
 def source_segments(rows: DataFrame, keys: list[str], text: str) -> DataFrame:

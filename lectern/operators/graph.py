@@ -47,3 +47,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))
     )
+
+
+def trees(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """``node, parent, level, path`` of each node that a root (a null parent) leads to; the path joins the nodes from the root by dots.
+
+    Each node knows a part of its way up, and each round doubles it by that of the ancestor where it ends, so there are as many rounds as
+    the depth has binary digits.  Nodes whose parent isn't there are left out with all below them, and so are circles: a round
+    in which no way comes to its end has no end before it.
+    """
+    own = F.col(node).cast("string")
+    begun = nodes.select(node, parent, F.col(parent).alias("up"), own.alias("path"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("level"))
+    now = cut(begun)
+    left = None
+    while True:
+        ended, going = now.filter("up IS NULL"), now.filter("up IS NOT NULL")
+        count = going.count()
+        if not count or count == left:
+            break
+        left = count
+        above = now.select(F.col(node).alias("_node"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("level").alias("_level"))
+        longer = going.join(above, F.col("up") == F.col("_node")).select(
+            node, parent, F.col("_up").alias("up"), F.concat("_path", F.lit("."), "path").alias("path"), (F.col("level") + F.col("_level")).alias("level")
+        )
+        after = cut(ended.unionByName(longer))
+        drop_cut(now)
+        now = after
+    return now.filter("up IS NULL").select(node, parent, "level", "path")

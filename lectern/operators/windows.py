@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators import intervals
 from lectern.operators.numbering import row_numbers
 
 
@@ -45,9 +46,11 @@ def spans(rows: DataFrame, keys: list[str], place: str, starts: Column) -> DataF
 
 
 def in_spans(rows: DataFrame, found: DataFrame, keys: list[str], place: str) -> DataFrame:
-    """Rows with the span that holds them: spans are unrolled to their places, so the range join is an equi-join."""
-    unrolled = found.withColumn(place, F.explode(F.sequence("span_start", "span_end")))
-    return rows.join(unrolled, [*keys, place], "left")
+    """Rows with the spans that hold them, or nulls: a join by nested bins, so spans of any length take a few rows."""
+    held = intervals.places_in(rows, found, keys, place, "span_start", "span_end").select(*rows.columns, "span_start", "span_end")
+    rest = rows.join(held.select(*keys, place).distinct(), [*keys, place], "left_anti")
+    empty = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("span_start", "span_end")]
+    return held.unionByName(rest.select(*rows.columns, *empty))
 
 
 def budget_prefix(rows: DataFrame, keys: list[str], order: list[str], size: Column, budget: int) -> DataFrame:

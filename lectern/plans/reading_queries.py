@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.operators import evidence, ranking, similarity, text_search, windows
+from lectern.operators import evidence, graph, intervals, ranking, similarity, text_search, windows
 from lectern.operators.numbering import row_numbers
 from lectern.plans.analogs import table, with_tables
 from lectern.plans.registry import Registry
@@ -80,6 +80,42 @@ def range_join_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.in_spans(turns.select("conv_id", "turn", "role"), found, ["conv_id"], "turn")
 
 
+#: An event's interval in microseconds: an error disturbs up to a day, a purchase up to two hours.
+_DISTURBED = """e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+i AS (SELECT event_id, user_id, event_type, t AS s, t + k * CASE event_type WHEN 'error' THEN 864000000 ELSE 72000000 END AS e FROM e WHERE event_type IN ('error', 'purchase'))"""
+
+
+def _disturbed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    length = F.col("k") * F.when(F.col("event_type") == "error", F.lit(864_000_000)).otherwise(F.lit(72_000_000))
+    found = events.filter("event_type IN ('error', 'purchase')").select("event_id", "user_id", "event_type", F.col("t").alias("s"), (F.col("t") + length).alias("e"))
+    return events, found
+
+
+@R.query(
+    f"""WITH {_DISTURBED} SELECT i.event_id, i.event_type, count(*) AS hits, min(x.event_id) AS first_hit, max(x.event_id) AS last_hit FROM i JOIN e x ON x.user_id = i.user_id AND x.t BETWEEN i.s AND i.e
+WHERE x.event_type <> 'signup' GROUP BY 1, 2"""
+)
+def interval_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events within hours and days, in microseconds, after each error and purchase."""
+    events, found = _disturbed(spark, sf_dir)
+    rows = events.filter("event_type <> 'signup'").select("user_id", "t", F.col("event_id").alias("hit"))
+    held = intervals.places_in(rows, found, ["user_id"], "t", "s", "e")
+    return held.groupBy("event_id", "event_type").agg(F.count("*").alias("hits"), F.min("hit").alias("first_hit"), F.max("hit").alias("last_hit"))
+
+
+@R.query(
+    f"""WITH {_DISTURBED} SELECT a.event_id, count(*) AS others, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS shared FROM i a JOIN i b ON a.user_id = b.user_id AND a.s <= b.e AND b.s <= a.e
+WHERE a.event_type = 'error' AND b.event_type = 'purchase' GROUP BY 1"""
+)
+def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors' intervals with the purchases' that they have some time in common with."""
+    _, found = _disturbed(spark, sf_dir)
+    both = intervals.overlapping(found.filter("event_type = 'error'"), found.filter("event_type = 'purchase'"), ["user_id"], "s", "e")
+    shared = F.least("e", "other_e") - F.greatest("s", "other_s")
+    return both.groupBy("event_id").agg(F.count("*").alias("others"), F.sum(shared).alias("shared"))
+
+
 @R.query(
     """SELECT conv_id, turn, used FROM (SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) used,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) rn FROM conversations) WHERE rn = 1 OR used <= 900"""
@@ -534,13 +570,5 @@ UNION ALL SELECT p.p_partkey, t.node, t.level + 1, concat(t.path, '.', CAST(p.p_
 SELECT node, parent, level, path FROM t"""
 )
 def work_map_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read_table(spark, sf_dir, "part").selectExpr(
-        "p_partkey AS node", "CASE WHEN p_partkey > 0 THEN (p_partkey - 1) DIV 4 END AS parent"
-    )
-    return spark.sql(
-        """WITH RECURSIVE t(node, parent, level, path) AS (
-  SELECT node, parent, 0, CAST(node AS STRING) FROM {nodes} WHERE parent IS NULL
-  UNION ALL SELECT n.node, n.parent, t.level + 1, concat(t.path, '.', CAST(n.node AS STRING)) FROM {nodes} n JOIN t ON n.parent = t.node)
-SELECT * FROM t""",
-        nodes=part,
-    )
+    part = read_table(spark, sf_dir, "part").selectExpr("p_partkey AS node", "CASE WHEN p_partkey > 0 THEN (p_partkey - 1) DIV 4 END AS parent")
+    return graph.trees(part, "node", "parent")
