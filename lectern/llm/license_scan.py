@@ -22,7 +22,9 @@ of equal length the one over fewer words is taken; an empty table gives no row;
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -168,43 +170,80 @@ def groups_of(found: list[tuple[int, int]], reach: int) -> list[list[tuple[int,
     return list(out.values())
 
 
-def longest_chain(found: list[tuple[int, int]], grams: int) -> list[tuple[int, int]]:
-    """The longest run of hits in which both places rise; of equal ones one over the fewest words."""
-    # for each template place the best chain that ends there: its length, its first text place, its last hit
-    best: list[tuple[int, int, int] | None] = [None] * grams
-    before: list[int] = []
-    hits_ = sorted(found, key=lambda h: (h[0], -h[1]))  # hits of one text place can't follow each other
-    top: tuple[int, int, int] | None = None
-    for k, (i, at) in enumerate(hits_):
-        chosen = max((b for b in best[:at] if b), default=None, key=lambda b: b[:2])
-        now = (chosen[0] + 1, chosen[1], k) if chosen else (1, i, k)
-        before.append(chosen[2] if chosen else -1)
-        if best[at] is None or now[:2] >= best[at][:2]:
-            best[at] = now
-        if top is None or (now[0], now[1] - i) > (top[0], top[1] - hits_[top[2]][0]):
-            top = now
-    chain, k = [], top[2] if top else -1
-    while k >= 0:
-        chain.append(hits_[k])
-        k = before[k]
-    return chain[::-1]
-
-
-def notices_in(found: list[tuple[int, int]], template: Template) -> list[tuple[int, int, float]]:
-    """(first word, word after the last, share) of each place where a template stands, from its hits."""
+Hit = tuple[int, int]
+
+
+def best_from(start: int, found: list[Hit], gone: list[bool], template: Template) -> tuple[float, int, int] | None:
+    """(share, first place, last place) of the best notice whose first hit is ``found[start]``, or None.
+
+    Both places rise along a notice's hits, and they have all its telling words.  Its share is the number of its hits by the pairs of
+    words that it spans in text or template, so only hits within a few times the template's length can follow the first one.
+    """
+    grams, need = template.grams, least_share(template.grams)
+    every = (1 << len(template.telling)) - 1
+
+    def told(at: int) -> int:
+        return sum(1 << k for k, place in enumerate(template.telling) if at <= place < at + GRAM)
+
+    first, at0 = found[start]
+    # for each template place and set of telling words, the longest chain that ends there
+    longest: dict[int, dict[int, int]] = {at0: {told(at0): 1}}
+    best = (1 / grams, first, first) if told(at0) == every and 1 / grams >= need else None
+    for k in range(start + 1, len(found)):
+        i, at = found[k]
+        if (i - first + 1) * need > grams:
+            break
+        if gone[k] or at <= at0 or i == first:
+            continue
+        own: dict[int, int] = {}
+        for before, lengths in longest.items():
+            if before < at:
+                for words, n in lengths.items():
+                    words |= told(at)
+                    own[words] = max(own.get(words, 0), n + 1)
+        here = longest.setdefault(at, {})
+        for words, n in own.items():
+            here[words] = max(here.get(words, 0), n)
+        share = own.get(every, 0) / max(grams, i - first + 1)
+        if share >= need and (best is None or share > best[0]):
+            best = (share, first, i)
+    return best
+
+
+def notices_in(found: list[Hit], template: Template) -> list[tuple[int, int, float]]:
+    """(first word, word after the last, share) of each place where a template stands, from its hits.
+
+    The best share of a group comes first, then the best of what is left beside it, so further pieces of a notice never hide it.
+    """
     out = []
-    grams = template.grams
+    least = least_share(template.grams) * template.grams
     for group in groups_of(found, len(template.words)):
-        while len({at for _, at in group}) >= least_share(grams) * grams:
-            chain = longest_chain(group, grams)
-            first, last = chain[0][0], chain[-1][0]
-            share = len(chain) / max(grams, last - first + 1)
-            if share < least_share(grams):
-                break
-            told = {at + k for _, at in chain for k in range(GRAM)}
-            if told.issuperset(template.telling):
-                out.append((first, last + GRAM, share))
-            group = [h for h in group if not first <= h[0] <= last]
+        if len({at for _, at in group}) < least:
+            continue
+        group = sorted(group, key=lambda h: (h[0], -h[1]))  # hits of one text place can't follow each other
+        places = [i for i, _ in group]
+        gone = [False] * len(group)
+        ranked = []
+        for k in range(len(group)):
+            best = best_from(k, group, gone, template)
+            if best:
+                ranked.append((-best[0], best[1], best[2], k))
+        heapq.heapify(ranked)
+        while ranked:
+            share, first, last, k = heapq.heappop(ranked)
+            own = slice(bisect_left(places, first), bisect_right(places, last))
+            if gone[k]:
+                continue
+            if any(gone[own]):  # another notice has some of its hits
+                best = best_from(k, group, gone, template)
+                now = best and (-best[0], best[1], best[2], k)
+                if best and now != (share, first, last, k):
+                    heapq.heappush(ranked, now)
+                    continue
+                if not best:
+                    continue
+            out.append((first, last + GRAM, -share))
+            gone[own] = [True] * len(gone[own])
     return out
 
 
