@@ -25,7 +25,12 @@ _TRIPLES = "array<struct<subject:string,predicate:string,object:string>>"
 #: Names of features as a parser of sentences gives them, and as predicates have them.
 SENTENCE_FEATURES = {"Case": "case", "Number": "number", "Gender": "gender", "Person": "person", "Tense": "tense", "Voice": "voice", "Mood": "mood", "Degree": "degree"}
 #: What the colours of an analysis stand for.
-COLORS = {"deep_sky": "noun", "carmin": "verb", "mauve": "indeclinable", "lawngreen": "iic", "yellow": "iic"}
+COLORS = {
+    "blue": "noun or adjective", "light_blue": "pronoun", "deep_sky": "pronoun", "cyan": "final compound member", "red": "finite verb", "carmin": "finite verb",
+    "yellow": "compound stem", "mauve": "indeclinable", "lavender": "preverb or preposition", "green": "vocative", "lawngreen": "vocative",
+    "orange": "periphrastic or cvi stem", "magenta": "phonetic or sandhi", "salmon": "special infinitive", "grey": "unknown morphology", "gray": "unknown morphology",
+    "beige": "general background", "pink": "annotation",
+}
 
 
 def word(c: Column) -> Column:

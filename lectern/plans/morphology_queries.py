@@ -143,7 +143,7 @@ def whitakers_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(
-    f"""WITH p AS ({_P}) SELECT call_id, form AS subject, 'has_morphology' AS predicate, p_name AS lemma, p_brand AS form, unnest(['1', '2']) AS person, unnest(['verb', 'given']) AS pos FROM p"""
+    f"""WITH p AS ({_P}) SELECT call_id, form AS subject, 'has_morphology' AS predicate, p_name AS lemma, p_brand AS form, unnest(['1', '2']) AS person, unnest(['finite verb', 'given']) AS pos FROM p"""
 )
 def heritage_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses kept as objects; the colour tells the part of speech where the analysis doesn't."""

@@ -446,33 +446,41 @@ def curated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_WHITE = "[ \\t\\n\\x0b\\f\\r]+"
+
+
 @R.query(
-    """SELECT concat('s', CAST(doc_id AS STRING)) AS source_key, substr(text, 1, 10) AS title, length(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS chars,
-  CASE WHEN length(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) < 100 THEN 'short' ELSE '' END AS flags FROM documents WHERE NOT regexp_matches(text, '<|\\{\\{|\\[\\[|\\]\\]')"""
+    f"""WITH m AS (SELECT doc_id, concat('<b>', substr(coalesce(text, ''), 1, 4), '</b> {{{{cite|x}}}} ', coalesce(text, ''), ' [[Page ', lang, '|shown]] and [[Other]]<br/>') AS text FROM documents),
+t AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(text, '<[^>]*>|\\{{\\{{[^}}]*\\}}\\}}|\\[\\[([^|\\]]*\\|)?|\\]\\]', ' ', 'g'), '{_WHITE}', ' ', 'g')) AS bare FROM m)
+SELECT concat('s', CAST(doc_id AS STRING)) AS source_key, substr(text, 4, 4) AS title, md5(bare) AS text_md5, length(bare) AS chars,
+  concat_ws(',', CASE WHEN bare = '' THEN 'empty' END, CASE WHEN length(bare) < 100 THEN 'short' END, CASE WHEN substr(text, 4, 4) = '' THEN 'untitled' END) AS flags FROM t"""
 )
 def staged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages staged for an import with what is wrong with them, written as JSON lines and read back."""
-    docs = read_table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"<|\{\{|\[\[|\]\]"))
-    staged = E.stage_pages(docs.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("k"), F.substring("text", 1, 10).alias("t"), "text"), "k", "t", "text", "pilot", 100)
+    """Pages with markup, cleaned and staged for an import with what is wrong with them, written as JSON lines and read back."""
+    own = F.coalesce("text", F.lit(""))
+    marked = F.concat(F.lit("<b>"), F.substring(own, 1, 4), F.lit("</b> {{cite|x}} "), own, F.lit(" [[Page "), "lang", F.lit("|shown]] and [[Other]]<br/>"))
+    docs = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("k"), marked.alias("text"))
+    staged = E.stage_pages(docs.select("k", F.substring("text", 4, 4).alias("t"), "text"), "k", "t", "text", "pilot", 100)
     folder = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     sinks.write_json(staged, folder)
-    out = cut(spark.read.schema(staged.schema).json(folder).select("source_key", "title", "chars", F.array_join("flags", ",").alias("flags")))
+    out = cut(spark.read.schema(staged.schema).json(folder).select("source_key", "title", F.md5("text").alias("text_md5"), "chars", F.array_join("flags", ",").alias("flags")))
     delete_folder(spark, folder)
     return out
 
 
 @R.query(
-    """WITH t AS (SELECT conv_id, turn, concat(role, ' one. And ', role, ' two! Three') AS text FROM conversations)
-SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS title, unnest(['1', '2', '3']) AS citation_path, unnest(string_split_regex(text, '(?:\\. |! )')) AS start, 3 AS segments FROM t WHERE length(text) >= 28"""
+    f"""WITH t AS (SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS title, trim(regexp_replace(coalesce(text, ''), '{_WHITE}', ' ', 'g')) AS text FROM conversations),
+s AS (SELECT title, list_filter(string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS ss FROM t WHERE length(text) >= 28)
+SELECT title, CAST(i AS STRING) AS citation_path, md5(trim(ss[i])) AS text_md5, CAST(len(ss) AS INT) AS segments FROM s, unnest(range(1, len(ss) + 1)) AS x(i)"""
 )
 def imported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Staged pages without a flag as works of sentences."""
+    """Staged pages without a flag as works of sentences, of the whole texts."""
     turns = read_table(spark, sf_dir, "conversations")
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    pages = turns.select(key.alias("k"), key.alias("t"), F.concat("role", F.lit(" one. And "), "role", F.lit(" two! Three")).alias("x"))
+    pages = turns.select(key.alias("k"), key.alias("t"), F.col("text").alias("x"))
     t = C.catalog_tables(E.import_staged(E.stage_pages(pages, "k", "t", "x", "pilot", 28), "pilot", "en"), "pilot", "staged")
     found = t["segments"].join(t["works"].select("work_id", "title"), "work_id").join(t["artifacts"].select("work_id", F.col("segment_count").alias("segments")), "work_id")
-    return found.select("title", "citation_path", F.regexp_replace("text", "[.!]$", "").alias("start"), "segments")
+    return found.select("title", "citation_path", F.md5("text").alias("text_md5"), "segments")
 
 
 @R.query(f"WITH {_ROWS} SELECT n_name AS book, CAST(i AS INT) AS entry_no, CAST((i - 1) // 6 + 1 AS INT) AS page, concat(c_name, ' means something long') AS text FROM c")

@@ -119,6 +119,42 @@ def applied_overlays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _done(store, store.read("works").select("work_id", "title"))
 
 
+_SPOKEN = """w AS (SELECT CAST(conv_id AS STRING) AS work_id, max(turn) AS n FROM conversations GROUP BY 1),
+l AS (SELECT work_id, CASE WHEN n % 5 = 0 THEN 'grc' WHEN n % 3 = 0 THEN 'lat' ELSE 'en' END AS language FROM w WHERE n % 7 <> 6)"""
+
+
+@R.query(
+    f"""WITH {_SPOKEN} SELECT 'works' AS kind, work_id AS key, language FROM l UNION ALL SELECT 'editions', 'e' || work_id, language FROM l UNION ALL SELECT 'aliases', 'a' || work_id, language FROM l
+UNION ALL SELECT 'addresses', 'urn:' || conv_id || '.' || turn, NULL FROM conversations WHERE CAST(conv_id AS STRING) IN (SELECT work_id FROM l)"""
+)
+def works_with_all_theirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages that sources and words tell go on to editions and aliases; works go with all that is theirs."""
+    store = _store(spark)
+    turns = read_table(spark, sf_dir, "conversations").select(_s("conv_id").alias("work_id"), "turn")
+    works = turns.groupBy("work_id").agg(F.max("turn").alias("n"))
+    english = F.lit("en").alias("language")
+    segment = F.concat_ws(".", "work_id", _s("turn"))
+    store.change(
+        {
+            "works": store.replaced("works", works.select("work_id", english)),
+            "editions": store.replaced("editions", works.select(F.concat(F.lit("e"), "work_id").alias("edition_id"), "work_id", english)),
+            "aliases": store.replaced("aliases", works.select(F.concat(F.lit("a"), "work_id").alias("alias"), F.col("work_id").alias("target"), english)),
+            "segments": store.replaced("segments", turns.select(segment.alias("segment_id"), "work_id")),
+            "addresses": store.replaced("addresses", turns.select(F.concat(F.lit("urn:"), segment).alias("address"), segment.alias("segment_id"))),
+        }
+    )
+    hits = works.filter("n % 3 = 0").select("work_id", F.lit("lat").alias("language"), F.lit(9).alias("hits"))
+    told = works.filter("n % 5 = 0").select("work_id", F.lit("grc").alias("language"), F.lit(1).alias("rank"))
+    store.repair_languages(hits, 5, told=told)
+    store.delete_works(works.filter("n % 7 = 6"))
+    out = None
+    for kind, key in (("works", "work_id"), ("editions", "edition_id"), ("aliases", "alias"), ("addresses", "address")):
+        rows = store.read(kind)
+        own = rows.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col("language") if "language" in rows.columns and kind != "addresses" else F.lit(None).cast("string").alias("language"))
+        out = own if out is None else out.unionByName(own)
+    return _done(store, out)
+
+
 @R.query(with_tables("attributions", sql="SELECT match_field, match_value, relation_type, agent, status FROM attributions WHERE status = 'accepted'"))
 def registered_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, rows = _store(spark), table(spark, sf_dir, "attributions")

@@ -34,6 +34,14 @@ def key_of(table: str) -> str:
     return KEY.get(table, "work_id")
 
 
+#: The columns of tables that name a work.
+WORK_COLUMNS = {
+    "works": ["work_id"], "editions": ["work_id"], "artifacts": ["work_id"], "segments": ["work_id"], "work_classifications": ["work_id"], "aliases": ["target"],
+    "citation_references": ["work_id"], "work_map_nodes": ["work_id"], "division_metadata": ["work_id"], "citation_maps": ["work_id"], "source_witnesses": ["work_id"],
+    "contained_works": ["parent_work_id", "contained_work_id"], "work_relations": ["source_id", "target_id"],
+}
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -175,10 +183,30 @@ class TableStore:
             files.delete(path, True)
         return gone
 
-    def delete_works(self, ids: DataFrame, tables: tuple[str, ...] = ("works", "editions", "artifacts", "work_classifications", "segments")) -> None:
-        """Works go from every table that has their id, in one commit."""
+    def deleted_by(self, table: str, ids: DataFrame, columns: list[str]) -> Callable[[Manifest], dict[str, list[str]]]:
+        """Rows go that have an id (the one column of ``ids``) in any of the columns."""
+        if len(columns) == 1:
+            return self.deleted(table, ids.toDF(columns[0]), columns)
+
+        def edit(m: Manifest) -> dict[str, list[str]]:
+            left = self._read(table, [p for ps in m.get(table, {}).values() for p in ps])
+            for c in columns:
+                left = left.join(ids.toDF(c).distinct(), c, "left_anti")
+            return self._write(table, left)
+
+        return edit
+
+    def delete_works(self, ids: DataFrame, tables: dict[str, list[str]] | None = None) -> None:
+        """Works (``work_id``) go with all that belongs to them, in one commit: rows of every table of ``WORK_COLUMNS`` that is there, and
+        what only their segments have."""
         here = self.manifest()
-        self.change({t: self.deleted(t, ids, ["work_id"]) for t in tables if t in here})
+        chosen = {t: c for t, c in (WORK_COLUMNS if tables is None else tables).items() if t in here}
+        ids = ids.select("work_id")
+        edits = {t: self.deleted_by(t, ids, c) for t, c in chosen.items()}
+        if "addresses" in here and "segments" in here and "addresses" not in chosen:
+            gone = self.read("segments").join(ids.distinct(), "work_id", "left_semi").select("segment_id")
+            edits["addresses"] = self.deleted_by("addresses", gone, ["segment_id"])
+        self.change(edits)
 
     def register_works(self, works: DataFrame, artifacts: DataFrame, order: str | None = None) -> None:
         """Incoming works and artifacts replace those of the same ids, in one commit; of several incoming rows of an id the last in
@@ -193,10 +221,17 @@ class TableStore:
         keyed = own.select(F.col("match_value").alias("work_id"), "value", F.coalesce("evidence_retrieved_at", F.lit("")).alias("ord"))
         return self._overlaid(keyed, field, dry_run)
 
-    def repair_languages(self, hits: DataFrame, least: int, dry_run: bool = False) -> DataFrame:
-        """Works whose text speaks another language (``work_id, language, hits``): changes, and made unless ``dry_run``."""
+    def repair_languages(self, hits: DataFrame, least: int, dry_run: bool = False, told: DataFrame | None = None) -> DataFrame:
+        """Works that are in another language than is told: changes, and made unless ``dry_run``, in editions and aliases too.
+
+        What the sources say of a work or its author (``told``: ``work_id, language, rank``, the smallest rank first) goes before what most of
+        its words are (``hits``: ``work_id, language, hits``).
+        """
         best = hits.groupBy("work_id").agg(F.max_by(F.struct("language", "hits"), F.struct("hits", "language")).alias("b"))
         found = best.filter(F.col("b.hits") >= least).select("work_id", F.col("b.language").alias("value"), F.lit("").alias("ord"))
+        if told is not None:
+            first = told.filter("language IS NOT NULL").groupBy("work_id").agg(F.min_by("language", F.struct("rank", "language")).alias("value"))
+            found = first.withColumn("ord", F.lit("")).unionByName(found.join(first, "work_id", "left_anti"))
         return self._overlaid(found, "language", dry_run)
 
     def _overlaid(self, overlays: DataFrame, field: str, dry_run: bool) -> DataFrame:
@@ -205,5 +240,14 @@ class TableStore:
         changes = dml.overlay_changes(works, overlays, "work_id", field)
         if not dry_run:
             rows = dml.apply_overlays(works.join(changes.select("work_id").distinct(), "work_id", "left_semi"), overlays, "work_id", field)
-            self.change({"works": self.upserted("works", rows, ["work_id"])})
+            edits = {"works": self.upserted("works", rows, ["work_id"])}
+            if field == "language":  # what a work is called and printed as speaks its language too
+                last = overlays.join(changes.select("work_id").distinct(), "work_id", "left_semi")
+                edits |= {t: self._spoken(t, column, last) for t, column in (("editions", "work_id"), ("aliases", "target")) if t in self.manifest()}
+            self.change(edits)
         return changes
+
+    def _spoken(self, table: str, column: str, overlays: DataFrame) -> Callable[[Manifest], dict[str, list[str]]]:
+        """The table with the works' new languages."""
+        own = self.read(table)
+        return self.replaced(table, dml.apply_overlays(own, overlays.withColumnRenamed("work_id", column), column, "language"))
