@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scripts
 from lectern.plans.registry import Registry
+from lectern.operators import scans
 from lectern.sources import catalog_readers as C
 from lectern.sources import milestones
 from lectern.sources import enrichment as E
@@ -506,6 +507,44 @@ def scanned_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(rows, read)
 
 
+@R.query(
+    """WITH b AS (SELECT *, CAST(c_custkey // 60 AS STRING) AS path, c_custkey % 3 AS k, c_custkey * 10 AS place FROM customer),
+r AS (SELECT path, c_custkey, 0 AS i, 1 AS level, NULL AS mark, place // 14 AS page, concat(c_name, ' means', CASE WHEN k = 0 THEN ' something longer' ELSE '' END) AS text FROM b
+  UNION ALL SELECT path, c_custkey, 1, 2, 'I', (place + 1) // 14, 'I. first of all' FROM b WHERE k = 1 UNION ALL SELECT path, c_custkey, 2, 4, '1', (place + 3) // 14, '1. within' FROM b WHERE k = 1
+  UNION ALL SELECT path, c_custkey, 3, 2, 'II', (place + 4) // 14, 'II. second' FROM b WHERE k = 1 UNION ALL SELECT path, c_custkey, 1, 3, 'B', (place + 1) // 14, 'B. letter' FROM b WHERE k = 2)
+SELECT path, dense_rank() OVER (PARTITION BY path ORDER BY c_custkey) AS entry_no, row_number() OVER (PARTITION BY path ORDER BY c_custkey, i) AS block_no, level, mark, page, text FROM r"""
+)
+def scanned_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested senses of scanned entries that go over columns and pages."""
+    lit = lambda *xs: F.array(*(F.lit(x) for x in xs))
+    k = F.col("c_custkey") % 3
+    more = F.when(k == 0, lit("some-", "thing longer")).when(k == 1, lit("I. first", "of all", "1. within", "II. second")).otherwise(lit("B. letter"))
+    lines = read_table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(F.concat(F.array(F.concat("c_name", F.lit(" means"))), more)).alias("i", "text"))
+    at = F.col("c_custkey") * 10 + F.col("i")
+    left = F.when(at % 14 < 7, 10).otherwise(400)
+    rows = lines.select(F.floor(F.col("c_custkey") / 60).cast("string").alias("path"), F.floor(at / 14).alias("page"), (at % 7 * 10).cast("int").alias("top"), left.alias("left"), "text")
+    return E.column_senses(rows, 300, F.col("text").endswith(" means"))
+
+
+@R.query(
+    """SELECT p_brand AS book, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS entry_no, CAST(p_partkey AS STRING) AS number,
+  CASE WHEN p_size % 7 <> 0 AND p_size % 3 > 0 THEN concat(p_name, ' ', lower(p_type), CASE WHEN p_size % 3 = 2 THEN ' and more' ELSE '' END) ELSE p_name END AS title, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS STRING) END AS page FROM part"""
+)
+def toc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of contents with titles over one to three lines, running heads between them, and titles that another one interrupts."""
+    size = F.col("p_size")
+    line = lambda *cs: F.concat(*(F.lit(c) if c[:2] != "p_" else F.col(c).cast("string") for c in cs))
+    head, end = line("p_partkey", ". ", "p_name"), line(" .... ", "p_size")
+    lines = (
+        F.when(size % 7 == 0, F.array(head))
+        .when(size % 3 == 0, F.array(F.concat(head, end), F.lit("running head")))
+        .when(size % 3 == 1, F.array(head, F.concat(F.lower("p_type"), end), F.lit("CONTENTS 12")))
+        .otherwise(F.array(head, F.lower("p_type"), F.concat(F.lit("and more"), end)))
+    )
+    rows = read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("book"), "p_partkey", F.posexplode(lines).alias("line", "text"))
+    return scans.toc_entries(rows, ["book"], ["p_partkey", "line"], "text", r"^(\d+)\.\s", r"\s*\.{2,}\s*(\d+)")
+
+
 @R.query(f"WITH {_ROWS} SELECT c_name AS key, concat(c_name, ' body') AS body, CASE WHEN i > 1 THEN CAST(i - 1 AS STRING) END AS prev, CAST(i + 1 AS STRING) AS next FROM c")
 def linked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary entries in XML, with the entries before and after them."""

@@ -9,10 +9,11 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import stable_id
+from lectern.operators import scans
 from lectern.sources.text_formats import _local, repair_xml
 
 _XML_NS = "{http://www.w3.org/XML/1998/namespace}"
@@ -158,14 +159,47 @@ def scanned_lines(files: DataFrame) -> DataFrame:
     return _trees(files, "path string, page int, top int, left int, text string", rows)
 
 
+def _in_reading_order(lines: DataFrame, middle: int) -> DataFrame:
+    """Lines of pages of two columns, left before right, with their places over all pages of a book."""
+    return scans.placed(lines.withColumn("_right", F.col("left") >= middle), ["path"], ["page", "_right", "top", "left"])
+
+
+def _joined(lines: Column) -> Column:
+    """Lines as one text; a word that a line's end has cut is one word."""
+    return F.replace(F.regexp_replace(F.array_join(lines, "\n"), r"(\p{L})-\n(\p{Ll})", "$1$2"), F.lit("\n"), F.lit(" "))
+
+
 def column_entries(lines: DataFrame, middle: int, head: Column) -> DataFrame:
     """``path, entry_no, page, text``: entries of pages of two columns, read left before right, also over page breaks; ``head`` tells an entry's
-    first line.  A book's lines are numbered in one window, which is as large as the book."""
-    order = Window.partitionBy("path").orderBy("page", F.col("left") >= middle, "top", "left")
-    numbered = lines.select("*", F.row_number().over(order).alias("n"), F.sum(F.when(head, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("entry_no"))
-    found = numbered.filter("entry_no > 0").groupBy("path", "entry_no").agg(F.array_sort(F.collect_list(F.struct("n", "page", "text"))).alias("ls"))
-    joined = F.regexp_replace(F.array_join(F.col("ls")["text"], "\n"), r"(\p{L})-\n(\p{Ll})", "$1$2")
-    return found.select("path", "entry_no", F.get("ls", F.lit(0))["page"].alias("page"), F.replace(joined, F.lit("\n"), F.lit(" ")).alias("text"))
+    first line.  A book's lines are counted part by part, so no task needs a whole book."""
+    numbered = scans.counts(_in_reading_order(lines, middle), ["path"], {"entry_no": head.cast("int")})
+    found = numbered.filter("entry_no > 0").groupBy("path", "entry_no").agg(F.array_sort(F.collect_list(F.struct("_n", "page", "text"))).alias("ls"))
+    return found.select("path", "entry_no", F.get("ls", F.lit(0))["page"].alias("page"), _joined(F.col("ls")["text"]).alias("text"))
+
+
+#: Marks of an entry's senses, from the highest level.
+SENSE_MARKS = [r"^([IVX]+)\.?\s", r"^([A-H])\.?\s", r"^(\d+)[.)]?\s"]
+_LEVELS = len(SENSE_MARKS)
+#: States: outside, in an entry before its senses, in a sense of each level; symbols: other lines, a head, a mark of each level.
+_SENSES = [[0, 1, *[0] * _LEVELS]] + [[s, 1, *range(2, 2 + _LEVELS)] for s in range(1, 2 + _LEVELS)]
+
+
+def column_senses(lines: DataFrame, middle: int, head: Column) -> DataFrame:
+    """``path, entry_no, block_no, level, mark, page, text``: the parts of scanned entries, nested by the marks that begin them, over columns and pages.
+
+    ``level`` is 1 for what stands before the first mark, and 2, 3, 4 for senses; lines before the first entry belong to none.
+    """
+    marks = [F.regexp_extract("text", m, 1) for m in SENSE_MARKS]
+    symbol = F.when(head, 1)
+    for k, m in enumerate(marks):
+        symbol = symbol.when(m != "", k + 2)
+    rows = lines.withColumn("_symbol", symbol.otherwise(0))
+    at = scans.states(_in_reading_order(rows, middle), ["path"], "_symbol", _SENSES, name="level")
+    numbered = scans.counts(at, ["path"], {"entry_no": (F.col("_symbol") == 1).cast("int"), "block_no": ((F.col("_symbol") > 0) & (F.col("level") > 0)).cast("int")})
+    own = numbered.filter("level > 0").withColumn("mark", F.when(F.col("_symbol") > 1, F.coalesce(*(F.nullif(m, F.lit("")) for m in marks))))
+    found = own.groupBy("path", "entry_no", "block_no", "level").agg(F.array_sort(F.collect_list(F.struct("_n", "page", "mark", "text"))).alias("ls"))
+    first = F.get("ls", F.lit(0))
+    return found.select("path", "entry_no", "block_no", "level", first["mark"].alias("mark"), first["page"].alias("page"), _joined(F.col("ls")["text"]).alias("text"))
 
 
 def linked_entries(files: DataFrame) -> DataFrame:
