@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators import intervals
 from lectern.storage import cut, drop_cut
 
 
@@ -74,3 +75,53 @@ def trees(nodes: DataFrame, node: str, parent: str) -> DataFrame:
         drop_cut(now)
         now = after
     return now.filter("up IS NULL").select(node, parent, "level", "path")
+
+
+def _heads(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, head, place`` along predecessors (``node, up``; null at a head), and the nodes that no head leads to, by doubling."""
+    now = cut(steps.select("node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("place")))
+    left = None
+    while True:
+        count = now.filter("head IS NULL").count()
+        if not count or count == left:
+            break
+        left = count
+        above = now.select(F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("head").alias("_head"), F.col("place").alias("_place"))
+        longer = now.filter("head IS NULL").join(above, F.col("up") == F.col("_node")).select("node", F.col("_up").alias("up"), F.col("_head").alias("head"), (F.col("place") + F.col("_place")).alias("place"))
+        after = cut(now.filter("head IS NOT NULL").unionByName(longer))
+        drop_cut(now)
+        now = after
+    return now.filter("head IS NOT NULL").select("node", "head", "place"), now.filter("head IS NULL").select("node")
+
+
+def chains(rows: DataFrame, node: str, following: str) -> DataFrame:
+    """``node, head, place, length, circle``: where each node stands in the chain that its links to the following one make.
+
+    A link to a node that isn't there, or that a smaller one links to, is none, so what follows begins a chain of its own.  A
+    circle is opened before its smallest node.  Rounds go with the logarithm of the longest chain.
+    """
+    own = rows.select(F.col(node).alias("node"), F.col(following).alias("next"))
+    links = own.filter("next IS NOT NULL").groupBy("next").agg(F.min("node").alias("up")).withColumnRenamed("next", "node")
+    steps = cut(own.select("node").distinct().join(links, "node", "left"))
+    straight, round_ = _heads(steps)
+    circles = cut(steps.join(round_, "node"))
+    opened = components(circles.filter("node <> up"), "node", "up").unionByName(circles.filter("node = up").select("node", F.col("node").alias("root")))
+    smallest = circles.join(opened, "node").select("node", F.when(F.col("node") != F.col("root"), F.col("up")).alias("up"))
+    turned, _ = _heads(smallest)
+    both = straight.withColumn("circle", F.lit(False)).unionByName(turned.withColumn("circle", F.lit(True)))
+    lengths = both.groupBy("head").agg(F.count("*").alias("length"))
+    return both.join(lengths, "head").select("node", "head", "place", "length", "circle")
+
+
+def walks(chained: DataFrame, seeds: DataFrame, seed: str, most: int, forwards: bool = True) -> DataFrame:
+    """``seed, step, node`` of the walks from seeds along ``chains``, at most ``most`` steps, without coming to a node twice."""
+    begun = seeds.select(F.col(seed).alias("seed")).distinct().join(chained.select(F.col("node").alias("seed"), "head", "place", "length", "circle"), "seed")
+    steps = F.least(F.lit(most), F.col("length") - 1)
+    low, high = (F.col("place"), F.col("place") + steps) if forwards else (F.col("place") - steps, F.col("place"))
+    # a circle's places come again one length on and one back
+    turns = F.when(F.col("circle"), F.array(F.lit(0), F.col("length"), -F.col("length"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    spans = begun.select("seed", "head", F.col("place").alias("from"), low.alias("s"), high.alias("e"), F.explode(turns).alias("turn"))
+    spans = spans.select("seed", "head", "turn", F.col("from"), (F.col("s") + F.col("turn")).alias("s"), (F.col("e") + F.col("turn")).alias("e"))
+    held = intervals.places_in(chained.select("node", "head", "place"), spans, ["head"], "place", "s", "e")
+    step = F.abs(F.col("place") - F.col("turn") - F.col("from"))
+    return held.select("seed", step.cast("int").alias("step"), "node")

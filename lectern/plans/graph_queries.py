@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import call_graph
+from lectern.operators import call_graph, graph
 from lectern.operators.stages import HandlerRegistry
 from lectern.plans.registry import Registry
-from lectern.storage import read_table
+from lectern.storage import cut, read_table
 
 R = Registry()
 
@@ -97,3 +97,26 @@ def graph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def graph_plan_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_graph.plan_states(call_graph.run_graph(call_graph.plan_graph(_requests(spark, sf_dir)), _registry(spark, sf_dir))[0])
+
+
+#: Orders of a customer are linked in order; some links lead nowhere or are missing, and every seventh customer's last order links to the first.
+_LINKED = """o AS (SELECT o_orderkey AS node, o_custkey, lead(o_orderkey) OVER w AS after, first_value(o_orderkey) OVER w AS opening FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+l AS (SELECT node, CASE WHEN node % 29 = 3 THEN NULL WHEN node % 31 = 5 THEN -node WHEN after IS NULL AND o_custkey % 7 = 0 THEN opening ELSE after END AS next FROM o)"""
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), "o_custkey", F.lead("o_orderkey").over(w).alias("after"), F.first("o_orderkey").over(w).alias("opening"))
+    node = F.col("node")
+    last = F.when(F.col("after").isNull() & (F.col("o_custkey") % 7 == 0), F.col("opening")).otherwise(F.col("after"))
+    return orders.select("node", F.when(node % 29 == 3, None).when(node % 31 == 5, -node).otherwise(last).alias("next"))
+
+
+@R.query(
+    f"""WITH RECURSIVE {_LINKED}, s AS (SELECT node AS seed, 0 AS step, node FROM l WHERE node % 5 = 0
+  UNION ALL SELECT s.seed, s.step + 1, n.node FROM s JOIN l ON l.node = s.node JOIN l n ON n.node = l.next WHERE s.step < 6 AND n.node <> s.seed) SELECT seed, step, node FROM s"""
+)
+def linked_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From some entries six steps on along their links, over circles and up to gaps."""
+    rows = _linked(spark, sf_dir)
+    return graph.walks(cut(graph.chains(rows, "node", "next")), rows.filter("node % 5 = 0"), "node", 6)

@@ -62,3 +62,18 @@ def test_trees_of_any_depth(spark):
     got = {r["n"]: (r["p"], r["level"], r["path"]) for r in graph.trees(spark.createDataFrame(rows, "n int, p int"), "n", "p").collect()}
     assert len(got) == 303 and got[299] == (298, 299, ".".join(map(str, range(300)))) and got[1002] == (1000, 1, "1000.1002") and got[0] == (None, 0, "0")
     assert graph.trees(spark.createDataFrame([], "n int, p int"), "n", "p").count() == 0
+
+
+def test_chains_circles_and_gaps(spark):
+    links = [(i, i + 1) for i in range(100, 300)] + [(300, None), (1, 2), (2, 3), (3, 1), (7, 7), (8, 99), (9, 10), (11, 10), (10, None), (20, 21), (21, 22), (22, 21)]
+    rows = spark.createDataFrame(links, "a int, b int")
+    found = graph.chains(rows, "a", "b")
+    got = {r["node"]: (r["head"], r["place"], r["length"], r["circle"]) for r in found.collect()}
+    assert len(got) == len({a for a, _ in links})
+    assert got[100] == (100, 0, 201, False) and got[300] == (100, 200, 201, False) and got[8] == (8, 0, 1, False)
+    assert [got[i] for i in (1, 2, 3)] == [(1, i, 3, True) for i in range(3)] and got[7] == (7, 0, 1, True)
+    assert got[10] == (9, 1, 2, False) and got[11] == (11, 0, 1, False)  # the smaller one's link counts
+    seeds = spark.createDataFrame([(3,), (299,), (8,), (7,), (150,)], "a int")
+    steps = lambda **k: {(r["seed"], r["step"], r["node"]) for r in graph.walks(found, seeds, "a", 4, **k).collect()}
+    assert steps() == {(3, 0, 3), (3, 1, 1), (3, 2, 2), (299, 0, 299), (299, 1, 300), (8, 0, 8), (7, 0, 7), *((150, k, 150 + k) for k in range(5))}
+    assert {x for x in steps(forwards=False) if x[0] in (3, 150)} == {(3, 0, 3), (3, 1, 2), (3, 2, 1), *((150, k, 150 - k) for k in range(5))}
