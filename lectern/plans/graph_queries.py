@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import call_graph, graph
+from lectern.operators import call_graph, graph, normalization
 from lectern.operators.stages import HandlerRegistry
 from lectern.plans.registry import Registry
 from lectern.storage import cut, read_table
@@ -120,3 +120,34 @@ def linked_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From some entries six steps on along their links, over circles and up to gaps."""
     rows = _linked(spark, sf_dir)
     return graph.walks(cut(graph.chains(rows, "node", "next")), rows.filter("node % 5 = 0"), "node", 6)
+
+
+#: Parts' names are asked for; of the stored answers some are of an older version (size 0 of 4), some too old (1), and some good (2).
+_ASKED = """p AS (SELECT DISTINCT upper(p_name) AS query, ['san', 'lat', 'grc'][length(p_name) % 3 + 1] AS language, lower(p_name) AS low, length(p_name) % 4 AS k FROM part),
+k AS (SELECT low AS lemma, count(*) AS times FROM (SELECT lower(p_name) AS low FROM part) GROUP BY 1),
+c AS (SELECT query, language, UNNEST(CASE WHEN k = 2 THEN [struct_pack(lemma := 'stored ' || low, source := 'tool', place := 0)] ELSE [struct_pack(lemma := replace(low, 'e', 'ae'), source := 'tool', place := 0),
+  struct_pack(lemma := low, source := 'tool', place := 1), struct_pack(lemma := low || 'us', source := 'local', place := 2)] END) AS c FROM p)"""
+
+
+@R.query(
+    f"""WITH {_ASKED} SELECT query, language, c.lemma AS lemma, c.source AS source,
+  CAST(row_number() OVER (PARTITION BY query, language ORDER BY c.source = 'local', coalesce(times, 0) DESC, c.place) AS INT) AS rank FROM c LEFT JOIN k ON k.lemma = c.lemma"""
+)
+def stored_normalizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests answered from a table of normalizations, in which only what is unknown or stale was normalized again."""
+    low = F.lower("p_name")
+    parts = read_table(spark, sf_dir, "part").select(F.upper("p_name").alias("query"), F.element_at(F.array(F.lit("san"), F.lit("lat"), F.lit("grc")), (F.length("p_name") % 3 + 1).cast("int")).alias("language"), low.alias("low"))
+    kind = F.length("low") % 4
+    one = lambda lemma, source: F.struct(lemma.alias("lemma"), F.lit(source).alias("source"))
+    stored = parts.distinct().filter(kind < 3).select(
+        normalization.query_key(F.col("query"), F.col("language")).alias("query_key"), "query", "language", F.array(one(F.concat(F.lit("stored "), "low"), "tool")).alias("candidates"),
+        F.when(kind == 0, "v1").otherwise("v2").alias("normalizer_version"), F.when(kind == 1, 10).otherwise(90).alias("day"),
+    )
+
+    def normalize(rows: DataFrame) -> DataFrame:
+        lemma = F.lower("query")
+        return rows.select("query_key", F.array(one(F.replace(lemma, F.lit("e"), F.lit("ae")), "tool"), one(lemma, "tool"), one(F.concat(lemma, F.lit("us")), "local")).alias("candidates"))
+
+    delta = cut(normalization.refresh(parts, stored, normalize, "v2", 100, 30))
+    known = parts.select(F.col("low").alias("lemma"), F.lit(1).alias("times"))
+    return normalization.answers(parts, normalization.merged(stored, delta), known)
