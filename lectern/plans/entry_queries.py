@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import grammars
+from lectern.operators import claims
 from lectern.plans.registry import Registry
+from lectern.sources import tool_pages
 from lectern.storage import read_table
 
 R = Registry()
@@ -100,3 +102,46 @@ def parsed_glosses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "p_partkey", "parsed", "error_at", told(lambda s: s["gloss"]).alias("glosses"), told(lambda s: F.coalesce(s["qualifier"], F.lit("-"))).alias("qualifiers"), refs.alias("refs")
     )
+
+
+def _lexicon_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of one to five definitions at up to three levels, some with citations, some of another word, some with analyses before."""
+    w, o, t, b, n = (F.col(c) for c in "wotbn")
+    sense = lambda indent, *parts: _line(f'<div id="sense" style="padding-left: {indent}px;">', *parts, "</div>\n")
+    cited = _line(' <span class="origjump Perseus:abo:', F.col("p_partkey").cast("string"), '">', b, "</span>")
+    html = _line(
+        F.when(n % 4 == 1, _line("<h1>Perseus analysis</h1><ul><li>", w, "1, ", o, " (a <b>thing</b>): noun masc/fem sg</li><li>no analysis</li></ul><hr/>")).otherwise(""),
+        F.when(n % 5 == 0, _line('<div class="logeion-link"><span>Could not find dictionary headword</span></div><hr />')).otherwise(""),
+        "<h2><span>", w, "</span>, -i, m.</h2><p>(a warning)</p>",
+        sense(0, "I. ", t, F.when(n % 2 == 0, cited).otherwise("")),
+        F.when(n % 3 > 0, sense(20, "A. <i>", o, "</i> &amp; more,")).otherwise(""),
+        F.when(n % 3 == 2, F.concat(sense(40, "1. deep"), sense(40, "2. deeper<br>still"))).otherwise(""),
+        sense(0, "II. last<b> open"),
+    )
+    return _parts(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("call_id"), html.alias("html"))
+
+
+@R.query(
+    f"""WITH {_PARTS}, d AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'fuzzy' ELSE 'match' END AS kind FROM p)
+SELECT CAST(p_partkey AS STRING) AS call_id, kind, path, text, refs FROM (
+  SELECT p_partkey, kind, '01' AS path, 'I. ' || t || CASE WHEN n % 2 = 0 THEN ' ' || b ELSE '' END AS text, CASE WHEN n % 2 = 0 THEN 'perseus:abo:' || p_partkey || '=' || b ELSE '' END AS refs FROM d
+  UNION ALL SELECT p_partkey, kind, '01:00', 'A. ' || o || ' & more', '' FROM d WHERE n % 3 > 0 UNION ALL SELECT p_partkey, kind, '01:00:00', '1. deep', '' FROM d WHERE n % 3 = 2
+  UNION ALL SELECT p_partkey, kind, '01:00:01', '2. deeperstill', '' FROM d WHERE n % 3 = 2 UNION ALL SELECT p_partkey, kind, '02', 'II. last open', '' FROM d)"""
+)
+def lexicon_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested definitions of lexicon pages by their paths, with the places they cite."""
+    found = tool_pages.lexicon_blocks(_lexicon_pages(spark, sf_dir))
+    refs = F.array_join(F.transform("citations", lambda c: F.concat(c["ref"], F.lit("="), c["text"])), "|")
+    return found.select("call_id", "kind", "path", "text", refs.alias("refs"))
+
+
+@R.query(
+    f"""WITH {_PARTS}, a AS (SELECT *, 2 + CASE n % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END AS senses, CASE WHEN n % 4 = 1 THEN 1 ELSE 0 END AS analyses FROM p)
+SELECT predicate, CAST(sum(k) AS BIGINT) AS triples FROM (
+  SELECT 'has_sense' AS predicate, CASE WHEN n % 5 = 0 THEN 0 ELSE senses END AS k FROM a UNION ALL SELECT 'has_citation', CASE WHEN n % 5 <> 0 AND n % 2 = 0 THEN 1 ELSE 0 END FROM a) GROUP BY 1 HAVING sum(k) > 0"""
+)
+def lexicon_page_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims from lexicon pages, counted by predicate; pages of another word give no sense."""
+    answers = tool_pages.page_answers(_lexicon_pages(spark, sf_dir), tool_pages.lexicon_answer)
+    found = claims.tool_triples(answers, "diogenes").filter("predicate IN ('has_sense', 'has_citation')")
+    return found.groupBy("predicate").agg(F.count("*").alias("triples"))
