@@ -45,7 +45,7 @@ def _to_end(spark: SparkSession, out: DataFrame) -> DataFrame:
   WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = w.user_id AND e.ts >= w.ws + INTERVAL 2 DAY)),
 j AS (SELECT e.event_id, e.user_id, e.ts, e.value, max(w.ws) AS ws FROM events e JOIN w ON w.user_id = e.user_id AND w.ws <= e.ts GROUP BY 1, 2, 3, 4),
 u AS (SELECT *, CAST(sum(greatest(CAST(floor(value) AS BIGINT), 1)) OVER (PARTITION BY user_id, ws ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM j)
-SELECT event_id, user_id, epoch_us(ws) AS window_start, used, used > 60 AS limited FROM u WHERE epoch_us(ts) < (SELECT epoch_ms(max(ts)) FROM events) * 1000"""
+SELECT event_id, user_id, epoch_us(ws) AS window_start, used, used > 60 AS limited FROM u WHERE epoch_us(ts) < (SELECT epoch_us(max(ts)) // 1000 FROM events) * 1000"""
 )
 def limiter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limiter as a stateful stream; the last event waits for the watermark."""
@@ -55,7 +55,7 @@ def limiter_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query(
     """WITH e AS (SELECT epoch_us(ts) // 3600000000 * 3600 AS window_start, event_type, CAST(floor(value) AS BIGINT) AS cost FROM events)
-SELECT window_start, event_type, count(*) AS requests, CAST(sum(cost) AS BIGINT) AS cost FROM e WHERE (window_start + 3600) * 1000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000 GROUP BY 1, 2"""
+SELECT window_start, event_type, count(*) AS requests, CAST(sum(cost) AS BIGINT) AS cost FROM e WHERE (window_start + 3600) * 1000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 600000 GROUP BY 1, 2"""
 )
 def watermarked_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly rollups of a stream, each given out once the watermark, ten minutes behind the newest event, has passed its end."""
