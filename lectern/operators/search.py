@@ -2,7 +2,7 @@
 
 An index is a folder of batches, each written once and never changed.  A batch has ``rows``, a search row for each segment (what it is, where it
 stands, three normalized texts), in buckets of its work; ``postings``, a row for each field, term and segment, with the places of the term and
-what the segment can be filtered by, in buckets of the term; and ``blocks``, which sum the postings of a term in a shard of the
+a number for what the segment can be filtered by (``facets`` has each set once), in buckets of the term; and ``blocks``, which sum the postings of a term in a shard of the
 segments up: how many there are, the largest frequency and the least length.  ``commits`` tell which batches hold, with their counts, and
 ``tombstones`` which of their rows don't: a row that comes again replaces the older one, and rows can be deleted.  ``merge`` writes what
 holds as one batch.  A commit is one rename, and of two writers at once the later one is refused, so readers see whole batches only.
@@ -18,7 +18,10 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +40,12 @@ ROW = (
 #: Columns of rows that aren't strings.
 _INTS = ("sort_key", "popularity_score", "global_popularity_score")
 #: Columns that postings can be filtered by; rows are by any.
-FACETS = "language collection_id work_id edition_id author_id source_id adapter segment_kind group_id".split()
+FACETS = "language collection_id author_id source_id adapter segment_kind group_id".split()
 
 _ROW_TYPES = ", ".join(f"{c} {'int' if c in _INTS else 'string'}" for c in ROW)
 ROWS = f"{_ROW_TYPES}, search_text string, folded_text string, token_text string, tag_list array<string>, n_words bigint, n_chars bigint, row_key string"
-POSTINGS = "term string, shard int, row_key string, work_id string, tf bigint, places array<int>, length bigint, facets array<string>"
+POSTINGS = "term string, shard int, row_key string, work_id string, tf bigint, places array<int>, length bigint, facet bigint"
+FACET_SETS = "facet bigint, facets array<string>"
 BLOCKS = "field string, term string, shard int, n bigint, max_tf bigint, min_length bigint, tokens bigint"
 TOMBSTONES = "of string, row_key string, search bigint, folded bigint, tokens bigint"
 COMMITS = (
@@ -90,13 +94,41 @@ def _facets() -> Column:
     return F.concat(F.array_compact(plain), tags)
 
 
+_COUNTED = "field string, term string, row_key string, work_id string, facet bigint, tf bigint, places array<int>, length bigint"
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each field of each row; as a row has all its words, nothing has to be shuffled to count them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            fields, terms, rows, places, ends, lengths = [], [], [], [], [0], []
+            for f, c in FIELDS.items():
+                for k, text in enumerate(part.column(c).to_pylist()):
+                    found: dict[str, list[int]] = {}
+                    words_ = [w for w in (text or "").split(" ") if w]
+                    for place, w in enumerate(words_):
+                        found.setdefault(w, []).append(place)
+                    terms += found
+                    fields += [f] * len(found)
+                    rows += [k] * len(found)
+                    lengths += [len(words_)] * len(found)
+                    for own in found.values():
+                        places += own
+                        ends.append(len(places))
+            index = pa.array(rows, pa.int64())
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+            carried = [part.column(c).take(index) for c in ("row_key", "work_id", "facet")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fields, pa.string()), pa.array(terms, pa.string()), *carried, pc.list_value_length(listed).cast(pa.int64()), listed, pa.array(lengths, pa.int64())],
+                names=[c.split(" ")[0] for c in _COUNTED.split(", ")],
+            )
+
+
 def postings(rows: DataFrame, shards: int = 1) -> DataFrame:
     """``field`` and the columns of ``POSTINGS``."""
-    each = F.array(*(F.struct(F.lit(f).alias("field"), words(F.col(c)).alias("ws")) for f, c in FIELDS.items()))
-    own = rows.select("row_key", "work_id", _facets().alias("facets"), F.inline(each))
-    placed = own.select("row_key", "work_id", "facets", "field", F.size("ws").cast("bigint").alias("length"), F.posexplode("ws").alias("place", "term"))
-    found = placed.groupBy("field", "term", "row_key", "work_id", "facets", "length").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("place")).alias("places"))
-    return found.withColumn("shard", (F.crc32(F.col("row_key").cast("binary")) % shards).cast("int"))
+    own = rows.select("row_key", "work_id", F.xxhash64(_facets()).alias("facet"), *FIELDS.values())
+    return own.mapInArrow(_counted, _COUNTED).withColumn("shard", (F.crc32(F.col("row_key").cast("binary")) % shards).cast("int"))
 
 
 def _bucket(c: Column, buckets: int) -> Column:
@@ -158,6 +190,10 @@ class Index:
     def postings(self) -> DataFrame:
         return self._holding(self._all_postings())
 
+    @property
+    def facets(self) -> DataFrame:
+        return self._table("facets", FACET_SETS, list(self.batches))
+
     @property
     def blocks(self) -> DataFrame:
         return self._table("blocks", BLOCKS, list(self.batches))
@@ -255,6 +291,8 @@ def _write_batch(index: Index, rows: DataFrame) -> dict:
     term_buckets = _parts(sum(lengths[f] for f in FIELDS), BUCKET_WORDS, MOST_BUCKETS)
     found = postings(own, shards).withColumn("bucket", _bucket(F.col("term"), term_buckets)).hint("rebalance", "field", "bucket")
     found.sortWithinPartitions("field", "bucket", "term", "shard").write.partitionBy("field", "bucket").parquet(f"{folder}/postings/batch={batch}")
+    sets = own.select(_facets().alias("facets")).distinct().select(F.xxhash64("facets").alias("facet"), "facets")
+    sets.hint("rebalance").write.parquet(f"{folder}/facets/batch={batch}")
     sums = index._table("postings", f"{POSTINGS}, field string, bucket int", [batch]).groupBy("field", "term", "shard")
     blocks = sums.agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.sum("tf").alias("tokens"))
     blocks.hint("rebalance").sortWithinPartitions("field", "term").write.parquet(f"{folder}/blocks/batch={batch}")
@@ -384,12 +422,17 @@ class Query:
     def hits(self, shards: list[tuple[str, int]] | None = None) -> DataFrame:
         """``batch, row_key, work_id, score, matched`` of all rows that are found in some shards."""
         found = self.index.of_terms(self.field, self.terms, shards)
+        sets = None
         for key, value in self.filters.items():
             name = "group_id" if key == "group" else key
             if name in FACETS or name == "tag":
-                found = found.filter(F.array_contains("facets", f"{name}={value}"))
+                sets = (self.index.facets if sets is None else sets).filter(F.array_contains("facets", f"{name}={value}"))
+            elif name == "work_id":
+                found = found.filter(F.col("work_id") == value)
             else:
                 found = found.join(self.index.rows.filter(F.col(name) == value).select("batch", "row_key"), ["batch", "row_key"], "left_semi")
+        if sets is not None:
+            found = found.join(sets.select("facet").distinct(), "facet", "left_semi")
         own = found.groupBy("batch", "row_key", "work_id")
         norm = K1 * (1 - B + B * F.col("length") / F.lit(self.mean))
         part = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
