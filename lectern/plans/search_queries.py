@@ -57,7 +57,7 @@ def _second_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     place = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     said = read_table(spark, sf_dir, "conversations").select(F.lit("encounter").alias("work_id"), F.concat(F.lit("e"), place).alias("segment_id"), "text")
-    kinds = spark.createDataFrame([("encounter",), ("page",)], "work_id string")
+    kinds = F.broadcast(spark.createDataFrame([("encounter",), ("page",)], "work_id string"))  # two rows, and all pages are of one
     # only its words are searched: a field without a text has no postings
     none = F.lit(None).cast("string")
     return S.search_rows(said.unionByName(pages), kinds).withColumns({"search_text": none, "folded_text": none})
