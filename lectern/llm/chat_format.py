@@ -40,23 +40,19 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
 
     A loss span gives the first code point (from 0) and the number of code points of one text of ``loss_role``.
     """
-    rows = turns.select(
-        "conv_id",
-        "turn",
-        escape(F.coalesce(F.col("role"), F.lit(""))).alias("role"),
-        escape(F.coalesce(F.col("text"), F.lit(""))).alias("text"),
-    )
+    plain = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = turns.select("conv_id", "turn", plain("role"), plain("text"))
     head = lambda role: F.concat(F.lit(OPEN + ROLE), role, F.lit(ROLE_END))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before, length = F.lag("role").over(order), F.char_length("text")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")  # as they are said, not as they are escaped
+    before, length = F.lag("role").over(order), F.char_length(escape(F.col("text")))
     # what stands between the text before and this one
     gap = F.when(before == F.col("role"), len(NEXT)).otherwise(
-        F.char_length(head(F.col("role"))) + F.when(before.isNotNull(), len(CLOSE)).otherwise(0)
+        F.char_length(head(escape(F.col("role")))) + F.when(before.isNotNull(), len(CLOSE)).otherwise(0)
     )
     placed = rows.select("*", length.alias("length"), gap.alias("gap"))
     end = F.sum(F.col("gap") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = placed.select("*", (end - F.col("length")).cast("int").alias("start"))
-    turn = F.struct("turn", "role", "text", "start", "length")
+    placed = placed.select("conv_id", "role", "text", "length", (end - F.col("length")).cast("int").alias("start"))
+    turn = F.struct("start", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), "length")
     grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("ts"))
     # first positions (from 1) of the runs of one role, then the runs themselves
     starts = F.filter(

@@ -87,3 +87,11 @@ def test_a_very_long_conversation(spark):
     r = out.select(F.size("turns").alias("n"), F.sha2("loss", 256).alias("loss")).collect()[0]
     spoken = "".join(f"text {i}" for i in range(1, 30_000, 2))
     assert (r["n"], r["loss"]) == (30_000, hashlib.sha256(spoken.encode()).hexdigest())
+
+
+def test_ties_stand_by_what_is_said(spark):
+    """``[INST]`` is escaped with a tilde, which sorts behind what follows it here."""
+    rows = [(1, 0, "user", t) for t in ("[INST] b", "[INST}", "[INST]", "<s> x", "<s>")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    out = C.format_conversations(df).select(C.read_turns(F.col("formatted")).alias("t")).first()["t"]
+    assert [x["text"] for x in out] == sorted(t for *_, t in rows)
