@@ -2,8 +2,9 @@
 
 The bins of level ``k`` are ``RADIX ** k`` places long, each within one of the next level.  An interval is the union of a few bins, at most
 ``2 * (RADIX - 1)`` of each level, whatever its length; a place lies in one bin of each level.  So a place and an interval that holds it meet
-in exactly one bin: the join is an equi-join on key, level and bin, exact without a test afterwards, and its rows are the result's.
-Places are sent to as many levels as the longest interval needs, the logarithm of its length.
+in exactly one bin: the join is an equi-join on key, level and bin.  Places are sent to as many levels as the longest interval needs, the
+logarithm of its length in the shortest bins.  These are as long as leaves few of a key's places together in one, whatever the unit and
+wherever the places crowd; only an interval's two end bins can hold places beside it, which a test of both ends drops.
 
 Intervals are closed at both ends; one that ends before it starts holds nothing, and a null start, end, place or key meets nothing.
 Any number of intervals may hold a place.
@@ -19,6 +20,8 @@ BITS = 2
 RADIX = 1 << BITS
 #: Longer bins wouldn't be 64-bit numbers; of the longest ones an interval has 16 at most.
 MOST_LEVELS = 31
+#: So many places may share a shortest bin with an average place.
+MOST_TOGETHER = 4
 
 
 def _levels(found: DataFrame, start: str, end: str) -> int:
@@ -29,6 +32,21 @@ def _levels(found: DataFrame, start: str, end: str) -> int:
     return min(MOST_LEVELS, max(1, -(-(max(1, longest).bit_length() + 1) // BITS)))
 
 
+def _shortest_bits(rows: DataFrame, keys: list[str], place: str) -> int:
+    """The shortest bins are 2 to this power places long: as a key's places lie apart on average, less where they crowd."""
+    at = rows.select(*keys, F.col(place).cast("bigint").alias("_at")).filter(F.col("_at").isNotNull())
+    of_key = at.groupBy(*keys).agg(F.count("*").alias("n"), (F.max("_at").cast("decimal(20)") - F.min("_at").cast("decimal(20)")).alias("width"))
+    n, width = of_key.agg(F.sum("n"), F.sum("width")).first()
+    bits = min(BITS * MOST_LEVELS, max(1, int(width or 0) // max(1, n or 0)).bit_length() - 1)
+    while bits > 0:
+        together = at.groupBy(*keys, F.shiftright("_at", bits).alias("_bin")).agg(F.count("*").cast("double").alias("n"))
+        mates = together.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0
+        if mates <= MOST_TOGETHER:
+            break
+        bits = max(0, bits - max(2, int(mates / MOST_TOGETHER).bit_length()))
+    return bits
+
+
 def _shifted(c: Column, level: int) -> Column:
     return F.shiftright(c, BITS * level) if level else c
 
@@ -62,11 +80,18 @@ def _place_bins(place: Column, levels: int) -> Column:
 
 def places_in(rows: DataFrame, found: DataFrame, keys: list[str], place: str, start: str, end: str) -> DataFrame:
     """Each row with each interval of its key that holds its place: the rows' columns and those of ``found``."""
-    levels = _levels(found, start, end)
-    spread = rows.withColumn("_at", F.explode(_place_bins(F.col(place).cast("bigint"), levels))).filter(F.col(place).isNotNull())
-    binned = found.withColumn("_at", F.explode(_own_bins(F.col(start).cast("bigint"), F.col(end).cast("bigint"), levels)))
+    bits = _shortest_bits(rows, keys, place)
+    short = lambda c: F.shiftright(F.col(c).cast("bigint"), bits) if bits else F.col(c).cast("bigint")
+    levels = _levels(found.select(short(start).alias(start), short(end).alias(end)), start, end)
+    spread = rows.withColumn("_at", F.explode(_place_bins(short(place), levels))).filter(F.col(place).isNotNull())
+    binned = found.withColumn("_at", F.explode(_own_bins(short(start), short(end), levels)))
     level_and_bin = lambda df: df.select("*", "_at._level", "_at._bin").drop("_at")
-    return level_and_bin(spread).join(level_and_bin(binned), [*keys, "_level", "_bin"]).drop("_level", "_bin")
+    # a side whose file is small can be many rows here: never broadcast by its file's size
+    held = level_and_bin(spread).alias("_row").hint("merge").join(level_and_bin(binned).alias("_held_by"), [*keys, "_level", "_bin"])
+    at = F.col(f"_row.{place}").cast("bigint")
+    if bits:
+        held = held.filter((F.col(f"_held_by.{start}").cast("bigint") <= at) & (at <= F.col(f"_held_by.{end}").cast("bigint")))
+    return held.drop("_level", "_bin")
 
 
 def overlapping(one: DataFrame, two: DataFrame, keys: list[str], start: str, end: str, prefix: str = "other_") -> DataFrame:

@@ -39,6 +39,27 @@ def test_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_short_bins_follow_the_places(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 2, rng.randint(0, 10**12)) for i in range(200)] + [(200 + i, 1, 7 * 10**11 + i) for i in range(300)]
+    found = [(j, j % 2, s := rng.choice([rng.randint(0, 10**12), 7 * 10**11 + rng.randint(0, 300)]), s + rng.choice([-1, 0, 5, 10**9, 10**11])) for j in range(80)]
+    df, spans = spark.createDataFrame(rows, "i int, k int, p bigint"), spark.createDataFrame(found, "j int, k int, s bigint, e bigint")
+    assert intervals._shortest_bits(df.filter("i < 200"), ["k"], "p") > 24  # spread out: bins of hours, not of microseconds
+    assert intervals._shortest_bits(df, ["k"], "p") < 4  # the crowd isn't one bin
+    for part in (df.filter("i < 200"), df):
+        got = intervals.places_in(part, spans, ["k"], "p", "s", "e")
+        expected = sorted((r["i"], j) for r in part.collect() for j, k, s, e in found if r["k"] == k and s <= r["p"] <= e)
+        assert sorted((r["i"], r["j"]) for r in got.collect()) == expected
+
+
+def test_small_files_are_not_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("1 AS k", "id * 1000000 AS p").write.parquet(f"{tmp_path}/rows")
+    spark.range(50).selectExpr("1 AS k", "id AS s", "id + 1000000000 AS e").write.parquet(f"{tmp_path}/found")
+    rows, found = spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/found")
+    held = intervals.places_in(rows, found, ["k"], "p", "s", "e")
+    assert held.count() == 2500 - 49 and "Broadcast" not in held._jdf.queryExecution().executedPlan().toString()
+
+
 def test_overlaps(spark):
     rng = random.Random(4)
     some = lambda n: [(i, rng.randint(0, 1), s := rng.randint(0, 300), s + rng.choice([-1, 0, 1, 7, 100])) for i in range(n)]
