@@ -37,12 +37,12 @@ def supersede(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti")
 
 
-def overlay_changes(table: DataFrame, overlays: DataFrame, key: str, field: str) -> DataFrame:
-    """``key, old, new, ord``: where accepted overlays (``key, value, ord``) differ from the table as it is."""
+def overlay_changes(table: DataFrame, overlays: DataFrame, key: str, field: str, kept: tuple[str, ...] = ()) -> DataFrame:
+    """``key, kept columns of the table's rows, old, new, ord``: where accepted overlays (``key, value, ord``) differ from the table as it is."""
     return (
         table.join(overlays, key)
         .filter(~F.col(field).eqNullSafe(F.col("value")))
-        .select(key, F.col(field).alias("old"), F.col("value").alias("new"), "ord")
+        .select(key, *kept, F.col(field).alias("old"), F.col("value").alias("new"), "ord")
     )
 
 

@@ -421,10 +421,8 @@ def overlay_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlays = read_table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(
         F.col("n_nationkey").alias("c_nationkey"), F.lit("EVEN").alias("value"), F.lit(1).alias("ord")
     )
-    changes = dml.overlay_changes(customer, overlays, "c_nationkey", "c_mktsegment")
-    return changes.drop("ord").join(
-        customer.select("c_nationkey", "c_custkey", F.col("c_mktsegment").alias("old")).withColumn("k", F.lit(1)), ["c_nationkey", "old"]
-    ).select("c_nationkey", "c_custkey", "old", "new").distinct()
+    changes = dml.overlay_changes(customer, overlays, "c_nationkey", "c_mktsegment", kept=("c_custkey",))
+    return changes.filter("old IS NOT NULL").select("c_nationkey", "c_custkey", "old", "new")
 
 
 @R.query(
