@@ -560,10 +560,12 @@ def linked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("SELECT 'H' || CAST(p_partkey AS STRING) AS number, p_name AS lemma, lower(p_type) AS gloss FROM part")
 def numbered_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lexicon in XML by numbers with leading zeros."""
-    entry = F.concat(F.lit('<entry id="h'), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit('"><key1>'), "p_name", F.lit("</key1><body>"), F.lower("p_type"), F.lit("</body></entry>"))
+    digits = F.col("p_partkey").cast("string")
+    padded = F.concat(F.repeat(F.lit("0"), 6 - F.length(digits)), digits)  # lpad would cut longer numbers
+    entry = F.concat(F.lit('<entry id="h'), padded, F.lit('"><key1>'), "p_name", F.lit("</key1><body>"), F.lower("p_type"), F.lit("</body></entry>"))
     raw = read_table(spark, sf_dir, "part").select("p_partkey", entry.alias("data"))
     from lectern.sources import dictionaries
 
-    found = dictionaries.read_entries(raw, "p_partkey", "data").join(raw.select(F.col("p_partkey").alias("entry_no"), "data"), "entry_no")
+    found = dictionaries.read_entries(raw, "p_partkey", "data").join(raw.select(F.col("p_partkey").alias("entry_no"), "data").hint("merge"), "entry_no")
     number = scripts.on_column(E.number_key, F.regexp_extract("data", 'id="([^"]+)"', 1))
     return found.select(number.alias("number"), F.col("key").alias("lemma"), F.col("plain_text").alias("gloss"))

@@ -35,3 +35,9 @@ def test_overlay_changes_of_repeated_and_null_rows(spark, sf_dir, tables):
     same(spark, folder, "overlay_diff")
     plan = __spark_entry__.queries()["overlay_diff"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1  # customers of one nation and segment don't meet each other
+
+
+def test_numbers_of_more_than_six_digits(spark, sf_dir, tables):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").limit(30)
+    more = [part.withColumn("p_partkey", part["p_partkey"] + n) for n in (999_990, 123_456_789)]
+    same(spark, tables(part=part.union(more[0]).union(more[1])), "numbered_lexicon")
