@@ -1,9 +1,10 @@
 """A stored search index over segments, and searches in it.
 
 An index is a folder of batches, each written once and never changed.  A batch has ``rows``, a search row for each segment (what it is, where it
-stands, three normalized texts), in buckets of its work; ``postings``, a row for each field, term and segment, with the places of the term and
-a number for what the segment can be filtered by (``facets`` has each set once), in buckets of the term; and ``blocks``, which sum the postings of a term in a shard of the
-segments up: how many there are, the largest frequency and the least length.  ``commits`` tell which batches hold, with their counts, and
+stands, three normalized texts), in buckets of its work; ``postings``, a row for each term and segment, with the places of the term and
+a number for what the segment can be filtered by (``facets`` has each set once), once for all fields in which it is the same; and ``blocks``, which sum the
+postings of a term in a shard of the segments up: how many there are, the largest frequency and the least length.  Rows come together by
+shards, and no posting is shuffled: each file of postings has some shards' in order of the term, each row of ``blocks`` a stretch of such a file.  ``commits`` tell which batches hold, with their counts, and
 ``tombstones`` which of their rows don't: a row that comes again replaces the older one, and rows can be deleted.  ``merge`` writes what
 holds as one batch.  A commit is one rename, and of two writers at once the later one is refused, so readers see whole batches only.
 
@@ -30,7 +31,7 @@ from lectern.functions import text as X
 from lectern.operators.text_search import B, K1, attach_context, index_issues
 from lectern.storage import cut, delete_folder
 
-SCHEMA_VERSION, NORMALIZER_VERSION = "3", "lower-fold-1"
+SCHEMA_VERSION, NORMALIZER_VERSION = "4", "lower-fold-1"
 #: Fields and what each holds: the text in lower case, without marks, and its ASCII words alone.
 FIELDS = {"search": "search_text", "folded": "folded_text", "tokens": "token_text"}
 ROW = (
@@ -52,8 +53,8 @@ COMMITS = (
     "version bigint, step int, action string, batch string, row_buckets int, term_buckets int, shards int, n_docs bigint, "
     "search bigint, folded bigint, tokens bigint, schema_version string, normalizer_version string"
 )
-#: A bucket or shard for so many rows or words, up to the most.
-BUCKET_ROWS, BUCKET_WORDS, SHARD_ROWS = 100_000, 4_000_000, 4096
+#: A bucket or shard for so many rows, up to the most; a part of the postings for so many words.
+BUCKET_ROWS, PART_WORDS, SHARD_ROWS = 100_000, 2_000_000, 4096
 MOST_BUCKETS, MOST_SHARDS = 1024, 256
 #: Fewer postings than these are scored at once; pages that end in more ties are ordered by a join.
 PRUNED_FROM, TIES = 100_000, 1000
@@ -98,22 +99,33 @@ _COUNTED = "field string, term string, row_key string, work_id string, facet big
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each term of each field of each row; as a row has all its words, nothing has to be shuffled to count them."""
+    """A row for each term of each row, once for all fields (their names, comma-joined) where its places and the length are the same; as a row has
+    all its words, nothing has to be shuffled to count them."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             fields, terms, rows, places, ends, lengths = [], [], [], [], [0], []
-            for f, c in FIELDS.items():
-                for k, text in enumerate(part.column(c).to_pylist()):
+            for k, texts in enumerate(zip(*(part.column(c).to_pylist() for c in FIELDS.values()), strict=True)):
+                # term and number of words -> the places, and the fields where it has these
+                merged: dict[tuple[str, int], list[tuple[list[int], str]]] = {}
+                for f, text in zip(FIELDS, texts, strict=True):
                     found: dict[str, list[int]] = {}
                     words_ = [w for w in (text or "").split(" ") if w]
                     for place, w in enumerate(words_):
                         found.setdefault(w, []).append(place)
-                    terms += found
-                    fields += [f] * len(found)
-                    rows += [k] * len(found)
-                    lengths += [len(words_)] * len(found)
-                    for own in found.values():
+                    for w, own in found.items():
+                        kinds = merged.setdefault((w, len(words_)), [])
+                        same = next((i for i, (p, _) in enumerate(kinds) if p == own), None)
+                        if same is None:
+                            kinds.append((own, f))
+                        else:
+                            kinds[same] = own, f"{kinds[same][1]},{f}"
+                for (w, length), kinds in merged.items():
+                    for own, where in kinds:
+                        fields.append(where)
+                        terms.append(w)
+                        rows.append(k)
+                        lengths.append(length)
                         places += own
                         ends.append(len(places))
             index = pa.array(rows, pa.int64())
@@ -125,10 +137,38 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _shard(shards: int) -> Column:
+    return (F.crc32(F.col("row_key").cast("binary")) % shards).cast("int")
+
+
+def _countable(rows: DataFrame) -> DataFrame:
+    return rows.select("row_key", "work_id", F.xxhash64(_facets()).alias("facet"), *FIELDS.values())
+
+
+def _of_one_field(df: DataFrame) -> DataFrame:
+    """A row for each field of a row that stands for several."""
+    return df.withColumn("field", F.explode(F.split("field", ",")))
+
+
+def _having(field: str) -> list[str]:
+    """The values of ``field`` in postings and blocks that include a field."""
+    found = [""]
+    for f in FIELDS:
+        found += [f"{x},{f}" if x else f for x in found]
+    return [x for x in found if field in x.split(",")]
+
+
 def postings(rows: DataFrame, shards: int = 1) -> DataFrame:
     """``field`` and the columns of ``POSTINGS``."""
-    own = rows.select("row_key", "work_id", F.xxhash64(_facets()).alias("facet"), *FIELDS.values())
-    return own.mapInArrow(_counted, _COUNTED).withColumn("shard", (F.crc32(F.col("row_key").cast("binary")) % shards).cast("int"))
+    return _of_one_field(_countable(rows).mapInArrow(_counted, _COUNTED)).withColumn("shard", _shard(shards))
+
+
+def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings in order: one of each field, term and shard of a stretch; what stands in two has two, which readers sum up."""
+    for batch in batches:
+        found = pa.Table.from_batches([batch]).group_by(["field", "term", "shard"]).aggregate([("tf", "count"), ("tf", "max"), ("length", "min"), ("tf", "sum")])
+        columns = [found.column(c) for c in ("field", "term", "shard", "tf_count", "tf_max", "length_min", "tf_sum")]
+        yield from pa.table(columns, names=[c.split(" ")[0] for c in BLOCKS.split(", ")]).to_batches()
 
 
 def _bucket(c: Column, buckets: int) -> Column:
@@ -188,7 +228,7 @@ class Index:
 
     @property
     def postings(self) -> DataFrame:
-        return self._holding(self._all_postings())
+        return self._holding(_of_one_field(self._all_postings()))
 
     @property
     def facets(self) -> DataFrame:
@@ -196,7 +236,12 @@ class Index:
 
     @property
     def blocks(self) -> DataFrame:
-        return self._table("blocks", BLOCKS, list(self.batches))
+        return _of_one_field(self._table("blocks", BLOCKS, list(self.batches)))
+
+    def blocks_of(self, field: str, terms: list[str]) -> DataFrame:
+        """``batch, shard, term, n, max_tf, min_length, tokens`` of some terms."""
+        own = self._table("blocks", BLOCKS, list(self.batches)).filter(F.col("field").isin(_having(field)) & F.col("term").isin(terms)).groupBy("batch", "shard", "term")
+        return own.agg(*(f(c).cast("bigint").alias(c) for c, f in (("n", F.sum), ("max_tf", F.max), ("min_length", F.min), ("tokens", F.sum))))
 
     @property
     def meta(self) -> DataFrame:
@@ -217,12 +262,14 @@ class Index:
         return both.filter("expected <> found")
 
     def counts(self) -> DataFrame:
-        """``field, postings, terms, tokens``, from the blocks where no row was deleted."""
-        if self.tombstones is None:
-            n, tokens, own = F.sum("n"), F.sum("tokens"), self.blocks
-        else:
-            n, tokens, own = F.count("*"), F.sum("tf"), self.postings
-        each = own.groupBy("field", "term").agg(n.cast("bigint").alias("n"), tokens.cast("bigint").alias("tokens"))
+        """``field, postings, terms, tokens``: what the blocks say, less what the deleted rows have."""
+        each = self.blocks.select("field", "term", "n", "tokens")
+        gone = self.tombstones
+        if gone is not None:
+            rows = self._table("rows", f"{ROWS}, bucket int", list(self.batches)).join(gone.select("batch", "row_key").distinct(), ["batch", "row_key"], "left_semi")
+            less = _of_one_field(_countable(rows).mapInArrow(_counted, _COUNTED).select("field", "term", "tf"))
+            each = each.unionByName(less.select("field", "term", F.lit(-1).cast("bigint").alias("n"), (-F.col("tf")).alias("tokens")))
+        each = each.groupBy("field", "term").agg(F.sum("n").cast("bigint").alias("n"), F.sum("tokens").cast("bigint").alias("tokens")).filter("n > 0")
         return each.groupBy("field").agg(F.sum("n").alias("postings"), F.count("*").alias("terms"), F.sum("tokens").cast("bigint").alias("tokens"))
 
     def _in_buckets(self, values: list[str], setting: str, batches: list[str] | None = None) -> Column:
@@ -233,9 +280,13 @@ class Index:
                 test = test | (F.col("batch") == batch) & F.col("bucket").isin(sorted({_bucket_of(v, r[setting]) for v in values}))
         return test
 
+    def _all_of_terms(self, field: str, terms: list[str]) -> DataFrame:
+        test = F.col("field").isin(_having(field)) & self._in_buckets(terms, "term_buckets") & F.col("term").isin(terms)
+        return self._all_postings().filter(test).withColumn("field", F.lit(field))
+
     def of_terms(self, field: str, terms: list[str], shards: list[tuple[str, int]] | None = None) -> DataFrame:
         """The postings of some terms, of some (batch, shard)s; other fields' and terms' parts aren't read."""
-        found = self._all_postings().filter((F.col("field") == field) & self._in_buckets(terms, "term_buckets") & F.col("term").isin(terms))
+        found = self._all_of_terms(field, terms)
         if shards is not None:
             by_batch: dict[str, list[int]] = {}
             for batch, shard in shards:
@@ -281,23 +332,25 @@ def _write_batch(index: Index, rows: DataFrame) -> dict:
     n = rows.select("row_key").count()
     row_buckets, shards = _parts(n, BUCKET_ROWS, MOST_BUCKETS), _parts(n, SHARD_ROWS, MOST_SHARDS)
     dealt = rows.withColumn("bucket", _bucket(F.col("work_id"), row_buckets)).hint("rebalance", "bucket")
-    dealt.sortWithinPartitions("bucket", "work_id", "sort_key").write.partitionBy("bucket").parquet(f"{folder}/rows/batch={batch}")
+    dealt.sortWithinPartitions("bucket", "work_id", "sort_key").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/rows/batch={batch}")
     own = index._table("rows", f"{ROWS}, bucket int", [batch])
     lengths = own.agg(F.count("*").alias("n_docs"), *(F.coalesce(F.sum(F.size(words(F.col(c)))), F.lit(0)).cast("bigint").alias(f) for f, c in FIELDS.items())).first()
     if lengths["n_docs"] and own.groupBy("row_key").count().filter("count > 1").isEmpty() is False:
         delete_folder(spark, f"{folder}/rows/batch={batch}")
         order = ["text", *(c for c in names if c not in ("text", "row_key"))]
         return _write_batch(index, rows.groupBy("row_key").agg(F.max(F.struct(*order)).alias("r")).select("r.*", "row_key"))
-    term_buckets = _parts(sum(lengths[f] for f in FIELDS), BUCKET_WORDS, MOST_BUCKETS)
-    found = postings(own, shards).withColumn("bucket", _bucket(F.col("term"), term_buckets)).hint("rebalance", "field", "bucket")
-    found.sortWithinPartitions("field", "bucket", "term", "shard").write.partitionBy("field", "bucket").parquet(f"{folder}/postings/batch={batch}")
+    # rows of a shard come together, or of a part of it where one is more than a task's; their postings stay where they are
+    parts = -(-sum(lengths[f] for f in FIELDS) // PART_WORDS) or 1
+    part = (F.crc32(F.reverse("row_key").cast("binary")) % max(1, -(-2 * parts // shards) if parts > shards else 1)).cast("int")
+    dealt = _countable(own).withColumn("shard", _shard(shards)).repartition(parts, "shard", part)
+    found = dealt.drop("shard").mapInArrow(_counted, _COUNTED).withColumns({"shard": _shard(shards), "bucket": F.lit(0)})
+    found.sortWithinPartitions("field", "bucket", "term", "shard").write.option("compression", "zstd").partitionBy("field", "bucket").parquet(f"{folder}/postings/batch={batch}")
     sets = own.select(_facets().alias("facets")).distinct().select(F.xxhash64("facets").alias("facet"), "facets")
     sets.hint("rebalance").write.parquet(f"{folder}/facets/batch={batch}")
-    sums = index._table("postings", f"{POSTINGS}, field string, bucket int", [batch]).groupBy("field", "term", "shard")
-    blocks = sums.agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.sum("tf").alias("tokens"))
-    blocks.hint("rebalance").sortWithinPartitions("field", "term").write.parquet(f"{folder}/blocks/batch={batch}")
+    written = index._table("postings", f"{POSTINGS}, field string, bucket int", [batch]).select("field", "term", "shard", "tf", "length")
+    written.mapInArrow(_summed, BLOCKS).sortWithinPartitions("field", "term").write.option("compression", "zstd").parquet(f"{folder}/blocks/batch={batch}")
     versions = {"schema_version": SCHEMA_VERSION, "normalizer_version": NORMALIZER_VERSION}
-    return {"action": "add", "batch": batch, "row_buckets": row_buckets, "term_buckets": term_buckets, "shards": shards, **lengths.asDict(), **versions}
+    return {"action": "add", "batch": batch, "row_buckets": row_buckets, "term_buckets": 1, "shards": shards, **lengths.asDict(), **versions}
 
 
 def _write_tombstones(index: Index, gone: DataFrame) -> list[dict]:
@@ -394,14 +447,14 @@ class Query:
         self.asked = [] if fuzzy else query_terms(text, field)
         self.candidates = query_candidates(text, filters.get("language"), field, aliases) if fuzzy else []
         self.terms = list(dict.fromkeys([*self.asked, *(t for c in self.candidates for t in c)]))
-        blocks = index.blocks.filter((F.col("field") == field) & F.col("term").isin(self.terms)).collect() if self.terms and index.batches else []
+        blocks = index.blocks_of(field, self.terms).collect() if self.terms and index.batches else []
         self.blocks: dict[tuple[str, int], dict[str, Row]] = {}
         held = dict.fromkeys(self.terms, 0)
         for r in blocks:  # of the query's terms: MOST_SHARDS of a batch at most
             self.blocks.setdefault((r["batch"], r["shard"]), {})[r["term"]] = r
             held[r["term"]] += r["n"]
         if index.tombstones is not None and blocks:
-            found = index._all_postings().filter((F.col("field") == field) & index._in_buckets(self.terms, "term_buckets") & F.col("term").isin(self.terms))
+            found = index._all_of_terms(field, self.terms)
             for r in found.join(index.tombstones, ["batch", "row_key"], "left_semi").groupBy("term").count().collect():
                 held[r["term"]] -= r["count"]
         n = index.n_docs

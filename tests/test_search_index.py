@@ -143,3 +143,23 @@ def test_two_writers_and_equal_keys(spark, tmp_path):
         "k0": (1, 2), "k1": (0, 1), "k5": (1, 0),
     }
     assert S.search(now, "gamma", filters={"title": "T1"}).count() == 1 and S.search(now, "gamma", filters={"title": "T0"}).count() == 0
+
+
+def test_postings_are_written_without_a_shuffle_and_once_for_equal_fields(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_ROWS", 5)
+    monkeypatch.setattr(S, "PART_WORDS", 40)
+    texts = ["the same, w%d été" % (i % 7) for i in range(60)]
+    segments = spark.createDataFrame([(f"w{i % 3}", f"s{i}", t) for i, t in enumerate(texts)], "work_id string, segment_id string, text string")
+    works = spark.createDataFrame([(f"w{i}",) for i in range(3)], "work_id string")
+    index = S.append(S.search_rows(segments, works), str(tmp_path / "i"))
+    stored = index._all_postings().filter("term IN ('the', 'same', 'same,', 'été')").groupBy("term", "field").count().collect()
+    assert {(r["term"], r["field"], r["count"]) for r in stored} == {
+        ("the", "search,folded,tokens", 60), ("same,", "search,folded", 60), ("same", "tokens", 60), ("été", "search", 60),
+    }
+    assert {r["term"]: r["n"] for r in index.blocks_of("tokens", ["the", "w3"]).groupBy("term").sum("n").withColumnRenamed("sum(n)", "n").collect()} == {"the": 60, "w3": 9}
+    # what deleted rows have is taken off the blocks, without joining postings
+    index = S.delete(index, spark.createDataFrame([("w1",)], "work_id string"), "work_id")
+    left = [t for i, t in enumerate(texts) if i % 3 != 1]
+    got = {r["field"]: (r["postings"], r["terms"], r["tokens"]) for r in index.counts().collect()}
+    assert got == {f: (160, 10, 160) for f in S.FIELDS} and len(left) == 40
+    assert not any("/postings/" in f for f in index.counts().inputFiles())
