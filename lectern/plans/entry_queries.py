@@ -9,7 +9,7 @@ from lectern.functions import grammars
 from lectern.operators import claims
 from lectern.plans.registry import Registry
 from lectern.sources import tool_pages
-from lectern.storage import read_table
+from lectern.storage import read_table, spread
 
 R = Registry()
 
@@ -18,7 +18,7 @@ _PARTS = "p AS (SELECT p_partkey, p_size AS n, split_part(p_name, ' ', 1) AS w,
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.split("p_name", " ")
-    return read_table(spark, sf_dir, "part").select(
+    return spread(read_table(spark, sf_dir, "part")).select(
         "p_partkey", F.col("p_size").alias("n"), F.get(name, F.lit(0)).alias("w"), F.get(name, F.lit(1)).alias("o"), F.lower("p_type").alias("t"), F.lower("p_brand").alias("b")
     )
 

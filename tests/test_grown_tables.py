@@ -48,3 +48,8 @@ def test_titles_with_references(spark, tables):
     rows = [(i, f"u{i}", f'<!DOCTYPE html>\n<html lang="de"><head>\n<meta charset="utf-8"><title>{t}</title></head><body><a href="/x">&amp;</a></body></html>') for i, t in enumerate(titles)]
     rows.append((90, "u", "<p>no title, no language</p>"))
     same(spark, tables(pages=spark.createDataFrame(rows, "page_id bigint, url string, html string")), "html_pages")
+
+
+@pytest.mark.parametrize("name", ["nested_senses", "parsed_entries", "lexicon_page_blocks"])
+def test_entries_of_one_file_are_dealt_over_the_cores(spark, sf_dir, name):
+    assert __spark_entry__.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
