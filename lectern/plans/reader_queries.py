@@ -364,10 +364,19 @@ def chapter_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(rows, lambda files: E.chapter_infos(files).select("subject_id", "key", "value"))
 
 
+#: So many items stand on a catalog page.
+_PAGE = 4000
+
+
 @R.query(f"WITH {_ROWS} SELECT n_name AS subject, CAST(i AS INT) AS item_no, c_name AS title, concat('http://x/', CAST(c_custkey AS STRING)) AS url, CASE WHEN i % 2 = 1 THEN r_name END AS author FROM c")
 def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = lambda c, i: F.concat(_number(i), F.lit(". ["), c["c_name"], F.lit("](http://x/"), c["c_custkey"].cast("string"), F.lit(")\n"), F.when(i % 2 == 0, F.concat(F.lit("   Author: "), F.col("r_name"), F.lit("\n"))).otherwise(""))
-    rows = _nations(spark, sf_dir).select("name", F.concat(F.lit("# "), "n_name", F.lit("\n\nResults\n\n"), _each(item)).alias("content"))
+    # a long list goes on over pages, as each is read by one task
+    at = lambda i: i + F.col("page") * _PAGE
+    item = lambda c, i: F.concat(_number(at(i)), F.lit(". ["), c["c_name"], F.lit("](http://x/"), c["c_custkey"].cast("string"), F.lit(")\n"), F.when(at(i) % 2 == 0, F.concat(F.lit("   Author: "), F.col("r_name"), F.lit("\n"))).otherwise(""))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("cs") - 1) / _PAGE).cast("int"))
+    lists = _nations(spark, sf_dir).select("name", "n_name", "r_name", F.posexplode(F.transform(numbers, lambda k: F.slice("cs", k * _PAGE + 1, _PAGE))).alias("page", "cs"))
+    lists = lists.withColumn("name", F.concat("name", F.lit("-"), F.col("page").cast("string"))).repartition("name")
+    rows = lists.select("name", F.concat(F.lit("# "), "n_name", F.lit("\n\nResults\n\n"), _each(item)).alias("content"))
     return _written(rows, lambda files: E.catalog_results(files).select("subject", "item_no", "title", "url", "author"))
 
 

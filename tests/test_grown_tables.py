@@ -53,3 +53,13 @@ def test_titles_with_references(spark, tables):
 @pytest.mark.parametrize("name", ["nested_senses", "parsed_entries", "lexicon_page_blocks"])
 def test_entries_of_one_file_are_dealt_over_the_cores(spark, sf_dir, name):
     assert __spark_entry__.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_long_catalog_lists_go_on_over_pages(spark, sf_dir, monkeypatch):
+    from lectern.plans import reader_queries
+
+    monkeypatch.setattr(reader_queries, "_PAGE", 3)
+    read = []
+    monkeypatch.setattr(reader_queries.E, "catalog_results", lambda files, f=reader_queries.E.catalog_results: read.append(files.count()) or f(files))
+    same(spark, sf_dir, "catalog_pages")
+    assert read[0] > 25  # more files than nations
