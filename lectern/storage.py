@@ -28,10 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: Where it is set as a frame is made, Spark deletes what an action on it has shuffled as soon as the action is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The frame for one action, with which its shuffle files go; else they stay until the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*")
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder; what was shuffled for it goes."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written_once(df).checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

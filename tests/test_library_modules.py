@@ -1,8 +1,12 @@
 """Scripts, references, ranking, passages, translations, dictionaries and the table store on small frames."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import storage
 from lectern.functions import references, scripts
 from lectern.operators import passages, ranking, tokens, translation
 from lectern.plans.cache import ExpiringCache
@@ -173,3 +177,15 @@ def test_expiring_cache():
     now[0] = 11
     get("b")
     assert made == ["a", "b", "c", "b", "b"]
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    found = lambda: {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+    before, set_before = found(), spark.conf.get(storage._CLEANUP)
+    rows = storage.cut(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    end = time.monotonic() + 10
+    while found() - before and time.monotonic() < end:  # files are deleted beside what goes on
+        time.sleep(0.1)
+    assert not found() - before
+    assert rows.count() == 10 and spark.conf.get(storage._CLEANUP) == set_before
