@@ -92,11 +92,6 @@ def plan_graph(requests: DataFrame, chains: list[Chain] | None = None) -> DataFr
     )
 
 
-def links(calls: DataFrame) -> DataFrame:
-    """``query_id, from_call, to_call``: what has to be done before a call."""
-    return calls.filter("source IS NOT NULL").select("query_id", F.col("source").alias("from_call"), F.col("call_id").alias("to_call"))
-
-
 _KEY = ["query_id", "call_id"]
 _BETWEEN = "\x1f"
 
@@ -123,33 +118,64 @@ def run_graph(calls: DataFrame, registry: HandlerRegistry, more: DataFrame | Non
     for an input.  ``more`` are further links.  Links in a circle are an error.
     """
     spark = calls.sparkSession
-    pending = cut(calls.withColumn("query_id", F.col("query_id").cast("string")))
-    before = links(pending) if more is None else links(pending).unionByName(more.select(F.col("query_id").cast("string"), "from_call", "to_call"))
-    before = cut(before.join(pending.select("query_id", F.col("call_id").alias("from_call")), ["query_id", "from_call"], "left_semi"))
+    every = calls.withColumn("query_id", F.col("query_id").cast("string"))
+    further = None if more is None else cut(_existing(more.select(F.col("query_id").cast("string"), "from_call", "to_call").distinct(), every))
+    # a source that isn't there isn't waited for, and gives nothing
+    pending = every.withColumn("fed", F.col("source").isNull())
+    there = every.select("query_id", F.col("call_id").alias("source"), F.lit(True).alias("waits")).distinct()
+    pending = cut(_held(pending.join(there, ["query_id", "source"], "left"), further))
     known = F.concat_ws(" ", "stage", "tool").isin([f"{s} {t}" for s in STAGES for t in registry.tools(s)])
     states = spark.createDataFrame([], "query_id string, call_id string, tool string, stage string, status string, reason string, round int")
     outputs = spark.createDataFrame([], "query_id string, call_id string, payload string")
     rounds = 0
     while not pending.isEmpty():
         rounds += 1
-        waiting = before.join(pending.select("query_id", F.col("call_id").alias("from_call")), ["query_id", "from_call"], "left_semi")
-        waiting = waiting.select("query_id", F.col("to_call").alias("call_id")).distinct()
-        ready = cut(pending.join(waiting, _KEY, "left_anti"))
+        free = F.col("waits").isNull() if further is None else F.col("waits").isNull() & F.col("held").isNull()
+        ready, rest = pending.filter(free), pending.filter(~free)
         if ready.isEmpty():
             raise RuntimeError("the links of some plans are a circle")
-        given = outputs.select("query_id", F.col("call_id").alias("source"), "payload")
-        first = ready.filter("source IS NULL").withColumn("payload", F.col("asked"))
-        fed = cut(first.unionByName(ready.join(given, ["query_id", "source"])).select(*_KEY, "tool", "stage", "payload"))
-        told = ready.join(fed.select(*_KEY).distinct().withColumn("fed", F.lit(True)), _KEY, "left")
-        reason = F.when(~known, F.concat(F.lit("missing_handler_"), F.col("stage"))).when(F.col("fed").isNull(), F.concat(F.lit("missing_source_"), F.col("stage")))
+        reason = F.when(~known, F.concat(F.lit("missing_handler_"), F.col("stage"))).when(~F.col("fed"), F.concat(F.lit("missing_source_"), F.col("stage")))
         status = F.when(reason.isNull(), "done").when(F.col("optional"), "skipped").otherwise("failed")
-        states = states.unionByName(told.select(*_KEY, "tool", "stage", status.alias("status"), reason.alias("reason"), F.lit(rounds).alias("round")))
-        made = _made(fed, registry)
-        outputs = outputs if made is None else outputs.unionByName(cut(made))
-        pending = cut(pending.join(ready.select(*_KEY), _KEY, "left_anti"))
+        states = states.unionByName(ready.select(*_KEY, "tool", "stage", status.alias("status"), reason.alias("reason"), F.lit(rounds).alias("round")))
+        able = ready.filter(reason.isNull())
+        fed = able.filter("source IS NULL").select(*_KEY, "tool", "stage", F.col("asked").alias("payload"))
+        if rounds > 1:
+            # without further links a call runs in the round after its source's
+            given = (made if further is None else outputs).select("query_id", F.col("call_id").alias("source"), "payload")
+            fed = fed.unionByName(able.join(given, ["query_id", "source"]).select(*_KEY, "tool", "stage", "payload"))
+        made = _made(cut(fed), registry)
+        made = outputs.limit(0) if made is None else cut(made)
+        outputs = outputs.unionByName(made)
+        pending = cut(_after(rest, ready, made))
+        if further is not None:
+            further = cut(further.join(ready.select("query_id", F.col("call_id").alias("from_call")), ["query_id", "from_call"], "left_anti"))
+            pending = cut(_held(pending, further))
     return cut(states), outputs
 
 
+def _existing(before: DataFrame, calls: DataFrame) -> DataFrame:
+    """The links from calls that are there."""
+    return before.join(calls.select("query_id", F.col("call_id").alias("from_call")), ["query_id", "from_call"], "left_semi")
+
+
+def _held(pending: DataFrame, further: DataFrame | None) -> DataFrame:
+    """Calls that further links hold back are ``held``."""
+    if further is None:
+        return pending
+    held = further.select("query_id", F.col("to_call").alias("call_id"), F.lit(True).alias("held")).distinct()
+    return pending.drop("held").join(held, _KEY, "left")
+
+
+def _after(rest: DataFrame, ready: DataFrame, made: DataFrame) -> DataFrame:
+    """The calls that are left after a round: those whose sources were in it don't wait any more, and are ``fed`` if these gave something."""
+    done = ready.select("query_id", F.col("call_id").alias("source"), F.lit(True).alias("done"), F.lit(False).alias("gave"))
+    gave = made.select("query_id", F.col("call_id").alias("source"), F.lit(None).cast("boolean").alias("done"), F.lit(True).alias("gave"))
+    of = done.unionByName(gave).groupBy("query_id", "source").agg(F.max("done").alias("done"), F.max("gave").alias("gave"))
+    told = rest.join(of, ["query_id", "source"], "left")
+    own = [c for c in rest.columns if c not in ("waits", "fed")]
+    return told.select(*own, F.when(F.col("done").isNull(), F.col("waits")).alias("waits"), (F.col("fed") | F.coalesce("gave", F.lit(False))).alias("fed"))
+
+
 def responses(table: DataFrame, tool: str):
     """A handler that fetches from a table of responses (``tool, asked, payload``)."""
 

@@ -62,3 +62,13 @@ def test_further_links_and_circles(spark):
         C.run_graph(calls, registry(), circle)
     states, outputs = C.run_graph(calls.limit(0), registry())
     assert states.count() == outputs.count() == 0
+
+
+def test_a_round_joins_what_is_left_once(spark, monkeypatch):
+    told, cut = [], C.cut
+    calls = cut(plans(spark))
+    monkeypatch.setattr(C, "cut", lambda df: told.append(df._jdf.queryExecution().executedPlan().toString().count("Join ")) or cut(df))
+    states, _ = C.run_graph(calls, registry())
+    rounds = states.agg(F.max("round")).first()[0]
+    # one for the sources that are there, and a round's for what is left and for what is given; the states need none
+    assert rounds == 7 and told[-1] == 0 and 0 < sum(told) <= 2 * rounds + 1, told
