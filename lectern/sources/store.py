@@ -89,7 +89,8 @@ class TableStore:
         """Write rows as new folders; bucket -> folder."""
         part = f"{table}/{uuid.uuid4().hex}"
         own = schemas.conform(rows, table).withColumn("bucket", self._bucket(key_of(table)))
-        own.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{part}")
+        # a large bucket is written by several tasks, small ones by one
+        own.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.folder}/{part}")
         return {n[7:]: [f"{part}/{n}"] for n in self._names(part) if n.startswith("bucket=")}
 
     def _read(self, table: str, parts: list[str]) -> DataFrame:

@@ -189,3 +189,16 @@ def test_a_cut_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not found() - before
     assert rows.count() == 10 and spark.conf.get(storage._CLEANUP) == set_before
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        store = TableStore(spark, str(tmp_path))
+        store.replace("contained_works", spark.range(0, 20_000, 1, 8).select(F.lit("w").alias("parent_work_id"), F.sha2(F.col("id").cast("string"), 256).alias("contained_work_id")))
+        assert len(list(tmp_path.glob("contained_works/*/bucket=*/*.parquet"))) > 1
+        assert store.read("contained_works").distinct().count() == 20_000
+    finally:
+        spark.conf.set(size, before)
